@@ -133,7 +133,7 @@ def detections(t: Tables) -> DataFrame:
         F.col("user_id").alias("image_id"),
         key.alias("det_id"),
         text.lookup(F.col("event_type"), kinds).alias("class_id"),
-        F.least(F.col("value") / 200, F.lit(1.0)).alias("confidence"),
+        F.least(F.col("value") / 210, F.lit(1.0)).alias("confidence"),
         x1.alias("x1"),
         y1.alias("y1"),
         (x1 + step(13, 120, -10.0)).alias("x2"),
