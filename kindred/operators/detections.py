@@ -50,7 +50,7 @@ def detections_per_image(
     parts = kept.groupBy("image_id").agg(F.ceil(F.count("*") / list_rows).alias("_parts"))
     item = F.struct("det_id", "class", "confidence", F.array(*CORNERS).alias("coordinate"))
     lists = (
-        join_unique(kept, parts, "image_id")
+        join_unique(parts, kept, "image_id")
         .groupBy("image_id", F.pmod("det_id", "_parts").alias("part"))
         .agg(F.array_sort(F.collect_list(item)).alias("detections"))
     )

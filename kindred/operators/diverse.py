@@ -126,7 +126,18 @@ def _picks(frontier: DataFrame, chosen: dict, limits: dict, counts: dict, n: int
     return frontier.groupBy("group").applyInArrow(pick, schema)
 
 
-def _select_groups(items: DataFrame, counts: dict, n: int, frontier_rows: int) -> list[tuple]:
+def _first_rows(items: DataFrame, counts: dict, firsts: dict, n: int) -> DataFrame:
+    """The rows with the smallest id of each group, and all rows of groups that are taken whole."""
+    group, id_type = items.schema["group"], items.schema["id"].dataType
+    shape = T.StructType([group, T.StructField("first", id_type), T.StructField("whole", T.BooleanType())])
+    rows = [(g, firsts[g], rows <= n) for g, rows in counts.items()]
+    # One row per group of this turn.
+    marks = F.broadcast(items.sparkSession.createDataFrame(rows, shape))
+    wanted = F.col("whole") | (F.col("id") == F.col("first"))
+    return items.join(marks, "group").filter(wanted).select(items.columns)
+
+
+def _select_groups(items: DataFrame, counts: dict, firsts: dict, n: int, frontier_rows: int) -> list[tuple]:
     """Picks of all groups in counts: (group, ordinal, id, max_similarity)."""
     fields = {f.name: f.dataType for f in items.schema}
     passed_schema = T.StructType(
@@ -150,17 +161,15 @@ def _select_groups(items: DataFrame, counts: dict, n: int, frontier_rows: int) -
     empty = np.zeros((0, 0))
     chosen = {g: (np.array([]), empty) for g in counts}
     picks: list[tuple] = []
-    first = True
+    limits = {g: rows if rows <= n else 1 for g, rows in counts.items()}
+    wanted = _first_rows(items, counts, firsts, n)
     while True:
         open_groups = [g for g in counts if len(chosen[g][0]) < min(n, counts[g])]
         if not open_groups:
             return picks
-        # The first pass needs only the smallest id, and all rows of groups that are taken whole.
-        limits = {
-            g: counts[g] if counts[g] <= n else (1 if first else max(frontier_rows, 1)) for g in open_groups
-        }
-        first = False
-        wanted = items.filter(F.col("group").isin(open_groups))
+        if picks:
+            limits = dict.fromkeys(open_groups, max(frontier_rows, 1))
+            wanted = items.filter(F.col("group").isin(open_groups))
         state = {g: chosen[g] for g in open_groups}
         frontier = _merged(_pass(wanted, state, limits, passed_schema), max(limits.values()))
         table = _picks(frontier, state, limits, counts, n, pick_schema).toArrow()
@@ -185,21 +194,21 @@ def diverse_queries(
 ) -> DataFrame:
     """n diverse items per group: group, ordinal, id, max_similarity, over_threshold.
 
-    items: group, id, embedding. A group with at most n items is taken whole, in id order. max_similarity
+    items: group, id, embedding, all vectors of one width. A group with at most n items is taken whole, in id order. max_similarity
     is the highest similarity to the earlier picks, null for the first. The threshold only flags.
     Items are read once per pass; pass in a stored table when computing them is costly.
     """
-    items = items.filter(F.col("group").isNotNull() & F.col("embedding").isNotNull()).select(
-        "group", "id", "embedding"
-    )
-    sizes = items.groupBy("group").agg(F.count("*").alias("rows"), F.max(F.size("embedding")).alias("width"))
+    items = items.filter(F.col("group").isNotNull()).select("group", "id", "embedding")
+    # Reads no vectors.
+    sizes = items.groupBy("group").agg(F.count("*").alias("rows"), F.min("id").alias("first"))
     rows = sizes.orderBy("group").collect()
-    width = max((r["width"] for r in rows), default=1)
+    width = len(items.select("embedding").first()["embedding"]) if rows else 1
     per_turn = max(1, CHOSEN_BYTES // (8 * n * max(width, 1)))
     picks: list[tuple] = []
     for start in range(0, len(rows), per_turn):
-        counts = {r["group"]: r["rows"] for r in rows[start : start + per_turn]}
-        picks += _select_groups(items, counts, n, frontier_rows)
+        turn = rows[start : start + per_turn]
+        counts, firsts = {r["group"]: r["rows"] for r in turn}, {r["group"]: r["first"] for r in turn}
+        picks += _select_groups(items, counts, firsts, n, frontier_rows)
     whole = {r["group"] for r in rows if r["rows"] <= n}
     schema = T.StructType(
         [

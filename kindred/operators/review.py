@@ -39,13 +39,6 @@ def status(queries: DataFrame, selections: DataFrame) -> DataFrame:
     )
 
 
-def _with_candidates(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Left join of queries with candidates, of which one query may have very many."""
-    matched = join_unique(candidates, queries, "query_id")
-    bare = queries.join(candidates.select("query_id").distinct(), "query_id", "left_anti")
-    return matched.unionByName(bare, allowMissingColumns=True)
-
-
 def query_detail(
     queries: DataFrame, candidates: DataFrame, selections: DataFrame, query_id: str | None = None
 ) -> DataFrame:
@@ -62,47 +55,41 @@ def query_detail(
         F.col("image_url").alias("query_image_url"),
     )
     chosen = found.join(selections.select("query_id", "selected_image_ids"), "query_id", "left")
-    return _with_candidates(chosen, candidates).select(
+    return join_unique(chosen, candidates, "query_id", "left").select(
         *found.columns,
         *[c for c in candidates.columns if c != "query_id"],
         F.array_contains("selected_image_ids", F.col("image_uuid")).alias("selected"),
     )
 
 
-def accepted_ids(submissions: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Submitted ids that are candidates of their query, each once, with the place of its first mention.
-
-    Result: submission_id, query_id, completed_at, image_uuid, position.
-    """
-    mentioned = submissions.select(
-        "submission_id", "query_id", "completed_at", F.posexplode("selected_image_ids").alias("position", "image_uuid")
-    )
-    first = mentioned.groupBy("submission_id", "query_id", "completed_at", "image_uuid").agg(
-        F.min("position").alias("position")
-    )
-    return first.join(candidates.select("query_id", "image_uuid"), ["query_id", "image_uuid"], "left_semi")
-
-
 def validate(submissions: DataFrame, candidates: DataFrame) -> DataFrame:
     """Every submission with its valid ids in submitted order and whether their number is allowed.
 
-    Lists stay as short as the submitted ones. Result: submission_id, query_id, completed_at,
-    selected_image_ids, valid_ids, accepted.
+    Valid ids are candidates of the query, each once at its first mention. Repeats are dropped inside the
+    submitted list, so one join and one grouping remain; lists stay as short as the submitted ones.
+    Result: submission_id, query_id, completed_at, selected_image_ids, valid_ids, accepted.
     """
-    kept = accepted_ids(submissions, candidates).groupBy("submission_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("position", "image_uuid"))), lambda s: s["image_uuid"]
-        ).alias("kept")
+    mentioned = submissions.select(
+        "submission_id",
+        "query_id",
+        "completed_at",
+        F.posexplode_outer(F.array_distinct("selected_image_ids")).alias("position", "image_uuid"),
     )
-    none = F.array().cast("array<string>")
+    shown = candidates.select("query_id", "image_uuid", F.lit(True).alias("shown"))
+    checked = mentioned.join(shown, ["query_id", "image_uuid"], "left")
+    entry = F.when(F.col("shown"), F.struct("position", "image_uuid"))
     valid = F.size("selected_image_ids")
     return (
-        submissions.select("submission_id", "query_id", "completed_at")
-        .join(kept, "submission_id", "left")
-        .withColumn("selected_image_ids", F.coalesce("kept", none))
+        checked.groupBy("submission_id", "query_id", "completed_at")
+        .agg(F.array_sort(F.array_distinct(F.collect_list(entry))).alias("kept"))
+        .select(
+            "submission_id",
+            "query_id",
+            "completed_at",
+            F.transform("kept", lambda s: s["image_uuid"]).alias("selected_image_ids"),
+        )
         .withColumn("valid_ids", valid)
         .withColumn("accepted", valid.between(MIN_SELECTED, MAX_SELECTED))
-        .drop("kept")
     )
 
 
@@ -138,7 +125,7 @@ def export_rows(queries: DataFrame, candidates: DataFrame, selections: DataFrame
         .join(answered.select("query_id"), "query_id", "left_semi")
     )
     columns = [*answered_queries.columns, *[c for c in candidates.columns if c != "query_id"]]
-    return _with_candidates(answered_queries, relevant).select(*columns)
+    return join_unique(answered_queries, relevant, "query_id", "left").select(*columns)
 
 
 def navigation(queries: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from kindred.functions import vectors
 from kindred.operators.blocks import BestPerQuery, by_group, matrix, plain
+from kindred.runtime import stored
 
 # Queries up to this size are sent to every task; more are joined tile by tile.
 QUERY_BYTES = 64 << 20
@@ -107,7 +108,8 @@ def nearest(items: DataFrame, queries: DataFrame, kind: str, k: int, query_bytes
     """k best items of the query's own group for every query, the query itself left out.
 
     items, queries: group, id, payload. Result: group, query, id, rank, score.
-    A group with fewer than k others returns those it has.
+    A group with fewer than k others returns those it has. The queries are read more than once: pass in
+    a stored table when they are the result of a scan.
     """
     size = queries.agg(F.coalesce(F.sum(F.size("payload") * 8 + 32), F.lit(0)).alias("bytes")).first()
     meet = _scan if size["bytes"] <= query_bytes else _tiled
@@ -120,6 +122,11 @@ def nearest(items: DataFrame, queries: DataFrame, kind: str, k: int, query_bytes
     )
 
 
+def _neighbours(items: DataFrame, queries: DataFrame, column: str, kind: str, k: int, **options) -> DataFrame:
+    """nearest on a column; the queries, mostly picked from a large table, are scanned for once."""
+    return nearest(_payload(items, column), stored(_payload(queries, column), "queries"), kind, k, **options)
+
+
 def _payload(df: DataFrame, column: str) -> DataFrame:
     usable = F.col("group").isNotNull() & F.col(column).isNotNull()
     return df.filter(usable).select("group", "id", F.col(column).alias("payload"))
@@ -127,19 +134,19 @@ def _payload(df: DataFrame, column: str) -> DataFrame:
 
 def cosine_topk(items: DataFrame, queries: DataFrame, k: int = 20, **options) -> DataFrame:
     """Exact cosine neighbours: group, query, id, rank, similarity (6 digits)."""
-    found = nearest(_payload(items, "embedding"), _payload(queries, "embedding"), "cosine", k, **options)
+    found = _neighbours(items, queries, "embedding", "cosine", k, **options)
     return found.select("group", "query", "id", "rank", F.round("score", 6).alias("similarity"))
 
 
 def hamming_topk(items: DataFrame, queries: DataFrame, k: int = 20, **options) -> DataFrame:
     """Nearest bit signatures: group, query, id, rank, distance."""
-    found = nearest(_payload(items, "words"), _payload(queries, "words"), "hamming", k, **options)
+    found = _neighbours(items, queries, "words", "hamming", k, **options)
     return found.select("group", "query", "id", "rank", (-F.col("score")).cast("int").alias("distance"))
 
 
 def channel_overlap_topn(items: DataFrame, queries: DataFrame, n: int = 100, **options) -> DataFrame:
     """Items that share most top channels, at least one: group, query, id, rank, shared."""
-    found = nearest(_payload(items, "channels"), _payload(queries, "channels"), "channels", n, **options)
+    found = _neighbours(items, queries, "channels", "channels", n, **options)
     return found.select("group", "query", "id", "rank", F.col("score").cast("int").alias("shared"))
 
 
@@ -184,7 +191,8 @@ def three_stage_search(
     The first stage scans only the channel lists of all items. Bits and vectors are read for its
     shortlist alone and reduced to two numbers where they meet, so no vector is shuffled.
     """
-    shortlist = channel_overlap_topn(items, queries, n_channels)
+    queries = stored(queries.select("group", "id", "channels", "words", "embedding"), "queries")
+    shortlist = nearest(_payload(items, "channels"), _payload(queries, "channels"), "channels", n_channels)
     rows = queries.count() * n_channels
     scored = _with_codes(shortlist, items, queries, ["words", "embedding"], rows).select(
         "group",

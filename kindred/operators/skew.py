@@ -15,18 +15,20 @@ def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> list:
     return [r[key] for r in largest.collect() if r["_rows"] >= min_rows and r[key] is not None]
 
 
-def join_unique(many: DataFrame, one: DataFrame, key: str, how: str = "inner", min_rows: int = HOT_ROWS) -> DataFrame:
-    """many joined with one, which has one row per key. how: inner or left.
+def join_unique(one: DataFrame, many: DataFrame, key: str, how: str = "inner", min_rows: int = HOT_ROWS) -> DataFrame:
+    """one, with one row per key, joined with many. how: inner, or left to keep the rows of one alone.
 
     Rows of the hot keys meet their at most HOT_KEYS partners by broadcast and are not shuffled; all other
-    keys are joined as usual. For use where one is an aggregate, since Spark's own skew handling needs
-    plain shuffles on both sides.
+    keys are joined as usual. For use where one side is an aggregate or a join, since Spark's own skew
+    handling needs plain shuffles on both sides.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how must be 'inner' or 'left', not {how!r}")
     hot = hot_keys(many, key, min_rows)
     if not hot:
-        return many.join(one, key, how)
+        return one.join(many, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    # A hot key has rows in many, so the inner join drops nothing of it.
     few = F.broadcast(one.filter(is_hot))
-    return many.filter(is_hot).join(few, key, how).unionByName(many.filter(~is_hot).join(one, key, how))
+    cold = one.filter(~is_hot).join(many.filter(~is_hot), key, how)
+    return cold.unionByName(few.join(many.filter(is_hot), key))
