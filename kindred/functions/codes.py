@@ -4,13 +4,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _offsets(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def float16_encode(v: pa.Array) -> pa.Array:
     """Float vectors as float16 bytes; null stays null."""
     counts = v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -23,7 +24,7 @@ def float16_encode(v: pa.Array) -> pa.Array:
     )
 
 
-@F.arrow_udf("array<float>")
+@F.arrow_udf(T.ArrayType(T.FloatType()))
 def float16_decode(codes: pa.Array) -> pa.Array:
     """Float16 bytes as float vectors; null stays null."""
     parts = [b"" if c is None else c for c in codes.to_pylist()]
