@@ -13,7 +13,7 @@ from kindred.sources import files
 
 def _document(spark: SparkSession, path: str, shape: T.DataType, lines: bool = False) -> DataFrame:
     """Parsed documents: one per file, or one per line as the sinks write tables without a size bound."""
-    text = spark.read.option("wholetext", str(not lines).lower()).text(path)
+    text = spark.read.text(path, wholetext=not lines)
     return text.select(F.from_json("value", shape).alias("doc"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 
 def list_files(spark: SparkSession, pattern: str, recursive: bool = False) -> DataFrame:
-    """Paths that match; the files are listed, their content is not read."""
+    """Paths that match; the files are listed, their content is not read. Spark skips files of no bytes."""
     reader = spark.read.format("binaryFile")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
@@ -23,6 +23,11 @@ def exists(spark: SparkSession, pattern: str) -> bool:
     return True
 
 
+def metadata_text(field: str) -> Column:
+    """A path or name of the _metadata column as it is on disk; Spark gives it percent-encoded."""
+    return F.url_decode(F.replace(F.col(f"_metadata.{field}"), F.lit("+"), F.lit("%2B")))
+
+
 def file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

@@ -36,7 +36,7 @@ def read_image_list(spark: SparkSession, pattern: str, multi_line: bool = True)
         F.when(absent, F.col("image_uuid"))
         .otherwise(F.coalesce("image_original_name", F.lit("")))
         .alias("image_original_name"),
-        F.col("_metadata.file_name").alias("file_name"),
+        files.metadata_text("file_name").alias("file_name"),
         F.col("_metadata.file_block_start").alias("file_block"),
         F.monotonically_increasing_id().alias("row"),
     )

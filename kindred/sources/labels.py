@@ -10,7 +10,7 @@ from kindred.sources import files
 def read_labelme(spark: SparkSession, pattern: str) -> DataFrame:
     """One row per file: stem, file_name, imageWidth, imageHeight, shapes."""
     rows = spark.read.schema(schema.LABELME).option("multiLine", "true").json(pattern)
-    name = F.col("_metadata.file_name")
+    name = files.metadata_text("file_name")
     return rows.select(files.stem(name).alias("stem"), name.alias("file_name"), "imageWidth", "imageHeight", "shapes")
 
 
@@ -18,8 +18,8 @@ def read_label_lines(spark: SparkSession, pattern: str) -> DataFrame:
     """One row per label line: split (the folder), file_name, class_id, value."""
     lines = spark.read.text(pattern).filter(F.trim("value") != "")
     return lines.select(
-        files.folder_name(F.col("_metadata.file_path")).alias("split"),
-        F.col("_metadata.file_name").alias("file_name"),
+        files.folder_name(files.metadata_text("file_path")).alias("split"),
+        files.metadata_text("file_name").alias("file_name"),
         F.get(F.split(F.trim("value"), r"\s+"), F.lit(0)).cast("int").alias("class_id"),
         "value",
     )
