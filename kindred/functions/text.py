@@ -73,7 +73,8 @@ def label_line(class_id: Column, cx: Column, cy: Column, w: Column, h: Column) -
 
 
 def query_id(category: Column, ordinal: Column) -> Column:
-    return F.format_string("%s_%02d", category, ordinal)
+    """Category and ordinal, the latter with at least two digits."""
+    return F.concat(category, F.when(ordinal < 10, "_0").otherwise("_"), ordinal.cast("string"))
 
 
 def similarity_percent(similarity: Column) -> Column:

@@ -19,13 +19,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from kindred.constants import DIVERSITY_THRESHOLD, QUERIES_PER_CATEGORY
 from kindred.operators.blocks import COMPARED_DIGITS, by_group, matrix, plain, unit_rows
+from kindred.operators.skew import sent_if_small
 
 # Rows of a group kept by one pass.
 FRONTIER_ROWS = 128
 # Chosen vectors held at a time; more groups are worked through in turns.
 CHOSEN_BYTES = 256 << 20
-# Tasks are merged in this many parts before the last merge of a group.
-MERGE_PARTS = 32
+# Results of this many tasks, then of this many merges, are merged at a time.
+MERGE_FAN_IN = 64
 # Below every similarity: the key of all items before the first pick.
 NOTHING_CHOSEN = -2.0
 
@@ -75,12 +76,14 @@ def _pass(items: DataFrame, chosen: dict, limits: dict, schema: T.StructType) ->
 
 
 def _merged(passed: DataFrame, limit: int) -> DataFrame:
-    """The lowest rows of each group over all tasks, cut in parts so that no task takes them all.
+    """The lowest rows of each group over all tasks, merged as a tree so that no task takes them all.
 
-    What is left of a group has at most MERGE_PARTS * limit rows.
+    What is left of a group has at most limit rows for every MERGE_FAN_IN ** 2 tasks of the pass.
     """
-    order = Window.partitionBy("group", F.pmod("part", F.lit(MERGE_PARTS))).orderBy("highest", "id")
-    return passed.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).drop("place")
+    for tasks in (MERGE_FAN_IN, MERGE_FAN_IN**2):
+        order = Window.partitionBy("group", F.floor(F.col("part") / tasks)).orderBy("highest", "id")
+        passed = passed.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).drop("place")
+    return passed
 
 
 def _picks(frontier: DataFrame, chosen: dict, limits: dict, counts: dict, n: int, schema: T.StructType) -> DataFrame:
@@ -132,7 +135,7 @@ def _first_rows(items: DataFrame, counts: dict, firsts: dict, n: int) -> DataFra
     shape = T.StructType([group, T.StructField("first", id_type), T.StructField("whole", T.BooleanType())])
     rows = [(g, firsts[g], rows <= n) for g, rows in counts.items()]
     # One row per group of this turn.
-    marks = F.broadcast(items.sparkSession.createDataFrame(rows, shape))
+    marks = sent_if_small(items.sparkSession.createDataFrame(rows, shape), len(rows))
     wanted = F.col("whole") | (F.col("id") == F.col("first"))
     return items.join(marks, "group").filter(wanted).select(items.columns)
 

@@ -13,12 +13,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from kindred.functions import vectors
 from kindred.operators.blocks import BestPerQuery, by_group, matrix, plain
+from kindred.operators.skew import sent_if_small
 from kindred.runtime import stored
 
 # Queries up to this size are sent to every task; more are joined tile by tile.
 QUERY_BYTES = 64 << 20
-# Shortlists up to this many rows are sent to every task.
-SHORTLIST_ROWS = 500_000
 TILE_ITEMS = 8192
 TILE_QUERIES = 1024
 
@@ -80,7 +79,11 @@ def _tiled(items: DataFrame, queries: DataFrame, kind: str, k: int) -> DataFrame
     def all_of(tile_count: str) -> Column:
         return F.explode(vectors.positions(F.col(tile_count)))
 
-    grid = tiles(items, TILE_ITEMS, "item_tiles").join(tiles(queries, TILE_QUERIES, "query_tiles"), "group")
+    # One row per group with queries.
+    grid = stored(
+        tiles(items, TILE_ITEMS, "item_tiles").join(tiles(queries, TILE_QUERIES, "query_tiles"), "group"), "tiles"
+    )
+    grid = sent_if_small(grid, grid.count())
     left = items.join(grid, "group").select(
         "group", "id", "payload", number("item_tiles").alias("item_tile"), all_of("query_tiles").alias("query_tile")
     )
@@ -154,9 +157,7 @@ def _with_codes(shortlist: DataFrame, items: DataFrame, queries: DataFrame, colu
     """Shortlist pairs beside the item's and the query's columns; a short list is sent to the items' tasks."""
     item_side = items.select("group", "id", *[F.col(c).alias(f"item_{c}") for c in columns])
     query_side = queries.select("group", F.col("id").alias("query"), *[F.col(c).alias(f"query_{c}") for c in columns])
-    pairs = shortlist.select("group", "query", "id")
-    if rows is not None and rows <= SHORTLIST_ROWS:
-        pairs = F.broadcast(pairs)
+    pairs = sent_if_small(shortlist.select("group", "query", "id"), rows)
     return item_side.join(pairs, ["group", "id"]).join(query_side, ["group", "query"])
 
 

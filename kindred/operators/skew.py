@@ -1,4 +1,4 @@
-"""Joins that stay even when one key holds a large share of the rows."""
+"""Joins that stay even when one key holds a large share of the rows, and broadcasts of checked size."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +9,15 @@ HOT_KEYS = 1000
 HOT_ROWS = 1_000_000
 
 
+# Tables of at most this many narrow rows are sent to every task.
+SENT_ROWS = 500_000
+
+
+def sent_if_small(df: DataFrame, rows: int | None) -> DataFrame:
+    """df marked for broadcast when its row count, or a proven bound of it, is small."""
+    return F.broadcast(df) if rows is not None and rows <= SENT_ROWS else df
+
+
 def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> list:
     """The keys with at least min_rows rows, among the HOT_KEYS largest. Counts are added before the shuffle."""
     largest = df.groupBy(key).agg(F.count("*").alias("_rows")).orderBy(F.desc("_rows")).limit(HOT_KEYS)

@@ -22,6 +22,7 @@ from kindred.operators import (
     review,
     search,
 )
+from kindred.operators.skew import sent_if_small
 from kindred.plans import derived, ground_truth
 from kindred.plans.derived import Tables
 from kindred.runtime import fresh_path, stored
@@ -147,7 +148,7 @@ def _searched(t: Tables, n: int = 20) -> tuple[DataFrame, DataFrame]:
     """Items, and the diverse queries among them."""
     items = derived.search_items(t)
     picks = diverse.diverse_queries(items, n)
-    return items, items.join(F.broadcast(picks.select("group", "id")), ["group", "id"])
+    return items, items.join(sent_if_small(picks.select("group", "id"), picks.count()), ["group", "id"])
 
 
 @query
@@ -343,7 +344,7 @@ def stream_incremental(t):
     ).awaitTermination()
     done = t.spark.read.parquet(f"{base}/features").select("image_uuid", F.lit("ok").alias("state"))
     failed = extraction_stream.earlier_failures(t.spark, f"{base}/failures", 1 << 40)
-    return done.unionByName(failed.filter("image_uuid is not null").select("image_uuid", F.lit("failed").alias("state")))
+    return done.unionByName(failed.select("image_uuid", F.lit("failed").alias("state")))
 
 
 # Detections

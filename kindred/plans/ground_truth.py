@@ -15,6 +15,7 @@ from kindred.functions import text
 from kindred.operators.catalogue import features_join_meta
 from kindred.operators.diverse import diverse_queries
 from kindred.operators.search import cosine_topk
+from kindred.operators.skew import sent_if_small
 from kindred.runtime import stored
 from kindred.sinks.documents import queries_document, selection_document, write_text
 from kindred.sources.features import read_features
@@ -39,12 +40,13 @@ def build(
     """Queries and candidates of a catalogue table (category, image_uuid, image_url, embedding)."""
     vectors = items.select(F.col("category").alias("group"), F.col("image_uuid").alias("id"), "embedding")
     picks = diverse_queries(vectors, queries_per_category, threshold)
-    # One row per pick: categories times queries per category.
-    few = F.broadcast(picks.select("group", "id"))
+    # Picks are local rows: categories times queries per category.
+    rows = picks.count()
+    few = sent_if_small(picks.select("group", "id"), rows)
     found = cosine_topk(vectors, vectors.join(few, ["group", "id"]), candidates_per_query)
     urls = items.select("image_uuid", "image_url")
     queries = (
-        urls.join(F.broadcast(picks.withColumnRenamed("id", "image_uuid")), "image_uuid")
+        urls.join(sent_if_small(picks.withColumnRenamed("id", "image_uuid"), rows), "image_uuid")
         .withColumn("query_id", text.query_id(F.col("group"), F.col("ordinal")))
         .select(
             "query_id",
@@ -57,8 +59,8 @@ def build(
         )
     )
     keys = picks.select(F.col("id").alias("query"), text.query_id(F.col("group"), F.col("ordinal")).alias("query_id"))
-    # At most candidates_per_query rows per pick.
-    listed = F.broadcast(found.join(F.broadcast(keys), "query").withColumnRenamed("id", "image_uuid"))
+    named = found.join(sent_if_small(keys, rows), "query").withColumnRenamed("id", "image_uuid")
+    listed = sent_if_small(named, rows * candidates_per_query)
     candidates = urls.join(listed, "image_uuid").select("query_id", "rank", "image_uuid", "image_url", "similarity")
     return GroundTruth(items, queries, candidates)
 

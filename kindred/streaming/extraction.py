@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from kindred import schema
 from kindred.operators.catalogue import incremental_todo
 from kindred.operators.extraction import Scorer, batch_score
+from kindred.operators.skew import sent_if_small
 
 
 def _table(spark: SparkSession, path: str, shape) -> DataFrame:
@@ -28,9 +29,8 @@ def earlier_failures(spark: SparkSession, failures: str, batch_id: int) -> DataF
     images = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.IMAGE_LIST)
     stored = _table(spark, failures, f"{images}, reason string, batch bigint").filter(F.col("batch") < batch_id)
     newest = stored.agg(F.max("batch").alias("b")).first()["b"]
-    if newest is None:
-        return stored.select(*schema.IMAGE_LIST.fieldNames())
-    return stored.filter(F.col("batch") == newest).select(*schema.IMAGE_LIST.fieldNames())
+    last = stored.filter(F.col("batch") == (-1 if newest is None else newest))
+    return last.filter(F.col("image_uuid").isNotNull()).select(*schema.IMAGE_LIST.fieldNames())
 
 
 def start_extraction(
@@ -40,23 +40,26 @@ def start_extraction(
 
     The file source hands every row out once; the failure snapshots are what brings failed rows back.
     Each batch writes its own folders, so a batch that is repeated after a crash replaces its output.
-    A batch without any failure leaves an empty marker row's snapshot through the null uuid.
+    Every failure snapshot has one row without uuid, so that a batch without failures leaves one too.
     """
     columns = schema.IMAGE_LIST.fieldNames()
 
     def run(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         done = _table(session, features, "image_uuid string, batch bigint").filter(F.col("batch") < batch_id)
-        retried = earlier_failures(session, failures, batch_id).filter(F.col("image_uuid").isNotNull())
-        todo = incremental_todo(batch.select(*columns).unionByName(retried), done)
+        retried = earlier_failures(session, failures, batch_id)
+        rows = batch.select(*columns).unionByName(retried)
+        # The stored keys are cut down to those of a small batch while they are scanned, before any shuffle.
+        keys = sent_if_small(rows.select("image_uuid"), rows.count())
+        todo = incremental_todo(rows, done.join(keys, "image_uuid", "left_semi"))
         scored = batch_score(todo, scorer).persist()
         try:
             ok = scored.filter(F.col("status") == "ok").drop("status", "name", "reason")
             ok.write.mode("overwrite").parquet(f"{features}/batch={batch_id}")
             failed = scored.filter(F.col("status") == "failed").select("image_uuid", "reason").distinct()
             again = todo.join(failed, "image_uuid").select(*columns, "reason").distinct()
-            marker = session.createDataFrame([(None,) * 4], again.schema)
-            again.unionByName(marker).write.mode("overwrite").parquet(f"{failures}/batch={batch_id}")
+            always = session.createDataFrame([(None,) * len(again.columns)], again.schema)
+            again.unionByName(always).write.mode("overwrite").parquet(f"{failures}/batch={batch_id}")
         finally:
             scored.unpersist()
 

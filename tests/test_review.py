@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kindred.operators import ranking, review
 from kindred.sinks import documents as sinks
+from kindred.sinks import selections as snapshots
 from kindred.sources import documents
 
 NOON = dt.datetime(2026, 1, 1, 12)
@@ -65,6 +66,17 @@ def test_upsert_keeps_the_latest(spark):
     assert got == {"bag_00": ["c5"], "food_00": ["c1"]}
 
 
+def test_snapshots(spark, tmp_path):
+    path = f"{tmp_path}/selections"
+    _, candidates, selections = tables(spark)
+    assert snapshots.published_selections(spark, path).count() == 0
+    assert snapshots.publish_selections(selections, path) == 1
+    rows = [("d", "food_00", ["c1"], NOON)]
+    validated = review.validate(spark.createDataFrame(rows, SUBMISSION), candidates)
+    assert snapshots.publish_selections(review.upsert(snapshots.published_selections(spark, path), validated), path) == 2
+    assert {r["query_id"] for r in snapshots.published_selections(spark, path).collect()} == {"bag_00", "food_00"}
+
+
 def test_status_and_list(spark):
     queries, _, selections = tables(spark)
     got = {r["category"]: tuple(r)[1:] for r in review.status(queries, selections).collect()}
