@@ -6,6 +6,7 @@ and holds only the running best, so its memory does not grow with the partition.
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from kindred.constants import NORM_FLOOR
 
@@ -19,6 +20,9 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows = len(column)
+    widths = pc.min_max(column.value_lengths())
+    if widths["min"] != widths["max"]:
+        raise ValueError(f"vectors of {widths['min']} to {widths['max']} values; filter them to one width")
     return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
 
 

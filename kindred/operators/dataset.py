@@ -46,40 +46,43 @@ def labelme_to_yolo(labelme: DataFrame) -> DataFrame:
     ).select("stem", "class_id", "position", "box.*")
 
 
-def stratified_split(
-    labelme: DataFrame, ratio: float = VALIDATION_RATIO, seed: int = SPLIT_SEED
-) -> DataFrame:
-    """stem, class_id, split: floor(rows * ratio) files of each class are val, drawn by a seeded hash."""
-    classed = with_class(labelme).filter(F.col("class_id").isNotNull()).select("stem", "class_id")
+def _with_split(classed: DataFrame, ratio: float, seed: int) -> DataFrame:
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("stem")))
     drawn = smallest_share(classed, "class_id", key, "stem", ratio, "is_val")
-    return drawn.select("stem", "class_id", F.when(F.col("is_val"), "val").otherwise("train").alias("split"))
+    return drawn.withColumn("split", F.when(F.col("is_val"), "val").otherwise("train")).drop("is_val")
 
 
-def label_image_match(stems: DataFrame, images: DataFrame) -> DataFrame:
+def stratified_split(labelme: DataFrame, ratio: float = VALIDATION_RATIO, seed: int = SPLIT_SEED) -> DataFrame:
+    """stem, class_id, split: floor(rows * ratio) files of each class are val, drawn by a seeded hash."""
+    classed = with_class(labelme).filter(F.col("class_id").isNotNull()).select("stem", "class_id")
+    return _with_split(classed, ratio, seed)
+
+
+def label_image_match(files: DataFrame, images: DataFrame) -> DataFrame:
     """Extension of the image beside each label file: .jpg before .png, null when neither exists.
 
-    images: stem, ext.
+    files: stem and any other columns, which stay. images: stem, ext.
     """
-    found = images.filter(F.col("ext").isin(".jpg", ".png")).groupBy("stem").agg(F.min("ext").alias("ext"))
-    return stems.select("stem").join(found, "stem", "left")
+    wanted = [".jpg", ".png"]
+    place = F.array_position(F.array(*[F.lit(e) for e in wanted]), F.col("ext"))
+    found = images.filter(F.col("ext").isin(wanted)).groupBy("stem").agg(F.min(place).alias("_place"))
+    ext = F.get(F.array(*[F.lit(e) for e in wanted]), F.col("_place").cast("int") - 1)
+    return files.join(found, "stem", "left").withColumn("ext", ext).drop("_place")
 
 
-def manifest(labelme: DataFrame, images: DataFrame, ratio: float = VALIDATION_RATIO, seed: int = SPLIT_SEED) -> DataFrame:
+def manifest(
+    labelme: DataFrame, images: DataFrame, ratio: float = VALIDATION_RATIO, seed: int = SPLIT_SEED
+) -> DataFrame:
     """Every classed file with its outcome: stem, class_id, split, safe_name, ext, label_text, ok."""
     labels = with_labels(labelme).filter(F.col("class_id").isNotNull()).select("stem", "class_id", "label_text")
-    return (
-        labels.join(stratified_split(labelme, ratio, seed).select("stem", "split"), "stem")
-        .join(label_image_match(labels, images), "stem")
-        .select(
-            "stem",
-            "class_id",
-            "split",
-            text.safe_name(text.class_name(F.col("class_id")), F.col("stem")).alias("safe_name"),
-            "ext",
-            "label_text",
-            (F.col("label_text").isNotNull() & F.col("ext").isNotNull()).alias("ok"),
-        )
+    return label_image_match(_with_split(labels, ratio, seed), images).select(
+        "stem",
+        "class_id",
+        "split",
+        text.safe_name(text.class_name(F.col("class_id")), F.col("stem")).alias("safe_name"),
+        "ext",
+        "label_text",
+        (F.col("label_text").isNotNull() & F.col("ext").isNotNull()).alias("ok"),
     )
 
 

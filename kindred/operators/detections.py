@@ -43,6 +43,7 @@ def detections_per_image(
 ) -> DataFrame:
     """Detection list of every image: image_id, part, detections; empty when there is none.
 
+    images: image_id, one row each.
     An image with more than list_rows detections gets several parts, split by id, so no list grows
     without bound.
     """
@@ -58,7 +59,6 @@ def detections_per_image(
     empty = F.array().cast(lists.select(shaped.alias("detections")).schema["detections"].dataType)
     return (
         images.select("image_id")
-        .distinct()
         .join(lists, "image_id", "left")
         .select(
             "image_id",

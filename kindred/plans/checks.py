@@ -328,8 +328,10 @@ def max_file_index(t):
 def stream_incremental(t):
     base = fresh_path(t.spark, "stream")
     rows = derived.part_urls(t).select(F.col("p_partkey").cast("string").alias("image_uuid"), "image_url", F.lit("n").alias("image_original_name"))
-    rows.repartition(3).write.option("header", "true").csv(f"{base}/lists")
-    listed_images = extraction_stream.image_list_stream(t.spark, f"{base}/lists", files_per_batch=1)
+    # A few batches whatever the size: files and files per batch grow with the cluster.
+    tasks = t.spark.sparkContext.defaultParallelism
+    rows.repartition(2 * tasks).write.option("header", "true").csv(f"{base}/lists")
+    listed_images = extraction_stream.image_list_stream(t.spark, f"{base}/lists", files_per_batch=tasks)
 
     def scorer():
         def one(row):
@@ -454,9 +456,10 @@ def similarity_percent(t):
 @query
 def stream_selection_upsert(t):
     base = fresh_path(t.spark, "intake")
-    derived.submissions(t).repartition(4).write.parquet(f"{base}/submissions")
+    tasks = t.spark.sparkContext.defaultParallelism
+    derived.submissions(t).repartition(2 * tasks).write.parquet(f"{base}/submissions")
     shape = derived.submissions(t).schema
-    arriving = t.spark.readStream.schema(shape).option("maxFilesPerTrigger", 2).parquet(f"{base}/submissions")
+    arriving = t.spark.readStream.schema(shape).option("maxFilesPerTrigger", tasks).parquet(f"{base}/submissions")
     selection_stream.start_intake(arriving, derived.candidates(t), f"{base}/accepted", f"{base}/state").awaitTermination()
     current = selection_stream.current_selections(t.spark, f"{base}/accepted")
     return current.select("query_id", listed("selected_image_ids").alias("selected"), text.iso_text(F.col("completed_at")).alias("completed_at"))
@@ -611,7 +614,7 @@ def stratified_split(t):
 
 @query
 def label_image_match(t):
-    return dataset.label_image_match(derived.labelme(t), derived.label_images(t))
+    return dataset.label_image_match(derived.labelme(t).select("stem"), derived.label_images(t))
 
 
 def _manifest(t: Tables) -> DataFrame:
@@ -646,7 +649,8 @@ def class_distribution(t):
 
 def _supplier_files(t: Tables, path: str, rows: DataFrame) -> None:
     """One file per row."""
-    rows.write.option("maxRecordsPerFile", 1).text(path)
+    spread = rows.repartition(t.spark.sparkContext.defaultParallelism)
+    spread.write.option("maxRecordsPerFile", 1).text(path)
 
 
 @query

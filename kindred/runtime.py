@@ -12,16 +12,14 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local session without that setting gets a temporary folder of its own.
     """
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="kindred-"))
-    return context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="kindred-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from kindred.operators import diverse, search
@@ -165,6 +166,14 @@ def test_max_query_similarity_equals_all_pairs(spark):
         assert got[group] == pytest.approx(max([0.0, *pairs]), abs=1e-9)
 
 
+def test_mixed_widths_are_an_error(spark):
+    items = spark.createDataFrame(
+        [("a", 1, [1.0, 2.0]), ("a", 2, [1.0]), ("a", 3, [1.0, 2.0, 3.0])], "`group` string, id bigint, embedding array<float>"
+    ).coalesce(1)
+    with pytest.raises(PythonException, match="one width"):
+        search.cosine_topk(items, items.filter("id = 1"), 1).collect()
+
+
 def test_no_items(spark):
     items = spark.createDataFrame([], "`group` string, id string, embedding array<float>")
     assert diverse.diverse_queries(items).count() == 0
