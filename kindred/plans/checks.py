@@ -345,7 +345,7 @@ def stream_incremental(t):
         t.spark, listed_images, scorer, f"{base}/features", f"{base}/failures", f"{base}/state"
     ).awaitTermination()
     done = t.spark.read.parquet(f"{base}/features").select("image_uuid", F.lit("ok").alias("state"))
-    failed = extraction_stream.earlier_failures(t.spark, f"{base}/failures", 1 << 40)
+    failed = extraction_stream.open_failures(t.spark, f"{base}/failures")
     return done.unionByName(failed.select("image_uuid", F.lit("failed").alias("state")))
 
 

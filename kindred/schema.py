@@ -127,11 +127,3 @@ SCORED = T.StructType(
         T.StructField("latency_ms", T.DoubleType()),
     ]
 )
-
-SUBMISSION = T.StructType(
-    [
-        T.StructField("query_id", T.StringType()),
-        T.StructField("selected_image_ids", T.ArrayType(T.StringType())),
-        T.StructField("completed_at", T.TimestampNTZType()),
-    ]
-)

@@ -1,6 +1,5 @@
 """Incremental extraction as a stream over the image-list folder."""
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,28 +8,27 @@ from kindred import schema
 from kindred.operators.catalogue import incremental_todo
 from kindred.operators.extraction import Scorer, batch_score
 from kindred.operators.skew import sent_if_small
+from kindred.streaming.batches import batch_folder, batch_table, run_of, written_before
 
+IMAGE_COLUMNS = schema.IMAGE_LIST.fieldNames()
 
-def _table(spark: SparkSession, path: str, shape) -> DataFrame:
-    """A parquet table, empty before its first write."""
-    try:
-        return spark.read.schema(shape).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], shape)
-        raise
 
+def _snapshots(spark: SparkSession, failures: str) -> DataFrame:
+    """Failure snapshots of all batches; turn counts them."""
+    columns = ", ".join(f"{c} string" for c in IMAGE_COLUMNS)
+    return batch_table(spark, failures, f"{columns}, reason string, turn bigint")
 
-def earlier_failures(spark: SparkSession, failures: str, batch_id: int) -> DataFrame:
-    """Images whose last try before this batch failed.
 
-    Every batch leaves one snapshot, so the newest one below batch_id holds them all.
-    """
-    images = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.IMAGE_LIST)
-    stored = _table(spark, failures, f"{images}, reason string, batch bigint").filter(F.col("batch") < batch_id)
-    newest = stored.agg(F.max("batch").alias("b")).first()["b"]
-    last = stored.filter(F.col("batch") == (-1 if newest is None else newest))
-    return last.filter(F.col("image_uuid").isNotNull()).select(*schema.IMAGE_LIST.fieldNames())
+def _newest(snapshots: DataFrame) -> tuple[int, DataFrame]:
+    """Turn of the newest snapshot, 0 if there is none, and its failed images."""
+    turn = snapshots.agg(F.coalesce(F.max("turn"), F.lit(0))).first()[0]
+    failed = snapshots.filter((F.col("turn") == turn) & F.col("image_uuid").isNotNull())
+    return turn, failed.select(*IMAGE_COLUMNS)
+
+
+def open_failures(spark: SparkSession, failures: str) -> DataFrame:
+    """Images whose last try failed."""
+    return _newest(_snapshots(spark, failures))[1]
 
 
 def start_extraction(
@@ -40,26 +38,27 @@ def start_extraction(
 
     The file source hands every row out once; the failure snapshots are what brings failed rows back.
     Each batch writes its own folders, so a batch that is repeated after a crash replaces its output.
-    Every failure snapshot has one row without uuid, so that a batch without failures leaves one too.
+    Every snapshot has one row without uuid, so that a batch without failures leaves one too.
     """
-    columns = schema.IMAGE_LIST.fieldNames()
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        done = _table(session, features, "image_uuid string, batch bigint").filter(F.col("batch") < batch_id)
-        retried = earlier_failures(session, failures, batch_id)
-        rows = batch.select(*columns).unionByName(retried)
+        session, stream = batch.sparkSession, run_of(batch)
+        before = written_before(stream, batch_id)
+        turn, retried = _newest(_snapshots(session, failures).filter(before))
+        rows = batch.select(*IMAGE_COLUMNS).unionByName(retried)
         # The stored keys are cut down to those of a small batch while they are scanned, before any shuffle.
         keys = sent_if_small(rows.select("image_uuid"), rows.count())
+        done = batch_table(session, features, "image_uuid string").filter(before)
         todo = incremental_todo(rows, done.join(keys, "image_uuid", "left_semi"))
         scored = batch_score(todo, scorer).persist()
         try:
             ok = scored.filter(F.col("status") == "ok").drop("status", "name", "reason")
-            ok.write.mode("overwrite").parquet(f"{features}/batch={batch_id}")
+            ok.write.mode("overwrite").parquet(batch_folder(features, stream, batch_id))
             failed = scored.filter(F.col("status") == "failed").select("image_uuid", "reason").distinct()
-            again = todo.join(failed, "image_uuid").select(*columns, "reason").distinct()
+            again = todo.join(failed, "image_uuid").select(*IMAGE_COLUMNS, "reason").distinct()
             always = session.createDataFrame([(None,) * len(again.columns)], again.schema)
-            again.unionByName(always).write.mode("overwrite").parquet(f"{failures}/batch={batch_id}")
+            snapshot = again.unionByName(always).withColumn("turn", F.lit(turn + 1).cast("bigint"))
+            snapshot.write.mode("overwrite").parquet(batch_folder(failures, stream, batch_id))
         finally:
             scored.unpersist()
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kindred.operators.review import latest, validate
+from kindred.streaming.batches import batch_folder, run_of
 
 
 def start_intake(submissions: DataFrame, candidates: DataFrame, accepted: str, checkpoint: str) -> StreamingQuery:
@@ -18,7 +19,7 @@ def start_intake(submissions: DataFrame, candidates: DataFrame, accepted: str, c
         newest = latest(checked, "completed_at", "submission_id")
         newest.select("query_id", "selected_image_ids", "completed_at", "submission_id").write.mode(
             "overwrite"
-        ).parquet(f"{accepted}/batch={batch_id}")
+        ).parquet(batch_folder(accepted, run_of(batch), batch_id))
 
     return (
         submissions.writeStream.foreachBatch(run)
