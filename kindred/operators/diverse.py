@@ -7,6 +7,7 @@ because no item outside can be lower. Only then the next pass starts. The picks
 pass per step.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +21,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from kindred.constants import DIVERSITY_THRESHOLD, QUERIES_PER_CATEGORY
 from kindred.operators.blocks import COMPARED_DIGITS, by_group, matrix, plain, unit_rows
 from kindred.operators.skew import sent_if_small
+from kindred.runtime import fresh_path, stored
 
 # Rows of a group kept by one pass.
 FRONTIER_ROWS = 128
-# Chosen vectors held at a time; more groups are worked through in turns.
+# Groups, and bytes of their chosen vectors, held at a time; more groups are worked through in turns.
+TURN_GROUPS = 10_000
 CHOSEN_BYTES = 256 << 20
 # Results of this many tasks, then of this many merges, are merged at a time.
 MERGE_FAN_IN = 64
@@ -202,17 +205,12 @@ def diverse_queries(
     Items are read once per pass; pass in a stored table when computing them is costly.
     """
     items = items.filter(F.col("group").isNotNull()).select("group", "id", "embedding")
+    head = items.select("embedding").first()
+    width = max(len(head["embedding"]), 1) if head else 1
+    per_turn = max(1, min(TURN_GROUPS, CHOSEN_BYTES // (8 * n * width)))
     # Reads no vectors.
     sizes = items.groupBy("group").agg(F.count("*").alias("rows"), F.min("id").alias("first"))
-    rows = sizes.orderBy("group").collect()
-    width = len(items.select("embedding").first()["embedding"]) if rows else 1
-    per_turn = max(1, CHOSEN_BYTES // (8 * n * max(width, 1)))
-    picks: list[tuple] = []
-    for start in range(0, len(rows), per_turn):
-        turn = rows[start : start + per_turn]
-        counts, firsts = {r["group"]: r["rows"] for r in turn}, {r["group"]: r["first"] for r in turn}
-        picks += _select_groups(items, counts, firsts, n, frontier_rows)
-    whole = {r["group"] for r in rows if r["rows"] <= n}
+    few = sizes.limit(per_turn + 1).collect()
     schema = T.StructType(
         [
             T.StructField("group", items.schema["group"].dataType),
@@ -222,10 +220,21 @@ def diverse_queries(
             T.StructField("over_threshold", T.BooleanType()),
         ]
     )
-    flagged = [
-        (g, o, i, s, s is not None and g not in whole and s >= threshold) for g, o, i, s in picks
-    ]
-    return items.sparkSession.createDataFrame(flagged, schema)
+
+    def picks_of(rows: list) -> DataFrame:
+        counts, firsts = {r["group"]: r["rows"] for r in rows}, {r["group"]: r["first"] for r in rows}
+        picks = _select_groups(items, counts, firsts, n, frontier_rows)
+        flagged = [(g, o, i, s, s is not None and counts[g] > n and s >= threshold) for g, o, i, s in picks]
+        return items.sparkSession.createDataFrame(flagged, schema)
+
+    if len(few) <= per_turn:
+        return picks_of(few)
+    sizes, path = stored(sizes, "sizes"), fresh_path(items.sparkSession, "picks")
+    turns = math.ceil(sizes.count() / per_turn)
+    for turn in range(turns):
+        in_turn = F.pmod(F.xxhash64("group"), F.lit(turns)) == turn
+        picks_of(sizes.filter(in_turn).collect()).write.mode("append").parquet(path)
+    return items.sparkSession.read.schema(schema).parquet(path)
 
 
 def max_query_similarity(picks: DataFrame) -> DataFrame:

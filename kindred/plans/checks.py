@@ -135,20 +135,21 @@ def channel_center_bgr(t):
 
 @query
 def diverse_queries(t):
-    return diverse.diverse_queries(derived.search_items(t)).withColumn("max_similarity", F.round("max_similarity", 6))
+    return diverse.diverse_queries(derived.vector_items(t)).withColumn("max_similarity", F.round("max_similarity", 6))
 
 
 @query
 def max_query_similarity(t):
-    picks = diverse.diverse_queries(derived.search_items(t))
+    picks = diverse.diverse_queries(derived.vector_items(t))
     return diverse.max_query_similarity(picks).withColumn("max_similarity", F.round("max_similarity", 6))
 
 
 def _searched(t: Tables, n: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Items, and the diverse queries among them."""
-    items = derived.search_items(t)
+    """Items with codes, and the diverse queries among them."""
+    items = derived.vector_items(t)
     picks = diverse.diverse_queries(items, n)
-    return items, items.join(sent_if_small(picks.select("group", "id"), picks.count()), ["group", "id"])
+    chosen = items.join(sent_if_small(picks.select("group", "id"), picks.count()), ["group", "id"])
+    return derived.with_codes(items), derived.with_codes(chosen)
 
 
 @query

@@ -42,9 +42,13 @@ def text_of(column: str) -> Column:
 # Items: one per embedding. Labels 0-4 are the named categories.
 
 
-def search_items(t: Tables) -> DataFrame:
-    """group, id, embedding, channels, words."""
-    items = t.embeddings.select(F.col("label").alias("group"), F.col("vec_id").alias("id"), "embedding")
+def vector_items(t: Tables) -> DataFrame:
+    """group, id, embedding."""
+    return t.embeddings.select(F.col("label").alias("group"), F.col("vec_id").alias("id"), "embedding")
+
+
+def with_codes(items: DataFrame) -> DataFrame:
+    """Items with channels and words computed from the embedding."""
     signature = vectors.stage_signature(vectors.stage_slices(F.col("embedding"), STAGES))
     return items.withColumn("channels", vectors.top_channels(signature, CHANNELS)).withColumn(
         "words", vectors.bit_words(vectors.binarize(F.col("embedding")))

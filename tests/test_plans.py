@@ -30,7 +30,7 @@ def test_meta_dedup_limits_before_the_shuffle(tables):
 
 
 def test_neighbours_move_only_results(tables):
-    items = derived.search_items(tables)
+    items = derived.with_codes(derived.vector_items(tables))
     queries = items.filter("id < 10")
     plan = executed(search.cosine_topk(items, queries, 5))
     # One shuffle, above the Python scan; nothing below it but the file.
@@ -41,7 +41,7 @@ def test_neighbours_move_only_results(tables):
 
 
 def test_channel_scan_groups_filter_at_the_scan(tables):
-    items = derived.search_items(tables)
+    items = derived.with_codes(derived.vector_items(tables))
     plan = executed(search.cosine_topk(items, items.filter("id < 10"), 5))
     assert "PushedFilters: [" in plan and "In(label" in plan
 
