@@ -200,9 +200,9 @@ def diverse_queries(
 ) -> DataFrame:
     """n diverse items per group: group, ordinal, id, max_similarity, over_threshold.
 
-    items: group, id, embedding, all vectors of one width. A group with at most n items is taken whole, in id order. max_similarity
-    is the highest similarity to the earlier picks, null for the first. The threshold only flags.
-    Items are read once per pass; pass in a stored table when computing them is costly.
+    items: group, id, embedding, all vectors of one width. A group with at most n items is taken whole, in id
+    order. max_similarity is the highest similarity to the earlier picks, null for the first. The threshold
+    only flags. Items are read once per pass; pass in a stored table when computing them is costly.
     """
     items = items.filter(F.col("group").isNotNull()).select("group", "id", "embedding")
     head = items.select("embedding").first()

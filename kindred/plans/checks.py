@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred import schema
-from kindred.constants import CLASS_NAMES
+from kindred.constants import CANDIDATES_PER_QUERY, DIVERSITY_THRESHOLD, QUERIES_PER_CATEGORY
 from kindred.functions import boxes, codes, text, vectors
 from kindred.operators import (
     backbones,
@@ -93,14 +93,18 @@ def top_channels(t):
 
 @query
 def binarize(t):
-    return t.embeddings.select("vec_id", F.array_join(vectors.binarize(F.col("embedding")).cast("array<string>"), "").alias("bits"))
+    return t.embeddings.select(
+        "vec_id", F.array_join(vectors.binarize(F.col("embedding")).cast("array<string>"), "").alias("bits")
+    )
 
 
 @query
 def pack_bits(t):
     bits = vectors.binarize(F.col("embedding"))
     return t.embeddings.select(
-        "vec_id", F.hex(vectors.pack_bits(bits)).alias("packed"), listed(vectors.bit_words(bits).cast("array<string>")).alias("words")
+        "vec_id",
+        F.hex(vectors.pack_bits(bits)).alias("packed"),
+        listed(vectors.bit_words(bits).cast("array<string>")).alias("words"),
     )
 
 
@@ -222,13 +226,17 @@ def image_meta_dedup(t):
 
 @query
 def dim_filter(t):
-    return catalogue.dim_filter(derived.features(t), derived.DIM).select("image_uuid", F.size("embedding").alias("width"))
+    return catalogue.dim_filter(derived.features(t), derived.DIM).select(
+        "image_uuid", F.size("embedding").alias("width")
+    )
 
 
 @query
 def features_join_meta(t):
     joined = catalogue.features_join_meta(derived.features(t), image_meta_dedup(t), derived.DIM)
-    return joined.select("image_uuid", "image_url", "category", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"))
+    return joined.select(
+        "image_uuid", "image_url", "category", F.round(vectors.norm(F.col("embedding")), 6).alias("norm")
+    )
 
 
 @query
@@ -260,8 +268,8 @@ def run_stats(t):
 @query
 def failure_log(t):
     path = fresh_path(t.spark, "failures")
-    feature_sinks.write_failure_log(extraction.failure_lines(derived.scored_lines(t)), path)
-    return t.spark.read.text(path)
+    lines = extraction.failure_lines(derived.scored_lines(t))
+    return t.spark.read.text(path) if feature_sinks.write_failure_log(lines, path) else lines
 
 
 @query
@@ -269,7 +277,9 @@ def scan_image_list(t):
     path = fresh_path(t.spark, "image-list")
     name = F.concat(F.lit('a "'), "p_name", F.lit('", '), "p_brand")
     rows = derived.part_urls(t).join(t.part.select("p_partkey", name.alias("name")), "p_partkey")
-    listed_rows = rows.select(F.col("p_partkey").cast("string").alias("image_uuid"), "image_url", F.col("name").alias("image_original_name"))
+    listed_rows = rows.select(
+        F.col("p_partkey").cast("string").alias("image_uuid"), "image_url", F.col("name").alias("image_original_name")
+    )
     listed_rows.write.option("header", "true").option("escape", '"').csv(path)
     return images.read_image_list(t.spark, path).select("image_uuid", "image_url", "image_original_name")
 
@@ -297,7 +307,12 @@ def _scored_vectors(t: Tables, name: str) -> DataFrame:
 @query
 def batch_score(t):
     return _scored_vectors(t, "vectors").select(
-        "image_uuid", "status", "channel_order", F.hex("signature").alias("signature"), F.length("embedding").alias("embedding_bytes"), "reason"
+        "image_uuid",
+        "status",
+        "channel_order",
+        F.hex("signature").alias("signature"),
+        F.length("embedding").alias("embedding_bytes"),
+        "reason",
     )
 
 
@@ -328,7 +343,9 @@ def max_file_index(t):
 @query
 def stream_incremental(t):
     base = fresh_path(t.spark, "stream")
-    rows = derived.part_urls(t).select(F.col("p_partkey").cast("string").alias("image_uuid"), "image_url", F.lit("n").alias("image_original_name"))
+    rows = derived.part_urls(t).select(
+        F.col("p_partkey").cast("string").alias("image_uuid"), "image_url", F.lit("n").alias("image_original_name")
+    )
     # A few batches whatever the size: files and files per batch grow with the cluster.
     tasks = t.spark.sparkContext.defaultParallelism
     rows.repartition(2 * tasks).write.option("header", "true").csv(f"{base}/lists")
@@ -373,7 +390,11 @@ def box_clip(t):
 @query
 def detections_per_image(t):
     lists = detections.detections_per_image(derived.detected_images(t), derived.detections(t), list_rows=20)
-    entry = lambda d: F.concat_ws(":", d["class"], F.round(d["confidence"] * 10000).cast("int"), F.array_join(d["coordinate"].cast("array<string>"), ":"))
+
+    def entry(d: Column) -> Column:
+        points = F.array_join(d["coordinate"].cast("array<string>"), ":")
+        return F.concat_ws(":", d["class"], F.round(d["confidence"] * 10000).cast("int"), points)
+
     return lists.select("image_id", "part", listed(F.transform("detections", entry)).alias("detections"))
 
 
@@ -412,7 +433,9 @@ def _validated(t: Tables) -> DataFrame:
 
 @query
 def selection_validate(t):
-    return _validated(t).select("submission_id", "query_id", listed("selected_image_ids").alias("selected"), "valid_ids", "accepted")
+    return _validated(t).select(
+        "submission_id", "query_id", listed("selected_image_ids").alias("selected"), "valid_ids", "accepted"
+    )
 
 
 def _upserted(t: Tables) -> DataFrame:
@@ -426,7 +449,11 @@ def _selections(t: Tables) -> DataFrame:
 
 @query
 def selection_upsert(t):
-    return _upserted(t).select("query_id", listed("selected_image_ids").alias("selected"), text.iso_text(F.col("completed_at")).alias("completed_at"))
+    return _upserted(t).select(
+        "query_id",
+        listed("selected_image_ids").alias("selected"),
+        text.iso_text(F.col("completed_at")).alias("completed_at"),
+    )
 
 
 @query
@@ -451,7 +478,9 @@ def gt_totals(t):
 
 @query
 def similarity_percent(t):
-    return derived.candidates(t).select("query_id", "image_uuid", text.similarity_percent(F.col("similarity")).alias("percent"))
+    return derived.candidates(t).select(
+        "query_id", "image_uuid", text.similarity_percent(F.col("similarity")).alias("percent")
+    )
 
 
 @query
@@ -461,9 +490,14 @@ def stream_selection_upsert(t):
     derived.submissions(t).repartition(2 * tasks).write.parquet(f"{base}/submissions")
     shape = derived.submissions(t).schema
     arriving = t.spark.readStream.schema(shape).option("maxFilesPerTrigger", tasks).parquet(f"{base}/submissions")
-    selection_stream.start_intake(arriving, derived.candidates(t), f"{base}/accepted", f"{base}/state").awaitTermination()
+    intake = selection_stream.start_intake(arriving, derived.candidates(t), f"{base}/accepted", f"{base}/state")
+    intake.awaitTermination()
     current = selection_stream.current_selections(t.spark, f"{base}/accepted")
-    return current.select("query_id", listed("selected_image_ids").alias("selected"), text.iso_text(F.col("completed_at")).alias("completed_at"))
+    return current.select(
+        "query_id",
+        listed("selected_image_ids").alias("selected"),
+        text.iso_text(F.col("completed_at")).alias("completed_at"),
+    )
 
 
 # Documents
@@ -474,7 +508,14 @@ def _document_path(t: Tables) -> str:
     items = stored(derived.catalogue_items(t), "catalogue", ("category",))
     truth = ground_truth.build(items)
     document = document_sinks.queries_document(
-        truth.queries, truth.candidates, items.groupBy("category").agg(F.count("*").alias("total_images")), CREATED_AT, t.folder, 0.95, 20, 20
+        truth.queries,
+        truth.candidates,
+        items.groupBy("category").agg(F.count("*").alias("total_images")),
+        CREATED_AT,
+        t.folder,
+        DIVERSITY_THRESHOLD,
+        QUERIES_PER_CATEGORY,
+        CANDIDATES_PER_QUERY,
     )
     path = fresh_path(t.spark, "queries-json")
     document_sinks.write_text(document, path)
@@ -488,14 +529,19 @@ def queries_document(t):
     entry = doc.select("doc.metadata.total_images", F.explode("doc.categories").alias("category", "entry"))
     pairs = F.transform("entry.queries", lambda q: F.concat_ws("=", q["query_id"], q["image_uuid"]))
     return entry.select(
-        F.col("total_images").alias("all_images"), "category", F.col("entry.total_images").alias("total_images"), listed(pairs).alias("queries")
+        F.col("total_images").alias("all_images"),
+        "category",
+        F.col("entry.total_images").alias("total_images"),
+        listed(pairs).alias("queries"),
     )
 
 
 @query
 def flatten_queries(t):
     queries, candidates = documents.read_query_document(t.spark, _document_path(t))
-    return queries.select("query_id", "category", F.col("image_uuid").alias("query_image_uuid")).join(candidates, "query_id")
+    return queries.select("query_id", "category", F.col("image_uuid").alias("query_image_uuid")).join(
+        candidates, "query_id"
+    )
 
 
 @query
@@ -504,7 +550,11 @@ def scan_selections(t):
     rows = derived.stored_selections(t).withColumn("completed_at", text.iso_text(F.col("completed_at")))
     document_sinks.write_text(document_sinks.selection_document(rows), path)
     read = documents.read_selections(t.spark, path, lines=True)
-    return read.select("query_id", listed("selected_image_ids").alias("selected"), text.iso_text(F.col("completed_at")).alias("completed_at"))
+    return read.select(
+        "query_id",
+        listed("selected_image_ids").alias("selected"),
+        text.iso_text(F.col("completed_at")).alias("completed_at"),
+    )
 
 
 @query
@@ -514,7 +564,12 @@ def scan_reviewed(t):
     rows = derived.reviewed(t).withColumn("completed_at", F.lit("2026-04-19T19:59:48.307218700"))
     document_sinks.write_text(document_sinks.selection_document(rows, columns), path)
     read = documents.read_reviewed(t.spark, path, lines=True)
-    return read.select("query_id", listed("selected_image_ids").alias("selected"), "total_results", text.iso_text(F.col("completed_at")).alias("completed_at"))
+    return read.select(
+        "query_id",
+        listed("selected_image_ids").alias("selected"),
+        "total_results",
+        text.iso_text(F.col("completed_at")).alias("completed_at"),
+    )
 
 
 # Ranking and evaluation
@@ -527,7 +582,11 @@ def category_from_query_id(t):
 
 @query
 def rank_queries(t):
-    known = derived.queries(t).join(t.orders.filter(F.col("o_orderstatus") != "P").select(derived.order_query_id("o_orderkey").alias("query_id")), "query_id", "left_semi")
+    known = derived.queries(t).join(
+        t.orders.filter(F.col("o_orderstatus") != "P").select(derived.order_query_id("o_orderkey").alias("query_id")),
+        "query_id",
+        "left_semi",
+    )
     return ranking.rank_queries(derived.answer_lists(t), known).withColumn("ground_truth", listed("ground_truth"))
 
 
@@ -626,7 +685,9 @@ def _manifest(t: Tables) -> DataFrame:
 def dataset_manifest(t):
     path = fresh_path(t.spark, "manifest")
     dataset_sinks.write_manifest(_manifest(t), path)
-    return t.spark.read.parquet(path).select("stem", "class_id", F.col("split").cast("string").alias("split"), "safe_name", "ext", "ok")
+    return t.spark.read.parquet(path).select(
+        "stem", "class_id", F.col("split").cast("string").alias("split"), "safe_name", "ext", "ok"
+    )
 
 
 @query
@@ -682,4 +743,6 @@ def scan_labelme(t):
     _supplier_files(t, path, t.supplier.select(F.to_json(document).alias("value")))
     read = labels.read_labelme(t.spark, path)
     y1 = F.col("shapes")[0]["points"][0][1]
-    return read.select("imageWidth", "imageHeight", y1.alias("y1"), F.col("shapes")[0]["shape_type"].alias("shape_type"))
+    return read.select(
+        "imageWidth", "imageHeight", y1.alias("y1"), F.col("shapes")[0]["shape_type"].alias("shape_type")
+    )

@@ -274,7 +274,9 @@ def requests(t: Tables) -> DataFrame:
 
 def backbone_runs(t: Tables) -> DataFrame:
     """Results of every extractor for every request: request_id, name, status, channel_order, reason, latency_ms."""
-    runs = t.orders.select("o_orderkey", "o_totalprice", F.explode(F.array(*[F.lit(b.name) for b in BACKBONES])).alias("name"))
+    runs = t.orders.select(
+        "o_orderkey", "o_totalprice", F.explode(F.array(*[F.lit(b.name) for b in BACKBONES])).alias("name")
+    )
     bad = F.pmod(F.col("o_orderkey") + F.length("name"), F.lit(13)) == 0
     return runs.select(
         F.col("o_orderkey").alias("request_id"),

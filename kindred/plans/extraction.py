@@ -14,7 +14,12 @@ from kindred.sources.images import read_image_list
 
 
 def extract(
-    spark: SparkSession, image_lists: str, features: str, failure_log: str, scorer: Scorer, partitions: int | None = None
+    spark: SparkSession,
+    image_lists: str,
+    features: str,
+    failure_log: str,
+    scorer: Scorer,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Score the images without stored features and append their chunks: one row of run statistics."""
     start = time.monotonic()

@@ -104,7 +104,9 @@ def export_metadata(rows: DataFrame, created_at: str) -> DataFrame:
     )
 
 
-def selection_document(selections: DataFrame, columns: Sequence[str] = ("selected_image_ids", "completed_at")) -> DataFrame:
+def selection_document(
+    selections: DataFrame, columns: Sequence[str] = ("selected_image_ids", "completed_at")
+) -> DataFrame:
     """One line of JSON per query of a selection table: value."""
     entry = F.struct(*[F.col(c) for c in columns])
     return selections.select(F.to_json(F.map_from_arrays(F.array("query_id"), F.array(entry))).alias("value"))

@@ -96,6 +96,8 @@ def test_label_lines_and_counts(spark, tmp_path):
 
 def test_image_match_prefers_jpg(spark):
     stems = spark.createDataFrame([("a",), ("b",), ("c",)], "stem string")
-    found = spark.createDataFrame([("a", ".png"), ("a", ".jpg"), ("b", ".png"), ("c", ".gif")], "stem string, ext string")
+    found = spark.createDataFrame(
+        [("a", ".png"), ("a", ".jpg"), ("b", ".png"), ("c", ".gif")], "stem string, ext string"
+    )
     got = {r["stem"]: r["ext"] for r in dataset.label_image_match(stems, found).collect()}
     assert got == {"a": ".jpg", "b": ".png", "c": None}

@@ -26,7 +26,9 @@ SUMMARY = {
 
 def test_recorded_counts_give_the_recorded_summary(spark):
     rows = [(c, f"{c}_{i:02d}", h, ret, rel) for c, qs in RECORDED.items() for i, h, ret, rel in qs]
-    counts = spark.createDataFrame(rows, "category string, query_id string, hit bigint, retrieved bigint, relevant bigint")
+    counts = spark.createDataFrame(
+        rows, "category string, query_id string, hit bigint, retrieved bigint, relevant bigint"
+    )
     evaluated = evaluation.with_ratios(counts)
     first = evaluated.filter("query_id = 'bag_00'").first()
     assert (first["precision"], first["recall"]) == (0.7, 0.35)
@@ -42,7 +44,9 @@ def test_pairs_reproduce_the_counts(spark):
             retrieved += [(query, f"r{j}") for j in range(ret)]
             relevant += [(query, f"r{j}") for j in range(hit)] + [(query, f"x{j}") for j in range(rel - hit)]
     shape = "query_id string, image_uuid string"
-    got = evaluation.per_query(spark.createDataFrame(retrieved + retrieved[:5], shape), spark.createDataFrame(relevant, shape))
+    got = evaluation.per_query(
+        spark.createDataFrame(retrieved + retrieved[:5], shape), spark.createDataFrame(relevant, shape)
+    )
     expected = {f"{c}_{i:02d}": (h, ret, rel) for c, qs in RECORDED.items() for i, h, ret, rel in qs}
     assert {r["query_id"]: (r["hit"], r["retrieved"], r["relevant"]) for r in got.collect()} == expected
 

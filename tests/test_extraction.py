@@ -49,8 +49,13 @@ def write_list(path, rows, header=("image_uuid", "image_url", "image_original_na
 
 
 def test_image_lists(spark, tmp_path):
-    write_list(tmp_path / "images_1.csv", [("0001", "/upload/가방/a.jpg", 'one, "two"\nthree'), ("0002", "/upload/bag/b.jpg", "")])
-    write_list(tmp_path / "images_2.csv", [("0001", "/upload/신발/c.jpg"), ("0003", "d.jpg")], ("image_uuid", "image_url"))
+    write_list(
+        tmp_path / "images_1.csv",
+        [("0001", "/upload/가방/a.jpg", 'one, "two"\nthree'), ("0002", "/upload/bag/b.jpg", "")],
+    )
+    write_list(
+        tmp_path / "images_2.csv", [("0001", "/upload/신발/c.jpg"), ("0003", "d.jpg")], ("image_uuid", "image_url")
+    )
     pattern = f"{tmp_path}/images_*.csv"
     got = {(r["image_uuid"], r["image_original_name"]) for r in images.read_image_list(spark, pattern).collect()}
     assert got == {("0001", 'one, "two"\nthree'), ("0002", ""), ("0001", "0001"), ("0003", "0003")}
@@ -80,7 +85,9 @@ def test_file_index(spark, tmp_path):
 
 def test_features_of_plain_files(spark, tmp_path):
     v = vector_of("5")
-    row = ("5", base64.b64encode(b"\x80\x01").decode(), "[3, 1]", base64.b64encode(v.astype(np.float16).tobytes()).decode())
+    row = (
+        "5", base64.b64encode(b"\x80\x01").decode(), "[3, 1]", base64.b64encode(v.astype(np.float16).tobytes()).decode()
+    )
     with open(tmp_path / "efficientNet_001.csv", "w", newline="") as f:
         writer = csv.writer(f)
         writer.writerow(["image_uuid", "img_feature_value_base64", "img_feature_order", "img_embedding_base64"])
@@ -203,8 +210,12 @@ def test_stream_retries_failures(spark, tmp_path):
 
 
 def test_bucketed_tables_join_without_shuffle(spark):
-    feats = spark.range(100).select(F.col("id").cast("string").alias("image_uuid"), F.array(F.lit(1.0)).cast("array<float>").alias("embedding"))
-    meta = spark.range(100).select(F.col("id").cast("string").alias("image_uuid"), F.lit("u").alias("image_url"), F.lit("bag").alias("category"))
+    feats = spark.range(100).select(
+        F.col("id").cast("string").alias("image_uuid"), F.array(F.lit(1.0)).cast("array<float>").alias("embedding")
+    )
+    meta = spark.range(100).select(
+        F.col("id").cast("string").alias("image_uuid"), F.lit("u").alias("image_url"), F.lit("bag").alias("category")
+    )
     save_bucketed(feats, "bucketed_features", "image_uuid", 4)
     save_bucketed(meta, "bucketed_meta", "image_uuid", 4)
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

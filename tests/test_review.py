@@ -174,11 +174,19 @@ def test_selection_documents(spark, tmp_path):
 
 def test_reviewed_and_evaluation_documents(spark, tmp_path):
     with open(f"{tmp_path}/reviewed.json", "w") as f:
-        json.dump({"bag_00": {"completed_at": "2026-04-19T20:06:49", "selected_image_ids": [], "total_results": 9}}, f, indent=2)
+        json.dump(
+            {"bag_00": {"completed_at": "2026-04-19T20:06:49", "selected_image_ids": [], "total_results": 9}},
+            f,
+            indent=2,
+        )
     assert documents.read_reviewed(spark, f"{tmp_path}/reviewed.json").first()["total_results"] == 9
     row = {"query_id": "bag_00", "hit": 7, "retrieved": 10, "relevant": 20, "precision": 0.7, "recall": 0.35}
     with open(f"{tmp_path}/eval.json", "w") as f:
-        json.dump({"details": {"bag": [row]}, "summary": {"bag": {"query_count": 1, "avg_precision": 0.7, "avg_recall": 0.35}}}, f, indent=2)
+        json.dump(
+            {"details": {"bag": [row]}, "summary": {"bag": {"query_count": 1, "avg_precision": 0.7, "avg_recall": 0.35}}},
+            f,
+            indent=2,
+        )
     details, summary = documents.read_evaluation(spark, f"{tmp_path}/eval.json")
     assert details.first().asDict() == {"category": "bag", **row}
     assert tuple(summary.first()) == ("bag", 1, 0.7, 0.35)
@@ -198,6 +206,10 @@ def test_initial_selections_are_not_overwritten(spark, tmp_path):
 
 def test_every_category_is_ordered(spark):
     queries, _, _ = tables(spark)
-    more = queries.unionByName(queries.filter("category = 'food'").withColumn("category", F.lit("clothes")).withColumn("query_id", F.lit("clothes_00")))
+    more = queries.unionByName(
+        queries.filter("category = 'food'").withColumn("category", F.lit("clothes")).withColumn(
+            "query_id", F.lit("clothes_00")
+        ),
+    )
     got = [r["query_id"] for r in review.navigation(more).orderBy("place").collect()]
     assert got == ["bag_00", "bag_01", "food_00", "clothes_00"]

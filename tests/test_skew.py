@@ -23,7 +23,9 @@ def test_copies_of_one_key_are_numbered_too(spark):
     assert [k for _, k in sorted(got)] == sorted(k for _, k in got)
 
 
-@pytest.mark.parametrize("rows, sizes", [(0, {}), (10, {4: 10}), (1000, {4: 500, 5: 500}), (1203, {4: 500, 5: 500, 6: 203})])
+@pytest.mark.parametrize(
+    "rows, sizes", [(0, {}), (10, {4: 10}), (1000, {4: 500, 5: 500}), (1203, {4: 500, 5: 500, 6: 203})]
+)
 def test_chunk_number(spark, rows, sizes):
     df = spark.range(rows).repartition(5)
     got = Counter(r["file_no"] for r in chunk_number(df, "id", start=3).collect())
