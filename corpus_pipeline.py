@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import language_id
+from kindred.llm import language_id, quality_classifier
+from kindred.llm.common import table
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.keep_identified(docs)
 
 
+def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 STAGES = [
     ("language ID", by_language),
+    ("quality classifier", by_quality),
 ]
 
 ORACLE_SQL = None

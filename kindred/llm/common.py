@@ -75,32 +75,17 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(distinct: pa.Array) -> np.ndarray:
-    """64-bit hash of each word, over its UTF-8 bytes; vectorised over words of one length."""
+    """64-bit hash of each word: the sum of the hashes of its (byte, place) pairs, hashed again with its length."""
     raw = distinct.cast(pa.binary())
     lengths = pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64)
-    ends = np.cumsum(lengths)
-    data = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
-    hashes = mixed(lengths)
-    order = np.argsort(lengths, kind="stable")
-    starts, left = (ends - lengths)[order], lengths[order]
-    for place in range(int(left[-1]) if len(left) else 0):
-        first = np.searchsorted(left, place, "right")
-        if len(left) - first < 8:  # few long words: each in one go
-            for row in order[first:]:
-                rest = data[ends[row] - lengths[row] + place : ends[row]].astype(np.uint64)
-                value = int(hashes[row])
-                for byte in rest.tolist():
-                    value = ((value ^ byte) * 0x100000001B3 + 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
-                hashes[row] = value
-            break
-        rows = order[first:]
-        hashes[rows] = (hashes[rows] ^ data[starts[first:] + place]) * np.uint64(0x100000001B3) + np.uint64(
-            0x9E3779B97F4A7C15
-        )
-    return mixed(hashes)
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    data = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).astype(np.uint64)
+    places = np.arange(len(data), dtype=np.int64) - np.repeat(offsets[:-1], lengths)
+    parts = mixed(data | (places.astype(np.uint64) << np.uint64(8)))
+    return mixed(sums(parts, offsets) + lengths.astype(np.uint64))
 
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of values within each offset range; empty ranges give 0."""
-    running = np.concatenate([[0], np.cumsum(values)])
+    running = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values, dtype=values.dtype)])
     return running[offsets[1:]] - running[offsets[:-1]]
