@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import language_id, quality_classifier
+from kindred.llm import language_id, quality_classifier, quality_rules
 from kindred.llm.common import table
 
 
@@ -14,11 +14,16 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(table(spark, folder, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.by_labels(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
     "op10_language_id": op10_language_id,
 }
