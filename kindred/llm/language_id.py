@@ -222,7 +222,7 @@ def train(labelled: DataFrame, settings: Settings | None = None) -> Model:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score of every row of docs (doc_id, text); a map without any shuffle."""
     return with_prediction(docs.select("doc_id", "text"), model).select(
-        "doc_id", F.col("_lang").alias("lang_pred"), F.col("_score").alias("score")
+        "doc_id", F.col("_kd_lang").alias("lang_pred"), F.col("_kd_score").alias("score")
     )
 
 
@@ -237,12 +237,12 @@ def keep_identified(docs: DataFrame, least: float = 0.4, settings: Settings | No
     """docs without the rows that have no letter or whose language is less certain than `least`."""
     model = train(docs.filter(remainder("doc_id", 3) != 1), settings)
     judged = with_prediction(docs, model)
-    return judged.filter((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least)).drop("_lang", "_score")
+    return judged.filter((F.col("_kd_lang") != UNKNOWN) & (F.col("_kd_score") >= least)).drop("_kd_lang", "_kd_score")
 
 
 def with_prediction(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with the columns _lang and _score beside their own, in the same map task: no join by an id."""
-    schema = StructType([*docs.schema.fields, StructField("_lang", StringType()), StructField("_score", DoubleType())])
+    """docs with the columns _kd_lang and _kd_score beside their own, in the same map task: no join by an id."""
+    schema = StructType([*docs.schema.fields, StructField("_kd_lang", StringType()), StructField("_kd_score", DoubleType())])
 
     def run(batches):
         for batch in batches:
@@ -256,7 +256,7 @@ def with_prediction(docs: DataFrame, model: Model) -> DataFrame:
                     found[row], scores[row] = model.languages[best], chances[best]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(found, pa.string()), pa.array(scores)],
-                [*batch.schema.names, "_lang", "_score"],
+                [*batch.schema.names, "_kd_lang", "_kd_score"],
             )
 
     return in_batches(docs, run, schema)

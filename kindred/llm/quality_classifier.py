@@ -186,7 +186,7 @@ def chances(texts: pa.Array, model: Model) -> np.ndarray:
     return raised / raised.sum(axis=1, keepdims=True)
 
 
-def with_chances(docs: DataFrame, model: Model, name: str = "_chances") -> DataFrame:
+def with_chances(docs: DataFrame, model: Model, name: str = "_kd_chances") -> DataFrame:
     """docs with an array of class probabilities beside their own columns; a map without any shuffle."""
     schema = StructType([*docs.schema.fields, StructField(name, ArrayType(DoubleType()))])
 
@@ -211,7 +211,7 @@ def score(docs: DataFrame, labels: DataFrame, least: float = 0.3, settings: Sett
     """doc_id, held_out, score and predicted (1 if score >= least) of every document."""
     model = train(docs, quality_labels(labels), 2, settings)
     found = with_chances(docs.select("doc_id", "text"), model)
-    chance = F.col("_chances")[1]
+    chance = F.col("_kd_chances")[1]
     return found.select(
         "doc_id",
         (remainder("doc_id", 5) == 0).alias("held_out"),
@@ -223,4 +223,4 @@ def score(docs: DataFrame, labels: DataFrame, least: float = 0.3, settings: Sett
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, settings: Settings | None = None) -> DataFrame:
     """docs without the rows whose score is under `least`."""
     model = train(docs, quality_labels(labels), 2, settings)
-    return with_chances(docs, model).filter(F.col("_chances")[1] >= least).drop("_chances")
+    return with_chances(docs, model).filter(F.col("_kd_chances")[1] >= least).drop("_kd_chances")

@@ -30,7 +30,6 @@ LEAST_WORDS = 10
 MOST_REPEATED_PERCENT = 20
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
-SPACES = (9, 10, 11, 12, 13, 32)
 
 
 def _trigrams(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

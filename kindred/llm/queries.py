@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import language_id, quality_classifier, quality_rules
+from kindred.llm import language_id, mixing, quality_classifier, quality_rules
 from kindred.llm.common import table
 
 
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.rates(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(table(spark, folder, "documents"))
 
@@ -25,6 +29,7 @@ def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
+    "op7_mixing": op7_mixing,
     "op10_language_id": op10_language_id,
 }
 
