@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import language_id, quality_classifier
+from kindred.llm import language_id, mixing, neardup, quality_classifier
 from kindred.llm.common import table
 
 
@@ -16,9 +16,19 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.keep_one(docs)
+
+
+def by_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.draw(docs, table(spark, sf_dir, "labels"))
+
+
 STAGES = [
     ("language ID", by_language),
     ("quality classifier", by_quality),
+    ("MinHash near-dedup", without_copies),
+    ("mixing sources to target weights", by_mixture),
 ]
 
 ORACLE_SQL = None

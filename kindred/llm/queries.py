@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import language_id, mixing, quality_classifier, quality_rules
+from kindred.llm import language_id, mixing, neardup, quality_classifier, quality_rules
 from kindred.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(table(spark, folder, "documents"))
 
 
+def op3_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.by_labels(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -27,6 +31,7 @@ def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_minhash_neardup": op3_minhash_neardup,
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_mixing": op7_mixing,
