@@ -130,7 +130,9 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     """
     chosen = trusted.select("doc_id").filter(F.col("doc_id").isNotNull())
     raw = counts(docs)
-    ratios = log_ratios(counts(docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi")), raw)
+    # The list of trusted ids grows with the corpus, so it is never sent whole to the tasks.
+    trusted_texts = docs.select("doc_id", "text").join(chosen.hint("merge"), "doc_id", "left_semi")
+    ratios = log_ratios(counts(trusted_texts), raw)
     ids = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
