@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import language_id, mixing, neardup, quality_classifier
+from kindred.llm import language_id, mixing, neardup, pieces, quality_classifier
 from kindred.llm.common import table
+from kindred.runtime import stored
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,19 +25,24 @@ def by_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.draw(docs, table(spark, sf_dir, "labels"))
 
 
+def into_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encoded(docs)
+
+
 STAGES = [
     ("language ID", by_language),
     ("quality classifier", by_quality),
     ("MinHash near-dedup", without_copies),
     ("mixing sources to target weights", by_mixture),
+    ("SentencePiece encoding", into_pieces),
 ]
 
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table through all stages."""
+    """The documents table through all stages, each stored in the shared folder and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for at, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if at == 0 else stored(docs, "stage"), sf_dir)
     return docs
