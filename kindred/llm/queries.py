@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import language_id, licenses, mixing, neardup, pieces, quality_classifier, quality_rules, warc
+from kindred.llm import language_id, language_model, licenses, mixing, neardup, pieces, quality_classifier, quality_rules, warc
 from kindred.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.rates(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op8_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score(table(spark, folder, "documents"))
+
+
 def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
+    "op8_language_model": op8_language_model,
     "op9_licenses": op9_licenses,
     "op10_language_id": op10_language_id,
 }
