@@ -8,8 +8,10 @@ sample with probability equal to their weighted Jaccard similarity. Texts that a
 candidates; exact similarities of candidates decide; classes are the connected components of the links.
 
 Exact copies (equal words in equal order) are one node, so a text copied a million times is compared once. Within a
-bucket nobody meets everybody: a leader is compared with all members, then a leader of those that no leader has joined, and
-so on until each component of the bucket has had a leader. Large buckets are joins on stored tables, which Spark splits.
+bucket nobody meets everybody: a leader is compared with all members, then some leaders of those that no leader has
+joined, then more, until each component of the bucket has had a leader. A pair is first compared by all its samples, and its
+shingles are only fetched if at least half agree (at similarity 0.8 one pair in 100,000 has fewer). Large buckets are
+joins on stored tables, which Spark splits.
 
 Defined results: null and empty texts and texts of white space stay alone, as their own class; the class of a document
 is the smallest doc_id in it (nulls aside); repeated rows and copies share a class; one row comes out per row that goes in.
@@ -22,7 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -35,6 +37,10 @@ SIMILARITY = 0.8
 # Texts with similarity 0.8 share a band with probability 1 - (1 - 0.8 ** 3) ** 12 = 0.9998.
 ROWS = 3
 BANDS = 12
+# Of all samples of a pair so many must agree before its shingles are compared.
+AGREEING = ROWS * BANDS // 2
+# Leaders of a bucket grow by this factor from round to round.
+MORE_LEADERS = 8
 IDF_BITS = 16
 IDF_BUCKETS = 1 << IDF_BITS
 
@@ -132,7 +138,7 @@ def _band_keys(drawn: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, key (digest of the words, null without words) and the band values of every document."""
+    """doc_id, key (digest of the words, null without words), band values and samples of every document."""
     ids = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -141,24 +147,27 @@ def signed(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 coded = words(part.column("text"))
                 found = list(shingles(*coded))
                 spoken = [i for i, (held, _) in enumerate(found) if len(held)]
-                bands: list = [None] * part.num_rows
+                bands, drawn = [None] * part.num_rows, [None] * part.num_rows
                 if spoken:
                     hashes = np.concatenate([found[i][0] for i in spoken])
                     weights = np.concatenate([found[i][1] for i in spoken]) * idf[_bucket(hashes)]
                     offsets = np.concatenate([[0], np.cumsum([len(found[i][0]) for i in spoken])])
-                    keys = _band_keys(samples(hashes, np.log(weights), offsets, BANDS * ROWS)).astype(np.int64)
-                    for i, own in zip(spoken, keys):
-                        bands[i] = own.tolist()
+                    own = samples(hashes, np.log(weights), offsets, BANDS * ROWS)
+                    keys, short = _band_keys(own).astype(np.int64), own.astype(np.uint32).astype(np.int32)
+                    for at, i in enumerate(spoken):
+                        bands[i], drawn[i] = keys[at].tolist(), short[at].tolist()
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
                         pa.array(text_keys(*coded), pa.binary()),
                         pa.array(bands, pa.list_(pa.int64())),
+                        pa.array(drawn, pa.list_(pa.int32())),
                     ],
-                    ["doc_id", "key", "bands"],
+                    ["doc_id", "key", "bands", "samples"],
                 )
 
-    return in_batches(docs.select("doc_id", "text"), run, f"doc_id {ids}, key binary, bands array<long>")
+    schema = f"doc_id {ids}, key binary, bands array<long>, samples array<int>"
+    return in_batches(docs.select("doc_id", "text"), run, schema)
 
 
 def with_key(docs: DataFrame, name: str = "_kd_key") -> DataFrame:
@@ -202,6 +211,14 @@ def weighted_jaccard(a, times_a, b, times_b, idf: np.ndarray) -> float:
     return float(shared / (total - shared))
 
 
+def agreeing(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
+    """The pairs (a, b) that agree in at least AGREEING of their samples; drawn: key and samples of each text."""
+    a = drawn.select(F.col("key").alias("a"), F.col("samples").alias("samples_a"))
+    b = drawn.select(F.col("key").alias("b"), F.col("samples").alias("samples_b"))
+    same = F.filter(F.zip_with("samples_a", "samples_b", lambda x, y: x == y), lambda equal: equal)
+    return pairs.join(b, "b").join(a, "a").filter(F.size(same) >= AGREEING).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity is at least `least`."""
     a = sets.select(F.col("key").alias("a"), F.col("held").alias("held_a"), F.col("times").alias("times_a"))
@@ -240,6 +257,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, Data
     shared = entries.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high")
     members = stored(entries.join(stored(shared.select("bucket"), "buckets"), "bucket"), "members")
     candidates = stored(members.select("key").distinct(), "candidates")
+    # Copies have equal samples.
+    drawn = spoken.select("key", "samples").join(candidates, "key", "left_semi").dropDuplicates(["key", "samples"])
+    drawn = stored(drawn, "samples")
     first = nodes.join(candidates, "key", "left_semi").select(_id_text().alias("_kd_id")).distinct()
     named_docs = docs.select("text", _id_text().alias("_kd_id"))
     sets = stored(_shingle_table(named_docs.join(stored(first, "first").hint("merge"), "_kd_id", "left_semi")), "shingles")
@@ -249,17 +269,20 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, Data
     everyone = members.select("bucket", "key", F.col("key").alias("label"))
     waiting, done, rounds = everyone, None, 0
     while not waiting.isEmpty():
-        # The leader of a bucket is a member that no earlier leader's component holds, in an order of the bucket's own.
+        # Leaders of a bucket are members that no earlier leader's component holds, in an order of the bucket's own.
         order = F.xxhash64("key", "bucket", F.lit(rounds))
+        ranked = Window.partitionBy("bucket").orderBy("order", "key")
         leaders = stored(
-            waiting.groupBy("bucket")
-            .agg(F.min(F.struct(order.alias("o"), "key", "label")).alias("m"))
-            .select("bucket", F.col("m.key").alias("a"), F.col("m.label").alias("a_label")),
+            waiting.withColumn("order", order)
+            .withColumn("rank", F.row_number().over(ranked))
+            .filter(F.col("rank") <= min(MORE_LEADERS**rounds, 1 << 30))
+            .select("bucket", F.col("key").alias("a"), F.col("label").alias("a_label")),
             "leaders",
         )
         met = everyone.join(leaders, "bucket").filter("label <> a_label")
-        pairs = met.select(F.least("a", "key").alias("low"), F.greatest("a", "key").alias("high")).distinct()
-        found = stored(verified(pairs.toDF("a", "b"), sets, idf, least), "found")
+        pairs = met.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
+        likely = stored(agreeing(pairs, drawn), "likely")
+        found = stored(verified(likely, sets, idf, least), "found")
         links = found if links is None else stored(links.union(found), "found")
         label = components(links)
         # A member waits on if its component has had no leader in this bucket. Earlier leaders' components are marked
