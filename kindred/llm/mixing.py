@@ -121,8 +121,8 @@ def fit(members: DataFrame, weights: np.ndarray, settings: Settings) -> Fit:
         residual = targets - totals
         if np.abs(residual).max() <= settings.tolerance * budget or length < 1e-3:
             break
-        scale = gram + np.eye(len(weights)) * max(1e-9 * gram.trace(), 1e-12)
-        tried = [*taken, length * np.linalg.solve(scale, residual)]
+        # Domains that always occur in the same ratio give a singular matrix; what they cannot tell apart stays.
+        tried = [*taken, length * (np.linalg.pinv(gram, rcond=1e-8, hermitian=True) @ residual)]
         reached, reached_gram = sums(tried, first)
         if ((targets - reached) ** 2).sum() < (residual**2).sum():
             taken, totals, gram, length = tried, reached, reached_gram, min(1.0, 2 * length)
