@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,9 +28,13 @@ def float16_encode(v: pa.Array) -> pa.Array:
 @F.arrow_udf(T.ArrayType(T.FloatType()))
 def float16_decode(codes: pa.Array) -> pa.Array:
     """Float16 bytes as float vectors; null stays null."""
-    parts = [b"" if c is None else c for c in codes.to_pylist()]
-    values = np.frombuffer(b"".join(parts), dtype=np.float16).astype(np.float32)
-    offsets = pa.array(_offsets(np.array([len(p) // 2 for p in parts], dtype=np.int64)))
+    counts = pc.fill_null(pc.binary_length(codes), 0).to_numpy(zero_copy_only=False)
+    start = np.frombuffer(codes.buffers()[1], np.int32)[codes.offset : codes.offset + 1] if len(codes) else [0]
+    raw = codes.buffers()[2]
+    # A null takes no bytes, so the values of all rows lie one after the other.
+    data = np.frombuffer(raw, np.uint8)[int(start[0]) : int(start[0]) + int(counts.sum())] if raw else np.zeros(0, np.uint8)
+    values = data.view(np.float16).astype(np.float32)
+    offsets = pa.array(_offsets(counts.astype(np.int64) // 2))
     mask = None if codes.null_count == 0 else codes.is_null()
     return pa.ListArray.from_arrays(offsets, pa.array(values), mask=mask)
 

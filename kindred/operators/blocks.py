@@ -45,67 +45,84 @@ def cosine(items: np.ndarray, queries: np.ndarray) -> np.ndarray:
 
 def bit_agreement(items: np.ndarray, queries: np.ndarray) -> np.ndarray:
     """Minus the number of differing bits, so that higher is closer."""
-    scores = np.empty((len(items), len(queries)))
-    for j, query in enumerate(queries.astype(np.uint32)):
-        scores[:, j] = np.bitwise_count(items.astype(np.uint32) ^ query).sum(axis=1)
-    return -scores
+    items, queries = items.astype(np.uint32), queries.astype(np.uint32)
+    differing = np.zeros((len(items), len(queries)), np.int32)
+    for word in range(items.shape[1]):
+        differing += np.bitwise_count(items[:, word, None] ^ queries[None, :, word])
+    return -differing.astype(np.float64)
 
 
 def shared_channels(items: np.ndarray, queries: np.ndarray) -> np.ndarray:
     """Number of list entries in common; a pair without any is no candidate."""
     width = int(max(items.max(initial=0), queries.max(initial=0))) + 1
-    marks = np.zeros((width, len(queries)))
-    for j, query in enumerate(queries):
-        marks[query, j] = 1.0
-    present = np.zeros((len(items), width))
-    np.put_along_axis(present, items.astype(np.int64), 1.0, axis=1)
-    shared = present @ marks
+
+    def marks(lists: np.ndarray) -> np.ndarray:
+        present = np.zeros((len(lists), width))
+        np.put_along_axis(present, lists.astype(np.int64), 1.0, axis=1)
+        return present
+
+    shared = marks(items) @ marks(queries).T
     return np.where(shared > 0, shared, -np.inf)
 
 
 SCORES = {"cosine": cosine, "hamming": bit_agreement, "channels": shared_channels}
 
 
-def keep_best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k highest scores with their ids, smaller id first among equals."""
-    if len(scores) > k:
-        cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = scores >= cut
-        scores, ids = scores[near], ids[near]
-    order = np.lexsort((ids, -scores))[:k]
-    return scores[order], ids[order]
+# Queries and items that are scored at once; a block of scores takes 16 MB.
+BLOCK_QUERIES = 512
+BLOCK_ITEMS = 4096
 
 
 class BestPerQuery:
-    """Running k best items of every query seen so far."""
+    """Running k best items of every query seen so far, held as arrays for each block of queries."""
 
     def __init__(self, kind: str, k: int):
         self.kind, self.k = kind, k
         self.best: dict = {}
 
     def add(self, group, queries: tuple[np.ndarray, np.ndarray], ids: np.ndarray, payload: np.ndarray) -> None:
-        """Score the items of a group against its queries, given as (ids, payload)."""
+        """Score the items of a group against its queries, given as (ids, payload), block by block."""
         query_ids, query_payload = queries
+        for first in range(0, len(query_ids), BLOCK_QUERIES):
+            wanted = slice(first, first + BLOCK_QUERIES)
+            for start in range(0, len(ids), BLOCK_ITEMS):
+                some = slice(start, start + BLOCK_ITEMS)
+                self._merge(group, first, query_ids[wanted], query_payload[wanted], ids[some], payload[some])
+
+    def _merge(self, group, first: int, query_ids, query_payload, ids, payload) -> None:
         scores = SCORES[self.kind](payload, query_payload)
         scores[ids[:, None] == query_ids[None, :]] = -np.inf
-        for j, query in enumerate(query_ids):
-            key = (group, query)
-            old_scores, old_ids = self.best.get(key, (scores[:0, j], ids[:0]))
-            floor = old_scores[-1] if len(old_scores) >= self.k else -np.inf
-            near = (scores[:, j] >= floor) & (scores[:, j] > -np.inf)
-            if near.any():
-                merged = np.concatenate([old_scores, scores[near, j]])
-                merged_ids = np.concatenate([old_ids, ids[near]])
-                self.best[key] = keep_best(merged, merged_ids, self.k)
+        key = (group, first)
+        _, rows, kept, kept_ids = self.best.get(
+            key, (query_ids, np.zeros(0, np.int64), np.zeros(0), ids[:0])
+        )
+        # A new item counts only if it reaches the k-th best of its block and of what is held.
+        floor = np.full(len(query_ids), -np.inf)
+        held = np.bincount(rows, minlength=len(query_ids))
+        if len(rows):
+            last = np.cumsum(held) - 1
+            floor = np.where(held >= self.k, kept[np.maximum(last, 0)], -np.inf)
+        if len(ids) > self.k:
+            floor = np.maximum(floor, np.partition(scores, len(ids) - self.k, axis=0)[len(ids) - self.k])
+        item, query = np.nonzero((scores >= floor) & (scores > -np.inf))
+        rows = np.concatenate([rows, query])
+        kept = np.concatenate([kept, scores[item, query]])
+        kept_ids = np.concatenate([kept_ids, ids[item]])
+        # Per query the highest scores first, the smaller id first among equals.
+        order = np.lexsort((kept_ids, -kept, rows))
+        rows = rows[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        order, rows = order[place < self.k], rows[place < self.k]
+        self.best[key] = (query_ids, rows, kept[order], kept_ids[order])
 
     def batch(self, schema: pa.Schema) -> pa.RecordBatch:
         groups, queries, items, scores = [], [], [], []
-        for (group, query), (kept, ids) in self.best.items():
+        for (group, _), (query_ids, rows, kept, ids) in self.best.items():
             groups += [group] * len(ids)
-            queries += [query] * len(ids)
+            queries += query_ids[rows].tolist()
             items += ids.tolist()
             scores += kept.tolist()
-        columns = [groups, np.array(queries).tolist(), items, scores]
+        columns = [groups, queries, items, scores]
         return pa.record_batch([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
 

@@ -8,11 +8,8 @@ from pyspark.sql import functions as F
 
 from kindred.constants import CONFIDENCE_THRESHOLD, UNKNOWN_CLASS
 from kindred.functions import boxes, text
-from kindred.operators.skew import join_unique
 
 CORNERS = ["x1", "y1", "x2", "y2"]
-# Entries of one detection list; longer lists continue in further rows.
-LIST_ROWS = 300
 
 
 def confident(detections: DataFrame, threshold: float = CONFIDENCE_THRESHOLD) -> DataFrame:
@@ -39,33 +36,15 @@ def detections_per_image(
     detections: DataFrame,
     threshold: float = CONFIDENCE_THRESHOLD,
     clip: bool = True,
-    list_rows: int = LIST_ROWS,
 ) -> DataFrame:
-    """Detection list of every image: image_id, part, detections; empty when there is none.
+    """One row for each detection of every image: image_id, det_id, class, confidence, coordinate.
 
-    images: image_id, one row each.
-    An image with more than list_rows detections gets several parts, split by id, so no list grows
-    without bound.
+    images: image_id, one row each. An image without any keeps one row of nulls. The list of an image is its rows
+    in the order of det_id; rows are neither gathered nor split, so an image may have any number of them.
     """
     kept = listed(confident(detections, threshold), clip)
-    parts = kept.groupBy("image_id").agg(F.ceil(F.count("*") / list_rows).alias("_parts"))
-    item = F.struct("det_id", "class", "confidence", F.array(*CORNERS).alias("coordinate"))
-    lists = (
-        join_unique(parts, kept, "image_id")
-        .groupBy("image_id", F.pmod("det_id", "_parts").alias("part"))
-        .agg(F.array_sort(F.collect_list(item)).alias("detections"))
-    )
-    shaped = F.transform("detections", lambda d: F.struct(d["class"], d["confidence"], d["coordinate"]))
-    empty = F.array().cast(lists.select(shaped.alias("detections")).schema["detections"].dataType)
-    return (
-        images.select("image_id")
-        .join(lists, "image_id", "left")
-        .select(
-            "image_id",
-            F.coalesce("part", F.lit(0)).cast("bigint").alias("part"),
-            F.coalesce(shaped, empty).alias("detections"),
-        )
-    )
+    found = kept.select("image_id", "det_id", "class", "confidence", F.array(*CORNERS).alias("coordinate"))
+    return images.select("image_id").join(found, "image_id", "left")
 
 
 def best_detection(detections: DataFrame, threshold: float = CONFIDENCE_THRESHOLD) -> DataFrame:

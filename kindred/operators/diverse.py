@@ -201,13 +201,14 @@ def diverse_queries(
     """n diverse items per group: group, ordinal, id, max_similarity, over_threshold.
 
     items: group, id, embedding, all vectors of one width. A group with at most n items is taken whole, in id
-    order. max_similarity is the highest similarity to the earlier picks, null for the first. The threshold
+    order. Rows without a vector are left out. max_similarity is the highest similarity to the earlier picks, null for the first. The threshold
     only flags. Items are read once per pass; pass in a stored table when computing them is costly.
     """
-    items = items.filter(F.col("group").isNotNull()).select("group", "id", "embedding")
+    usable = F.col("group").isNotNull() & F.col("embedding").isNotNull()
+    items = items.filter(usable).select("group", "id", "embedding")
     head = items.select("embedding").first()
     width = max(len(head["embedding"]), 1) if head else 1
-    per_turn = max(1, min(TURN_GROUPS, CHOSEN_BYTES // (8 * n * width)))
+    per_turn = max(1, min(TURN_GROUPS, CHOSEN_BYTES // (8 * (n + frontier_rows) * width)))
     # Reads no vectors.
     sizes = items.groupBy("group").agg(F.count("*").alias("rows"), F.min("id").alias("first"))
     few = sizes.limit(per_turn + 1).collect()

@@ -3,7 +3,9 @@
 Input tables have one row per item: a group (category), an id and a payload array of one width.
 """
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,13 +15,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from kindred.functions import vectors
 from kindred.operators.blocks import BestPerQuery, by_group, matrix, plain
-from kindred.operators.skew import sent_if_small
-from kindred.runtime import stored
+from kindred.operators import skew
+from kindred.runtime import fresh_path, stored
 
-# Queries up to this size are sent to every task; more are joined tile by tile.
+# Queries up to this size are sent to the tasks at once, and so many results may a task hold; more queries are
+# worked through in rounds, each of which reads the items once and moves none of them.
 QUERY_BYTES = 64 << 20
-TILE_ITEMS = 8192
-TILE_QUERIES = 1024
+TASK_RESULTS = 1_000_000
 
 
 def _found_schema(items: DataFrame, queries: DataFrame) -> T.StructType:
@@ -62,67 +64,42 @@ def _scan(items: DataFrame, queries: DataFrame, kind: str, k: int) -> DataFrame:
     return wanted.mapInArrow(best_of_task, schema)
 
 
-def _tiled(items: DataFrame, queries: DataFrame, kind: str, k: int) -> DataFrame:
-    """The same result for query sets of any size: items and queries of a group meet tile by tile.
-
-    A tile holds a bounded number of rows, so a group with a third of all items becomes many tasks.
-    """
-    schema = _found_schema(items, queries)
-    arrow_schema = to_arrow_schema(schema)
-
-    def tiles(df: DataFrame, rows: int, name: str) -> DataFrame:
-        return df.groupBy("group").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
-
-    def number(tile_count: str) -> Column:
-        return F.pmod(F.xxhash64("id"), F.col(tile_count)).cast("int")
-
-    def all_of(tile_count: str) -> Column:
-        return F.explode(vectors.positions(F.col(tile_count)))
-
-    # One row per group with queries.
-    grid = stored(
-        tiles(items, TILE_ITEMS, "item_tiles").join(tiles(queries, TILE_QUERIES, "query_tiles"), "group"), "tiles"
-    )
-    grid = sent_if_small(grid, grid.count())
-    left = items.join(grid, "group").select(
-        "group", "id", "payload", number("item_tiles").alias("item_tile"), all_of("query_tiles").alias("query_tile")
-    )
-    right = queries.join(grid, "group").select(
-        F.col("group").alias("query_group"),
-        F.col("id").alias("query"),
-        F.col("payload").alias("query_payload"),
-        all_of("item_tiles").alias("query_item_tile"),
-        number("query_tiles").alias("query_query_tile"),
-    )
-
-    def best_of_tile(left_rows: pa.Table, right_rows: pa.Table) -> pa.Table:
-        best = BestPerQuery(kind, k)
-        if left_rows.num_rows and right_rows.num_rows:
-            block = plain(right_rows["query"]), matrix(right_rows["query_payload"])
-            best.add(left_rows["group"][0].as_py(), block, plain(left_rows["id"]), matrix(left_rows["payload"]))
-        return pa.Table.from_batches([best.batch(arrow_schema)])
-
-    item_tiles = left.groupBy("group", "item_tile", "query_tile")
-    query_tiles = right.groupBy("query_group", "query_item_tile", "query_query_tile")
-    return item_tiles.cogroup(query_tiles).applyInArrow(best_of_tile, schema)
-
-
-def nearest(items: DataFrame, queries: DataFrame, kind: str, k: int, query_bytes: int = QUERY_BYTES) -> DataFrame:
+def nearest(
+    items: DataFrame,
+    queries: DataFrame,
+    kind: str,
+    k: int,
+    query_bytes: int = QUERY_BYTES,
+    task_results: int = TASK_RESULTS,
+) -> DataFrame:
     """k best items of the query's own group for every query, the query itself left out.
 
     items, queries: group, id, payload. Result: group, query, id, rank, score.
     A group with fewer than k others returns those it has. The queries are read more than once: pass in
     a stored table when they are the result of a scan.
     """
-    size = queries.agg(F.coalesce(F.sum(F.size("payload") * 8 + 32), F.lit(0)).alias("bytes")).first()
-    meet = _scan if size["bytes"] <= query_bytes else _tiled
-    found = meet(items, queries, kind, k)
-    order = Window.partitionBy("group", "query").orderBy(F.desc("score"), "id")
-    return (
-        found.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select("group", "query", "id", "rank", "score")
-    )
+    size = queries.agg(
+        F.coalesce(F.sum(F.size("payload") * 8 + 32), F.lit(0)).alias("bytes"), F.count("*").alias("rows")
+    ).first()
+    rounds = max(1, math.ceil(size["bytes"] / query_bytes), math.ceil(size["rows"] * k / task_results))
+
+    def ranked(wanted: DataFrame) -> DataFrame:
+        order = Window.partitionBy("group", "query").orderBy(F.desc("score"), "id")
+        return (
+            _scan(items, wanted, kind, k)
+            .withColumn("rank", F.row_number().over(order))
+            .filter(F.col("rank") <= k)
+            .select("group", "query", "id", "rank", "score")
+        )
+
+    if rounds == 1:
+        return ranked(queries)
+    path = fresh_path(items.sparkSession, "neighbours")
+    for at in range(rounds):
+        in_round = F.pmod(F.xxhash64("group", "id"), F.lit(rounds)) == at
+        found = ranked(queries.filter(in_round))
+        found.write.mode("append").parquet(path)
+    return items.sparkSession.read.schema(found.schema).parquet(path)
 
 
 def _neighbours(items: DataFrame, queries: DataFrame, column: str, kind: str, k: int, **options) -> DataFrame:
@@ -131,7 +108,10 @@ def _neighbours(items: DataFrame, queries: DataFrame, column: str, kind: str, k:
 
 
 def _payload(df: DataFrame, column: str) -> DataFrame:
-    usable = F.col("group").isNotNull() & F.col(column).isNotNull()
+    """group, id and payload of rows that have all of them. A code is null exactly if its vector is, which is
+    cheaper to ask than to compute the code twice."""
+    source = "embedding" if "embedding" in df.columns else column
+    usable = F.col("group").isNotNull() & F.col(source).isNotNull()
     return df.filter(usable).select("group", "id", F.col(column).alias("payload"))
 
 
@@ -153,17 +133,36 @@ def channel_overlap_topn(items: DataFrame, queries: DataFrame, n: int = 100, **o
     return found.select("group", "query", "id", "rank", F.col("score").cast("int").alias("shared"))
 
 
-def _with_codes(shortlist: DataFrame, items: DataFrame, queries: DataFrame, columns: list[str], rows: int | None):
-    """Shortlist pairs beside the item's and the query's columns; a short list is sent to the items' tasks."""
+def _scored(
+    shortlist: DataFrame, items: DataFrame, queries: DataFrame, rows: int | None, **numbers: tuple[str, Callable]
+) -> DataFrame:
+    """Shortlist pairs with numbers made of the item's and the query's code: name=(column, function of both).
+
+    rows is a proven bound of the shortlist. It is cut into slices of whole queries and at most SENT_ROWS pairs; each
+    slice and its queries are sent to the items' tasks, where codes become numbers, so no vector is shuffled.
+    """
+    columns = sorted({column for column, _ in numbers.values()})
     item_side = items.select("group", "id", *[F.col(c).alias(f"item_{c}") for c in columns])
     query_side = queries.select("group", F.col("id").alias("query"), *[F.col(c).alias(f"query_{c}") for c in columns])
-    pairs = sent_if_small(shortlist.select("group", "query", "id"), rows)
-    return item_side.join(pairs, ["group", "id"]).join(query_side, ["group", "query"])
+    pairs = shortlist.select("group", "query", "id")
+    results = [f(F.col(f"item_{c}"), F.col(f"query_{c}")).alias(name) for name, (c, f) in numbers.items()]
+
+    def joined(some_pairs: DataFrame, some_queries: DataFrame) -> DataFrame:
+        met = item_side.join(some_pairs, ["group", "id"]).join(some_queries, ["group", "query"])
+        return met.select("group", "query", "id", *results)
+
+    if rows is None:
+        return joined(pairs, query_side)
+    slices = max(1, math.ceil(1.25 * rows / skew.SENT_ROWS)) if rows > skew.SENT_ROWS else 1
+
+    def part(df: DataFrame, at: int) -> DataFrame:
+        return F.broadcast(df if slices == 1 else df.filter(F.pmod(F.xxhash64("group", "query"), F.lit(slices)) == at))
 
+    return reduce(DataFrame.unionByName, [joined(part(pairs, at), part(query_side, at)) for at in range(slices)])
 
-def _similarity(a: str, b: str) -> Column:
-    unit_a, unit_b = vectors.unit_vector(F.col(a)), vectors.unit_vector(F.col(b))
-    return F.round(vectors.dot(unit_a, unit_b), 10)
+
+def _similarity(a: Column, b: Column) -> Column:
+    return F.round(vectors.dot(vectors.unit_vector(a), vectors.unit_vector(b)), 10)
 
 
 def rerank_cosine(
@@ -173,9 +172,7 @@ def rerank_cosine(
 
     shortlist_rows is a proven bound of the shortlist; without it Spark chooses the join.
     """
-    scored = _with_codes(shortlist, items, queries, ["embedding"], shortlist_rows).select(
-        "group", "query", "id", _similarity("item_embedding", "query_embedding").alias("score")
-    )
+    scored = _scored(shortlist, items, queries, shortlist_rows, score=("embedding", _similarity))
     order = Window.partitionBy("group", "query").orderBy(F.desc("score"), "id")
     return (
         scored.withColumn("rank", F.row_number().over(order))
@@ -195,13 +192,10 @@ def three_stage_search(
     queries = stored(queries.select("group", "id", "channels", "words", "embedding"), "queries")
     shortlist = nearest(_payload(items, "channels"), _payload(queries, "channels"), "channels", n_channels)
     rows = queries.count() * n_channels
-    scored = _with_codes(shortlist, items, queries, ["words", "embedding"], rows).select(
-        "group",
-        "query",
-        "id",
-        vectors.hamming(F.col("item_words"), F.col("query_words")).alias("distance"),
-        _similarity("item_embedding", "query_embedding").alias("score"),
-    )
+    if rows > skew.SENT_ROWS:  # read once for each slice below
+        shortlist = stored(shortlist, "shortlist")
+    codes = {"distance": ("words", vectors.hamming), "score": ("embedding", _similarity)}
+    scored = _scored(shortlist, items, queries, rows, **codes)
     per_query = Window.partitionBy("group", "query")
     return (
         scored.withColumn("bit_rank", F.row_number().over(per_query.orderBy("distance", "id")))

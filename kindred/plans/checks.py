@@ -80,9 +80,12 @@ def stage_signature(t):
 
 @query
 def channel_means(t):
-    hwc = exploded(t.embeddings, vectors.channel_means(F.col("embedding"), 4), 9).withColumnRenamed("value", "hwc")
-    chw = exploded(t.embeddings, vectors.channel_means(F.col("embedding"), 4, "CHW"), 9)
-    return hwc.join(chw.withColumnRenamed("value", "chw"), ["vec_id", "position"])
+    hwc = vectors.channel_means(F.col("embedding"), 4)
+    chw = vectors.channel_means(F.col("embedding"), 4, "CHW")
+    pairs = F.arrays_zip(hwc.alias("hwc"), chw.alias("chw"))
+    return t.embeddings.select("vec_id", F.posexplode(pairs).alias("position", "p")).select(
+        "vec_id", "position", F.round("p.hwc", 9).alias("hwc"), F.round("p.chw", 9).alias("chw")
+    )
 
 
 @query
@@ -389,13 +392,9 @@ def box_clip(t):
 
 @query
 def detections_per_image(t):
-    lists = detections.detections_per_image(derived.detected_images(t), derived.detections(t), list_rows=20)
-
-    def entry(d: Column) -> Column:
-        points = F.array_join(d["coordinate"].cast("array<string>"), ":")
-        return F.concat_ws(":", d["class"], F.round(d["confidence"] * 10000).cast("int"), points)
-
-    return lists.select("image_id", "part", listed(F.transform("detections", entry)).alias("detections"))
+    rows = detections.detections_per_image(derived.detected_images(t), derived.detections(t))
+    points = F.array_join(F.col("coordinate").cast("array<string>"), ":").alias("coordinate")
+    return rows.select("image_id", "det_id", "class", "confidence", points)
 
 
 @query

@@ -354,10 +354,9 @@ SQL: dict[str, str] = {
     "class_name_fallback": with_all(DETECTIONS, select=f"SELECT det_id, {CLASS_OF} AS class FROM det"),
     "confidence_filter": with_all(DETECTIONS, select="SELECT det_id, round(confidence, 6) AS confidence FROM det WHERE confidence > 0.5"),
     "box_clip": with_all(DETECTIONS, select=f"SELECT det_id, {CLIPPED} FROM det"),
-    "detections_per_image": with_all(DETECTIONS, LISTED, "n AS (SELECT image_id, CAST(ceil(count(*) / 20.0) AS BIGINT) AS parts FROM li GROUP BY image_id)", select="""
-        SELECT i.c_custkey AS image_id, coalesce(d.part, 0) AS part, coalesce(d.detections, '') AS detections FROM customer i LEFT JOIN (
-        SELECT image_id, det_id % parts AS part, string_agg(concat_ws(':', class, CAST(round(confidence * 10000) AS INTEGER), x1, y1, x2, y2), ',' ORDER BY det_id) AS detections
-        FROM li JOIN n USING (image_id) GROUP BY 1, 2) d ON d.image_id = i.c_custkey"""),
+    "detections_per_image": with_all(DETECTIONS, LISTED, select="""
+        SELECT c_custkey AS image_id, det_id, class, confidence, CASE WHEN present THEN concat_ws(':', x1, y1, x2, y2) END AS coordinate
+        FROM (SELECT *, true AS present FROM li) d RIGHT JOIN customer ON d.image_id = c_custkey"""),
     "best_detection": with_all(DETECTIONS, LISTED, BEST, select="SELECT * FROM be"),
     "crop_rectangle": with_all(DETECTIONS, LISTED, BEST, select="""SELECT c_custkey AS image_id, CASE WHEN x2 > x1 AND y2 > y1 THEN class END AS class,
         CASE WHEN x2 > x1 AND y2 > y1 THEN confidence END AS confidence, CASE WHEN x2 > x1 AND y2 > y1 THEN x1 ELSE 0 END AS x1,

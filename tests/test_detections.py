@@ -23,28 +23,24 @@ def frames(spark):
 
 def test_detections_per_image(spark):
     images, found = frames(spark)
-    got = {r["image_id"]: r["detections"] for r in detections.detections_per_image(images, found).collect()}
-    assert [(d["class"], d["confidence"], d["coordinate"]) for d in got[1]] == [
-        ("bag", 0.9123, [0, 0, 100, 60]),
-        ("unknown", 0.9123, [1, 1, 9, 9]),
-    ]
-    assert len(got[2]) == 2
-    assert got[3] == []
+    got = sorted(map(tuple, detections.detections_per_image(images, found).collect()), key=str)
+    assert got[:2] == [(1, 1, "bag", 0.9123, [0, 0, 100, 60]), (1, 2, "unknown", 0.9123, [1, 1, 9, 9])]
+    assert [r[:2] for r in got[2:]] == [(2, 4), (2, 5), (3, None)]
+    assert got[4] == (3, None, None, None, None)
 
 
 def test_unclipped_boxes(spark):
     images, found = frames(spark)
-    got = detections.detections_per_image(images, found, clip=False).filter("image_id = 1").first()
-    assert got["detections"][0]["coordinate"] == [-5, 0, 120, 80]
+    got = detections.detections_per_image(images, found, clip=False).filter("image_id = 1 and det_id = 1").first()
+    assert got["coordinate"] == [-5, 0, 120, 80]
 
 
-def test_long_lists_continue_in_parts(spark):
+def test_one_image_with_very_many_detections(spark):
     images, _ = frames(spark)
-    rows = [(1, i, 0, 0.9, 0.0, 0.0, 1.0, 1.0, 100, 60) for i in range(1000)] + ROWS[3:]
-    got = detections.detections_per_image(images, spark.createDataFrame(rows, SCHEMA), list_rows=100).collect()
-    hot = [r for r in got if r["image_id"] == 1]
-    assert len(hot) == 10 and {len(r["detections"]) for r in hot} == {100}
-    assert sum(len(r["detections"]) for r in got) == 1002
+    rows = [(1, 10 * i, 0, 0.9, 0.0, 0.0, 1.0, 1.0, 100, 60) for i in range(1000)] + ROWS[3:]
+    got = detections.detections_per_image(images, spark.createDataFrame(rows, SCHEMA))
+    assert got.count() == 1003
+    assert "collect_list" not in got._jdf.queryExecution().toString()
 
 
 def test_best_detection_takes_the_first_of_equals(spark):

@@ -3,7 +3,7 @@ import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
-from kindred.operators import diverse, search
+from kindred.operators import blocks, diverse, search, skew
 
 SCHEMA = "`group` string, id string, embedding array<float>, channels array<int>, words array<bigint>"
 
@@ -50,11 +50,11 @@ def brute_force(table, queries, kind, k):
     return found
 
 
-@pytest.mark.parametrize("query_bytes", [search.QUERY_BYTES, 0])
+@pytest.mark.parametrize("task_results", [search.TASK_RESULTS, 70])
 @pytest.mark.parametrize("kind", ["cosine", "channels", "hamming"])
-def test_neighbours_equal_brute_force(spark, monkeypatch, kind, query_bytes):
-    monkeypatch.setattr(search, "TILE_ITEMS", 17)
-    monkeypatch.setattr(search, "TILE_QUERIES", 3)
+def test_neighbours_equal_brute_force(spark, monkeypatch, kind, task_results):
+    monkeypatch.setattr(blocks, "BLOCK_QUERIES", 3)
+    monkeypatch.setattr(blocks, "BLOCK_ITEMS", 17)
     table = catalogue()
     queries = [r for r in table if int(r[1]) % 9 == 0]
     items = spark.createDataFrame(table, SCHEMA).repartition(5)
@@ -64,10 +64,47 @@ def test_neighbours_equal_brute_force(spark, monkeypatch, kind, query_bytes):
         "channels": search.channel_overlap_topn,
         "hamming": search.hamming_topk,
     }[kind]
-    got = operator(items, wanted, 7, query_bytes=query_bytes).collect()
+    got = operator(items, wanted, 7, task_results=task_results).collect()
     assert {(r["query"], r["rank"], r["id"]) for r in got} == brute_force(table, queries, kind, 7)
 
 
+def test_block_memory_and_time_stay_bounded():
+    import time
+    import tracemalloc
+
+    draw = np.random.default_rng(4)
+    items, queries = (draw.integers(0, 2**31, (n, 2)).astype(np.int32) for n in (10_000, 20_000))
+    best = blocks.BestPerQuery("hamming", 20)
+    tracemalloc.start()
+    begun = time.monotonic()
+    best.add("a", (np.arange(20_000) + 10_000, queries), np.arange(10_000), items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6 and time.monotonic() - begun < 120
+    assert sum(len(ids) for _, _, _, ids in best.best.values()) == 400_000
+
+
+def test_cascade_moves_no_vector(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SENT_ROWS", 40)
+    table = catalogue(3)
+    items = spark.createDataFrame(table, SCHEMA).repartition(3)
+    wanted = items.filter("cast(id as int) % 20 = 1")
+    sliced = search.three_stage_search(items, wanted, 15, 9, 4)
+    plan = sliced._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and "SortMergeJoin" not in plan
+    monkeypatch.undo()
+    whole = search.three_stage_search(items, wanted, 15, 9, 4)
+    assert sorted(map(tuple, sliced.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_rows_without_a_vector_are_left_out(spark):
+    rows = [("a", 1, None), ("a", 2, [1.0, 0.0]), ("a", 3, [0.0, 1.0]), ("a", 4, [0.5, 0.5])]
+    items = spark.createDataFrame(rows, "`group` string, id bigint, embedding array<float>").coalesce(1)
+    assert {r["id"] for r in diverse.diverse_queries(items, 2).collect()} == {2, 3}
+    assert {r["id"] for r in search.cosine_topk(items, items.filter("id = 2"), 5).collect()} == {3, 4}
+
+
 def test_small_groups_return_the_others(spark):
     items = spark.createDataFrame(catalogue(), SCHEMA)
     lonely = items.filter("group = 'lonely'")
