@@ -10,7 +10,7 @@ candidates; exact similarities of candidates decide; classes are the connected c
 Exact copies (equal words in equal order) are one node, so a text copied a million times is compared once. Within a
 bucket nobody meets everybody: a leader is compared with all members, then some leaders of those that no leader has
 joined, then more, until each component of the bucket has had a leader. A pair is first compared by all its samples, and its
-shingles are only fetched if at least half agree (at similarity 0.8 one pair in 100,000 has fewer). Large buckets are
+shingles are only fetched if at least half agree (at similarity 0.8 one pair in ten million has fewer). Large buckets are
 joins on stored tables, which Spark splits.
 
 Defined results: null and empty texts and texts of white space stay alone, as their own class; the class of a document
@@ -34,9 +34,10 @@ from kindred.runtime import stored
 
 WIDTH = 5
 SIMILARITY = 0.8
-# Texts with similarity 0.8 share a band with probability 1 - (1 - 0.8 ** 3) ** 12 = 0.9998.
-ROWS = 3
-BANDS = 12
+# Texts with similarity 0.8 share a band with probability 1 - (1 - 0.8 ** 4) ** 16 = 0.9998; texts that share a third of
+# their shingles, as through a common passage, meet in one band of 80 only.
+ROWS = 4
+BANDS = 16
 # Of all samples of a pair so many must agree before its shingles are compared.
 AGREEING = ROWS * BANDS // 2
 # Leaders of a bucket grow by this factor from round to round.
