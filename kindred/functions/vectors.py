@@ -183,7 +183,3 @@ def channel_center_bgr(pixels: Column) -> Column:
         return F.transform(positions(F.size(flat)), one)
 
     return bound(pixels, converted)
-
-
-def rounded(values: Column, digits: int) -> Column:
-    return F.transform(values, lambda x: F.round(x, digits))

@@ -13,8 +13,8 @@ def _ratio(part: str, whole: str):
 def per_query(retrieved: DataFrame, relevant: DataFrame) -> DataFrame:
     """hit, retrieved, relevant, precision and recall (3 digits) of every query.
 
-    Both inputs: query_id, image_uuid. One shuffle: each pair is tagged, merged on (query, image) and
-    counted, so a query with very many images is spread over tasks before its counts are added.
+    Both inputs: query_id, image_uuid. Two shuffles: each pair is tagged, merged on (query, image) and
+    counted per query, so a query with very many images is spread over tasks before its counts are added.
     """
     tagged = retrieved.select("query_id", "image_uuid", F.lit(1).alias("got"), F.lit(0).alias("right")).unionByName(
         relevant.select("query_id", "image_uuid", F.lit(0).alias("got"), F.lit(1).alias("right"))

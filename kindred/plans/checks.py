@@ -279,7 +279,7 @@ def failure_log(t):
 def scan_image_list(t):
     path = fresh_path(t.spark, "image-list")
     name = F.concat(F.lit('a "'), "p_name", F.lit('", '), "p_brand")
-    rows = derived.part_urls(t).join(t.part.select("p_partkey", name.alias("name")), "p_partkey")
+    rows = derived.part_urls(t, name.alias("name"))
     listed_rows = rows.select(
         F.col("p_partkey").cast("string").alias("image_uuid"), "image_url", F.col("name").alias("image_original_name")
     )
@@ -523,7 +523,7 @@ def _document_path(t: Tables) -> str:
 
 @query
 def queries_document(t):
-    text_rows = t.spark.read.text(_document_path(t))
+    text_rows = document_sinks.read_text(t.spark, _document_path(t))
     doc = text_rows.select(F.from_json("value", schema.QUERY_DOCUMENT).alias("doc"))
     entry = doc.select("doc.metadata.total_images", F.explode("doc.categories").alias("category", "entry"))
     pairs = F.transform("entry.queries", lambda q: F.concat_ws("=", q["query_id"], q["image_uuid"]))

@@ -83,8 +83,8 @@ def pixels(t: Tables) -> DataFrame:
 # Image lists.
 
 
-def part_urls(t: Tables) -> DataFrame:
-    """p_partkey, image_url: Korean, English, one-part and doubled paths."""
+def part_urls(t: Tables, *more: Column) -> DataFrame:
+    """p_partkey, image_url: Korean, English, one-part and doubled paths; more columns of part beside them."""
     key = F.col("p_partkey")
     name = F.concat(key.cast("string"), F.lit(".jpg"))
     kind = F.pmod(key, F.lit(8))
@@ -94,7 +94,7 @@ def part_urls(t: Tables) -> DataFrame:
         .when(kind == 6, name)
         .otherwise(F.concat(F.lit("/upload//upload/의류/가방_"), name))
     )
-    return t.part.select("p_partkey", url.alias("image_url"))
+    return t.part.select("p_partkey", url.alias("image_url"), *more)
 
 
 def line_images(t: Tables) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Nested JSON documents, published whole by Spark's committer.
+"""Nested JSON documents, published as versions (see versions): whole, and never without the one before.
 
 Lists in them are bounded by the operators that make them: candidates per query, queries per category,
 named categories. Tables without such a bound are written as one JSON object per line.
@@ -6,10 +6,12 @@ named categories. Tables without such a bound are written as one JSON object per
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.constants import CLASS_NAMES, EXPORTED_SELECTIONS_PER_QUERY
+from kindred.sinks import versions
+from kindred.sources import files
 
 
 def _in_order(*fields: str) -> Column:
@@ -113,5 +115,13 @@ def selection_document(
 
 
 def write_text(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Publish lines; mode "ignore" keeps what is there."""
-    lines.write.mode(mode).text(path)
+    """Publish lines as the current version; mode "ignore" keeps what is there."""
+    spark = lines.sparkSession
+    if mode == "ignore" and (versions.number(spark, path) or files.exists(spark, path)):
+        return
+    versions.publish(spark, path, lines.write.text)
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of the current version."""
+    return spark.read.text(versions.current(spark, path))

@@ -1,31 +1,19 @@
-"""Published selection snapshots: every save writes a new version, readers take the newest."""
+"""Published selection snapshots: every save writes a new version, readers take the newest whole one."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from kindred.sources import files
+from kindred.sinks import versions
 
 SNAPSHOT = "query_id string, selected_image_ids array<string>, completed_at timestamp_ntz"
 
 
-def newest_version(spark: SparkSession, path: str) -> int:
-    """Number of the newest snapshot, 0 if there is none."""
-    if not files.exists(spark, path):
-        return 0
-    version = F.regexp_extract("path", r"/version=(\d+)/", 1).try_cast("int")
-    return files.list_files(spark, path, recursive=True).agg(F.coalesce(F.max(version), F.lit(0))).first()[0]
-
-
 def publish_selections(selections: DataFrame, path: str) -> int:
-    """Write the rows as the next version; Spark's committer shows it whole or not at all."""
-    version = newest_version(selections.sparkSession, path) + 1
-    selections.write.parquet(f"{path}/version={version}")
-    return version
+    """Write the rows as the next version and mark it; the version before stays readable until then."""
+    return versions.publish_rows(selections, path)
 
 
 def published_selections(spark: SparkSession, path: str) -> DataFrame:
     """Rows of the newest version; empty before the first."""
-    version = newest_version(spark, path)
-    if version == 0:
+    if versions.number(spark, path) == 0:
         return spark.createDataFrame([], SNAPSHOT)
-    return spark.read.schema(SNAPSHOT).parquet(f"{path}/version={version}")
+    return spark.read.schema(SNAPSHOT).parquet(versions.current(spark, path))

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred import schema
+from kindred.sinks import versions
 from kindred.sources import files
 
 
 def _document(spark: SparkSession, path: str, shape: T.DataType, lines: bool = False) -> DataFrame:
     """Parsed documents: one per file, or one per line as the sinks write tables without a size bound."""
-    text = spark.read.text(path, wholetext=not lines)
+    text = spark.read.text(versions.current(spark, path), wholetext=not lines)
     return text.select(F.from_json("value", shape).alias("doc"))
 
 

@@ -1,6 +1,6 @@
 """Image lists and image files."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,30 +12,36 @@ from kindred.sources import files
 LIST_ORDER = ["file_name", "file_block", "row"]
 
 
-def read_image_list(spark: SparkSession, pattern: str, multi_line: bool = True) -> DataFrame:
-    """Rows of all image lists with their place (LIST_ORDER).
+SHORT_ROW = "_short_row"
 
-    The original name falls back to the uuid only in files without that column; an empty name stays empty.
-    multi_line keeps line breaks inside quotes; without it large files are split over tasks.
-    """
-    short = "_short_row"
-    fields = T.StructType(schema.IMAGE_LIST.fields + [T.StructField(short, T.StringType())])
-    rows = (
-        spark.read.schema(fields)
+
+def list_reader(reader, multi_line: bool = True):
+    """A batch or stream reader of image lists; rows shorter than the list's columns carry their text in SHORT_ROW."""
+    fields = T.StructType(schema.IMAGE_LIST.fields + [T.StructField(SHORT_ROW, T.StringType())])
+    return (
+        reader.schema(fields)
         .option("header", "true")
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", str(multi_line).lower())
-        .option("columnNameOfCorruptRecord", short)
-        .csv(pattern)
+        .option("columnNameOfCorruptRecord", SHORT_ROW)
     )
-    absent = F.col(short).isNotNull() & F.col("image_original_name").isNull()
-    return rows.select(
-        "image_uuid",
-        "image_url",
-        F.when(absent, F.col("image_uuid"))
-        .otherwise(F.coalesce("image_original_name", F.lit("")))
-        .alias("image_original_name"),
+
+
+def with_names(rows: DataFrame, *more: Column) -> DataFrame:
+    """Rows of list_reader with their names: the uuid in files without that column; an empty name stays empty."""
+    absent = F.col(SHORT_ROW).isNotNull() & F.col("image_original_name").isNull()
+    name = F.when(absent, F.col("image_uuid")).otherwise(F.coalesce("image_original_name", F.lit("")))
+    return rows.select("image_uuid", "image_url", name.alias("image_original_name"), *more)
+
+
+def read_image_list(spark: SparkSession, pattern: str, multi_line: bool = True) -> DataFrame:
+    """Rows of all image lists with their place (LIST_ORDER).
+
+    multi_line keeps line breaks inside quotes; without it large files are split over tasks.
+    """
+    return with_names(
+        list_reader(spark.read, multi_line).csv(pattern),
         files.metadata_text("file_name").alias("file_name"),
         F.col("_metadata.file_block_start").alias("file_block"),
         F.monotonically_increasing_id().alias("row"),

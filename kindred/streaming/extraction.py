@@ -8,6 +8,7 @@ from kindred import schema
 from kindred.operators.catalogue import incremental_todo
 from kindred.operators.extraction import Scorer, batch_score
 from kindred.operators.skew import sent_if_small
+from kindred.sources.images import list_reader, with_names
 from kindred.streaming.batches import batch_folder, batch_table, run_of, written_before
 
 IMAGE_COLUMNS = schema.IMAGE_LIST.fieldNames()
@@ -71,10 +72,8 @@ def start_extraction(
 
 
 def image_list_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
-    """New image-list files of a folder as they arrive."""
-    reader = (
-        spark.readStream.schema(schema.IMAGE_LIST).option("header", "true").option("quote", '"').option("escape", '"')
-    )
+    """New image-list files of a folder as they arrive, read by the rules of the batch reader."""
+    reader = list_reader(spark.readStream)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.csv(folder)
+    return with_names(reader.csv(folder))

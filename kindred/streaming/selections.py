@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kindred.operators.review import latest, validate
-from kindred.streaming.batches import batch_folder, run_of
+from kindred.sinks.selections import publish_selections, published_selections
+from kindred.streaming.batches import batch_folder, batch_table, run_of
+
+ACCEPTED = "query_id string, selected_image_ids array<string>, completed_at timestamp_ntz, submission_id string"
 
 
 def start_intake(submissions: DataFrame, candidates: DataFrame, accepted: str, checkpoint: str) -> StreamingQuery:
@@ -30,8 +33,19 @@ def start_intake(submissions: DataFrame, candidates: DataFrame, accepted: str, c
 
 
 def current_selections(spark: SparkSession, accepted: str) -> DataFrame:
-    """The newest accepted submission of each query: query_id, selected_image_ids, completed_at."""
-    stored = spark.read.parquet(accepted)
+    """The newest accepted submission of each query: query_id, selected_image_ids, completed_at.
+
+    Before the first batch there is none.
+    """
+    stored = batch_table(spark, accepted, ACCEPTED)
     return latest(stored, "completed_at", "submission_id").select(
         "query_id", "selected_image_ids", F.col("completed_at")
     )
+
+
+def publish_current(spark: SparkSession, accepted: str, snapshots: str) -> int:
+    """Publish the streamed submissions on top of the stored selections: the newer one of a query stays."""
+    streamed = current_selections(spark, accepted).select("query_id", "selected_image_ids", "completed_at")
+    kept = published_selections(spark, snapshots)
+    merged = latest(streamed.unionByName(kept), "completed_at", "query_id")
+    return publish_selections(merged.select("query_id", "selected_image_ids", "completed_at"), snapshots)

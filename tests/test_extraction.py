@@ -5,6 +5,7 @@ import sys
 
 import numpy as np
 import pytest
+from kindred.sinks.documents import read_text
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
@@ -156,7 +157,7 @@ def test_extraction_to_ground_truth(spark, tmp_path):
         best = sorted(group, key=lambda u: (-round(float(units[u] @ units[q["image_uuid"]]), 10), u))[:5]
         got = candidates.filter(F.col("query_id") == q["query_id"]).orderBy("rank").collect()
         assert [r["image_uuid"] for r in got] == best
-    document = json.loads(spark.read.text(f"{tmp_path}/gt/queries.json").first()["value"])
+    document = json.loads(read_text(spark, f"{tmp_path}/gt/queries.json").first()["value"])
     assert document["metadata"]["total_images"] == 54 and list(document["categories"]) == ["bag", "shoes", "clothes"]
     assert documents.read_selections(spark, f"{tmp_path}/gt/selections.json", lines=True).count() == 0
 

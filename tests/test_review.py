@@ -77,6 +77,26 @@ def test_snapshots(spark, tmp_path):
     assert {r["query_id"] for r in snapshots.published_selections(spark, path).collect()} == {"bag_00", "food_00"}
 
 
+def test_half_written_versions_are_not_seen(spark, tmp_path):
+    path = f"{tmp_path}/selections"
+    _, _, selections = tables(spark)
+    snapshots.publish_selections(selections, path)
+    # Some files of a second version, whose job has not ended.
+    selections.limit(1).write.parquet(f"{path}/versions/2-{'0' * 32}")
+    assert snapshots.published_selections(spark, path).count() == selections.count()
+    assert snapshots.publish_selections(selections.limit(1), path) == 2
+    assert snapshots.published_selections(spark, path).count() == 1
+
+
+def test_a_failed_write_keeps_the_old_document(spark, tmp_path):
+    path = f"{tmp_path}/queries.json"
+    sinks.write_text(spark.createDataFrame([("old",)], "value string"), path)
+    failing = spark.range(3).select(F.raise_error(F.lit("no")).cast("string").alias("value"))
+    with pytest.raises(Exception, match="no"):
+        sinks.write_text(failing, path)
+    assert [r["value"] for r in sinks.read_text(spark, path).collect()] == ["old"]
+
+
 def test_status_and_list(spark):
     queries, _, selections = tables(spark)
     got = {r["category"]: tuple(r)[1:] for r in review.status(queries, selections).collect()}
@@ -101,7 +121,7 @@ def test_export(spark, tmp_path):
     queries, candidates, selections = tables(spark)
     rows = review.export_rows(queries, candidates, selections)
     sinks.write_text(sinks.export_lines(rows), f"{tmp_path}/export")
-    lines = [json.loads(r["value"]) for r in spark.read.text(f"{tmp_path}/export").collect()]
+    lines = [json.loads(r["value"]) for r in sinks.read_text(spark, f"{tmp_path}/export").collect()]
     assert lines == [
         {
             "query_id": "bag_00",
@@ -201,7 +221,7 @@ def test_initial_selections_are_not_overwritten(spark, tmp_path):
     kept = spark.createDataFrame([("x",)], "value string")
     sinks.write_text(kept, f"{tmp_path}/s", mode="ignore")
     sinks.write_text(spark.createDataFrame([("y",)], "value string"), f"{tmp_path}/s", mode="ignore")
-    assert [r["value"] for r in spark.read.text(f"{tmp_path}/s").collect()] == ["x"]
+    assert [r["value"] for r in sinks.read_text(spark, f"{tmp_path}/s").collect()] == ["x"]
 
 
 def test_every_category_is_ordered(spark):
