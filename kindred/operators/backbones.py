@@ -6,20 +6,37 @@ requests: request_id, names (null or empty asks for all loaded ones).
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.functions import codes
+from kindred.operators.extraction import Scorer, ScorerRegistry, batch_score
+
 REGISTRY_SCHEMA = "name string, display_name string, loaded boolean, input_w int, input_h int"
 
 
 @dataclass(frozen=True)
 class Backbone:
+    """An extractor: its scorer, if it is loaded, and how many channels its list shows (None: all)."""
+
     name: str
     display_name: str
     loaded: bool = True
     input_w: int = 224
     input_h: int = 224
+    scorer: Scorer | None = None
+    channels: int | None = None
+
+
+def scorers(backbones: Sequence[Backbone]) -> ScorerRegistry:
+    """The loaded extractors by name, for a batch run with one of them."""
+    registry = ScorerRegistry()
+    for backbone in backbones:
+        if backbone.loaded and backbone.scorer is not None:
+            registry.register(backbone.name, backbone.scorer, backbone.display_name)
+    return registry
 
 
 def registry_table(spark: SparkSession, backbones: Sequence[Backbone]) -> DataFrame:
@@ -72,6 +89,50 @@ def usage(requests: DataFrame, backbones: Sequence[Backbone]) -> DataFrame:
     )
 
 
+def run_targets(targets: DataFrame, images: DataFrame, backbones: Sequence[Backbone]) -> DataFrame:
+    """Runs every target of a request on its image: request_id, name, status, channel_order, reason, latency_ms.
+
+    images: request_id, image_uuid and what the scorers read. An extractor that fails, or is not loaded, leaves a row that
+    says so. Each extractor is one map over its own requests.
+    """
+    wanted = targets.select("request_id", F.explode("targets").alias("_backbone")).join(images, "request_id")
+    known = scorers(backbones)
+    kind = targets.schema["request_id"].dataType
+    runs = []
+    for backbone in backbones:
+        own = wanted.filter(F.col("_backbone") == backbone.name).drop("_backbone")
+        if backbone.name in known.names():
+            named = own.withColumn("image_original_name", F.col("request_id").cast("string"))
+            scored = batch_score(named, known.get(backbone.name))
+            order = F.col("channel_order")
+            if backbone.channels is not None:
+                order = codes.int_list_text(F.slice(codes.int_list(order), 1, backbone.channels))
+            shown = F.when(F.col("status") == "ok", order)
+            runs.append(
+                scored.select(
+                    F.col("name").cast(kind).alias("request_id"),
+                    F.lit(backbone.name).alias("name"),
+                    "status",
+                    shown.alias("channel_order"),
+                    "reason",
+                    "latency_ms",
+                )
+            )
+        else:
+            nothing = F.lit(None)
+            runs.append(
+                own.select(
+                    "request_id",
+                    F.lit(backbone.name).alias("name"),
+                    F.lit("failed").alias("status"),
+                    nothing.cast("string").alias("channel_order"),
+                    F.lit("not loaded").alias("reason"),
+                    nothing.cast("double").alias("latency_ms"),
+                )
+            )
+    return reduce(DataFrame.unionByName, runs)
+
+
 def compare_backbones(targets: DataFrame, scored: DataFrame) -> DataFrame:
     """Result of every target of a request: request_id, name, channel_order, error, latency_ms (2 digits).
 

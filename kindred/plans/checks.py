@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred import schema
-from kindred.constants import CANDIDATES_PER_QUERY, DIVERSITY_THRESHOLD, QUERIES_PER_CATEGORY
+from kindred.constants import CANDIDATES_PER_QUERY, DIVERSITY_THRESHOLD, QUERIES_PER_CATEGORY, TOP_CHANNELS
 from kindred.functions import boxes, codes, text, vectors
 from kindred.operators import (
     backbones,
@@ -166,9 +166,9 @@ def cosine_topk(t):
 
 @query
 def cosine_topk_small_group(t):
-    """More neighbours than any group has."""
-    items, queries = _searched(t, 5)
-    return search.cosine_topk(items, queries, k=items.count())
+    """Groups of at most k items: a label and a remainder of the id; every item is a query."""
+    items = derived.vector_items(t).withColumn("group", F.col("group") * 40 + F.pmod("id", F.lit(40)))
+    return search.cosine_topk(items, items, k=20)
 
 
 @query
@@ -641,6 +641,48 @@ def compare_backbones(t):
     return backbones.compare_backbones(targets, derived.backbone_runs(t))
 
 
+class _LowChannels:
+    """Channels in ascending order of their values."""
+
+    def __call__(self, row: dict) -> tuple:
+        vector = np.asarray(row["embedding"], dtype=np.float32)
+        order = np.lexsort((np.arange(len(vector)), vector))
+        return "[" + ", ".join(str(i) for i in order) + "]", b"", None
+
+
+class _HighChannels:
+    """Channels in descending order of their values; some images fail."""
+
+    def __call__(self, row: dict) -> tuple:
+        if int(row["image_uuid"]) % 17 == 0:
+            raise ValueError("cannot read " + row["image_uuid"])
+        vector = np.asarray(row["embedding"], dtype=np.float32)
+        order = np.lexsort((np.arange(len(vector)), -vector))
+        return "[" + ", ".join(str(i) for i in order) + "]", b"", None
+
+
+EXTRACTORS = [
+    backbones.Backbone("vgg16", "VGG16", scorer=_HighChannels, channels=TOP_CHANNELS["vgg16"]),
+    backbones.Backbone("efficientnet", "EfficientNet-B0", scorer=_LowChannels, channels=TOP_CHANNELS["efficientnet"]),
+    backbones.Backbone("lite4", "EfficientNet-Lite4", loaded=False),
+]
+
+
+@query
+def compare_extractors(t):
+    """Requests run on their images by the extractors they name."""
+    kind = F.pmod("vec_id", F.lit(4))
+    asked = {1: ["vgg16"], 2: ["efficientnet", "resnet"], 3: ["lite4", "vgg16"]}
+    names = F.lit(None).cast("array<string>")
+    for at, wanted in asked.items():
+        names = F.when(kind == at, F.array(*map(F.lit, wanted))).otherwise(names)
+    images = t.embeddings.select(
+        F.col("vec_id").alias("request_id"), F.col("vec_id").cast("string").alias("image_uuid"), "embedding"
+    )
+    targets = backbones.backbone_targets(t.embeddings.select(F.col("vec_id").alias("request_id"), names.alias("names")), EXTRACTORS)
+    return backbones.compare_backbones(targets, backbones.run_targets(targets, images, EXTRACTORS)).drop("latency_ms")
+
+
 @query
 def latency_by_backbone(t):
     return backbones.latency_by_backbone(derived.backbone_runs(t))

@@ -313,7 +313,9 @@ SQL: dict[str, str] = {
         (SELECT a.grp, max(round(list_dot_product(ua.u, ub.u), 10)) AS s FROM picks a JOIN picks b ON a.grp = b.grp AND a.id < b.id
           JOIN u ua ON ua.id = a.id JOIN u ub ON ub.id = b.id GROUP BY a.grp) m ON m.grp = p.grp"""),
     "cosine_topk": with_all(selection(20), PAIRS, ranked("sim", "pairs", 20, "found"), select=NEIGHBOURS.format("found")),
-    "cosine_topk_small_group": with_all(selection(5), PAIRS, ranked("sim", "pairs", 1 << 30, "found"), select=NEIGHBOURS.format("found")),
+    "cosine_topk_small_group": with_all(VECTORS, UNITS, """pairs AS MATERIALIZED (SELECT q.grp * 40 + q.id % 40 AS grp, q.id AS query, i.id,
+        round(list_dot_product(i.u, q.u), 10) AS sim FROM u q JOIN u i ON i.grp = q.grp AND i.id % 40 = q.id % 40 AND i.id <> q.id)""",
+        ranked("sim", "pairs", 20, "found"), select=NEIGHBOURS.format("found")),
     "channel_overlap_topn": with_all(selection(20), SIGNATURES, CHANNEL_LISTS, PAIRS, SHARED, "near AS (SELECT * FROM shared WHERE shared > 0)",
         ranked("shared", "near", 30, "found"), select='SELECT grp AS "group", query, id, rank, shared FROM found'),
     "hamming_topk": with_all(selection(20), BITS, PACKED, PAIRS, distances("pairs", "d"), ranked("distance", "d", 20, "found", ascending=True),
@@ -409,6 +411,15 @@ SQL: dict[str, str] = {
         CASE WHEN len(targets) = 0 THEN 'no loaded backbone' ELSE 'ok' END AS status FROM tg"""),
     "backbone_lookup": with_all(REQUESTS, select=f"""SELECT request_id, name, CASE WHEN list_contains({LOADED}, name) THEN 'ok' WHEN list_contains({REGISTERED}, name) THEN 'not loaded' ELSE 'unknown' END AS status
         FROM (SELECT request_id, unnest(names) AS name FROM rq) x"""),
+    "compare_extractors": """
+        WITH targets AS (SELECT vec_id, embedding AS e, unnest(CASE vec_id % 4 WHEN 1 THEN ['vgg16'] WHEN 2 THEN ['efficientnet']
+            WHEN 3 THEN ['lite4', 'vgg16'] ELSE ['vgg16', 'efficientnet'] END) AS name FROM embeddings),
+        lists AS (SELECT vec_id, name, list_transform(range(1, len(e) + 1),
+            lambda i: struct_pack(v := CASE name WHEN 'vgg16' THEN -e[i] ELSE e[i] END, i := i - 1)) AS c FROM targets)
+        SELECT vec_id AS request_id, name, CASE WHEN name = 'lite4' OR (name = 'vgg16' AND vec_id % 17 = 0) THEN NULL ELSE
+            '[' || array_to_string(list_transform(list_sort(c)[1:CASE name WHEN 'vgg16' THEN 25 ELSE 40 END], lambda s: s.i), ', ') || ']' END AS channel_order,
+            CASE WHEN name = 'lite4' THEN 'not loaded' WHEN name = 'vgg16' AND vec_id % 17 = 0 THEN 'cannot read ' || vec_id END AS error
+        FROM lists""",
     "compare_backbones": with_all(REQUESTS, TARGETS, RUNS, select="""SELECT t.request_id, t.name, CASE WHEN NOT bad THEN channel_order END AS channel_order,
         CASE WHEN bad THEN 'cannot run ' || t.name END AS error, CASE WHEN NOT bad THEN round(ms, 2) END AS latency_ms
         FROM (SELECT request_id, unnest(targets) AS name FROM tg) t JOIN rn USING (request_id, name)"""),
