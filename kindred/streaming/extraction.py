@@ -8,6 +8,7 @@ from kindred import schema
 from kindred.operators.catalogue import incremental_todo
 from kindred.operators.extraction import Scorer, batch_score
 from kindred.operators.skew import sent_if_small
+from kindred.runtime import stored
 from kindred.sources.images import list_reader, with_names
 from kindred.streaming.batches import batch_folder, batch_table, run_of, written_before
 
@@ -51,17 +52,15 @@ def start_extraction(
         keys = sent_if_small(rows.select("image_uuid"), rows.count())
         done = batch_table(session, features, "image_uuid string").filter(before)
         todo = incremental_todo(rows, done.join(keys, "image_uuid", "left_semi"))
-        scored = batch_score(todo, scorer).persist()
-        try:
-            ok = scored.filter(F.col("status") == "ok").drop("status", "name", "reason")
-            ok.write.mode("overwrite").parquet(batch_folder(features, stream, batch_id))
-            failed = scored.filter(F.col("status") == "failed").select("image_uuid", "reason").distinct()
-            again = todo.join(failed, "image_uuid").select(*IMAGE_COLUMNS, "reason").distinct()
-            always = session.createDataFrame([(None,) * len(again.columns)], again.schema)
-            snapshot = again.unionByName(always).withColumn("turn", F.lit(turn + 1).cast("bigint"))
-            snapshot.write.mode("overwrite").parquet(batch_folder(failures, stream, batch_id))
-        finally:
-            scored.unpersist()
+        # Stored where all executors reach it: a lost one does not make the model run again.
+        scored = stored(batch_score(todo, scorer), "scored")
+        ok = scored.filter(F.col("status") == "ok").drop("status", "name", "reason")
+        ok.write.mode("overwrite").parquet(batch_folder(features, stream, batch_id))
+        failed = scored.filter(F.col("status") == "failed").select("image_uuid", "reason").distinct()
+        again = todo.join(failed, "image_uuid").select(*IMAGE_COLUMNS, "reason").distinct()
+        always = session.createDataFrame([(None,) * len(again.columns)], again.schema)
+        snapshot = again.unionByName(always).withColumn("turn", F.lit(turn + 1).cast("bigint"))
+        snapshot.write.mode("overwrite").parquet(batch_folder(failures, stream, batch_id))
 
     return (
         images.writeStream.foreachBatch(run)

@@ -246,3 +246,13 @@ def test_signature_words_match_the_vector(spark):
     bits = vectors.binarize(F.col("v"))
     row = df.select(vectors.bit_words(bits).alias("a"), vectors.words_of_signature(vectors.pack_bits(bits)).alias("b")).first()
     assert row["a"] == row["b"]
+
+
+def test_streamed_lists_follow_the_rules_of_the_batch_reader(spark, tmp_path):
+    (tmp_path / "lists").mkdir()
+    (tmp_path / "lists" / "images_1.csv").write_text("image_uuid,image_url\nu1,/a\n")
+    rows = stream.image_list_stream(spark, f"{tmp_path}/lists")
+    rows.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(
+        f"{tmp_path}/out"
+    ).awaitTermination()
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [("u1", "/a", "u1")]
