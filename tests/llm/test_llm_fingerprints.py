@@ -3,6 +3,8 @@ import re
 
 from pyspark.sql import functions as F
 
+from llm_corpus import corpus  # noqa: F401
+
 from kindred.llm import fingerprints as fp
 
 

@@ -5,6 +5,8 @@ import zlib
 
 import numpy as np
 
+from llm_corpus import corpus, marks  # noqa: F401
+
 from kindred.llm import language_id, language_model, mixing
 
 

@@ -3,6 +3,8 @@ import itertools
 import numpy as np
 import pyarrow as pa
 
+from llm_corpus import corpus  # noqa: F401
+
 from kindred.llm import neardup
 from kindred.llm.common import words
 from kindred.llm.components import components

@@ -4,6 +4,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from llm_corpus import corpus  # noqa: F401
+
 from kindred.llm import pieces
 
 pytestmark = pytest.mark.skipif(not os.path.exists(pieces.MODEL_PATH), reason="no piece model")

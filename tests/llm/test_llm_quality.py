@@ -1,6 +1,8 @@
 import collections
 import re
 
+from llm_corpus import corpus, marks  # noqa: F401
+
 from kindred.llm import quality_classifier, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")

@@ -1,5 +1,7 @@
 import hashlib
 
+from llm_corpus import corpus  # noqa: F401
+
 from kindred.llm import licenses, warc
 
 LONG = "<html>" + "z" * 200
