@@ -255,27 +255,31 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, Data
 
     # Members of every bucket that holds two different texts at least.
     entries = stored(spoken.select("key", F.explode("bands").alias("bucket")).distinct(), "entries")
-    shared = entries.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high")
-    members = stored(entries.join(stored(shared.select("bucket"), "buckets"), "bucket"), "members")
-    candidates = stored(members.select("key").distinct(), "candidates")
+    sizes = entries.groupBy("bucket").agg(
+        F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("size")
+    )
+    shared = stored(sizes.filter("low <> high").select("bucket", "size"), "buckets")
+    met_in = stored(entries.join(shared, "bucket"), "met")
+    # Members of large buckets in many bands stand in the middle of their group: they lead, so that most others are joined
+    # by the first comparison.
+    candidates = stored(met_in.groupBy("key").agg(F.sum("size").alias("weight")), "candidates")
+    members = stored(met_in.select("bucket", "key").join(candidates, "key"), "members")
     # Copies have equal samples.
-    drawn = spoken.select("key", "samples").join(candidates, "key", "left_semi").dropDuplicates(["key", "samples"])
+    drawn = spoken.select("key", "samples").join(candidates.select("key"), "key", "left_semi").dropDuplicates(["key", "samples"])
     drawn = stored(drawn, "samples")
-    first = nodes.join(candidates, "key", "left_semi").select(_id_text().alias("_kd_id")).distinct()
+    first = nodes.join(candidates.select("key"), "key", "left_semi").select(_id_text().alias("_kd_id")).distinct()
     named_docs = docs.select("text", _id_text().alias("_kd_id"))
     sets = stored(_shingle_table(named_docs.join(stored(first, "first").hint("merge"), "_kd_id", "left_semi")), "shingles")
 
     links: DataFrame | None = None
     label: DataFrame | None = None
-    everyone = members.select("bucket", "key", F.col("key").alias("label"))
+    everyone = members.select("bucket", "key", "weight", F.col("key").alias("label"))
     waiting, done, rounds = everyone, None, 0
     while not waiting.isEmpty():
-        # Leaders of a bucket are members that no earlier leader's component holds, in an order of the bucket's own.
-        order = F.xxhash64("key", "bucket", F.lit(rounds))
-        ranked = Window.partitionBy("bucket").orderBy("order", "key")
+        # Leaders of a bucket are members that no earlier leader's component holds.
+        ranked = Window.partitionBy("bucket").orderBy(F.desc("weight"), "key")
         leaders = stored(
-            waiting.withColumn("order", order)
-            .withColumn("rank", F.row_number().over(ranked))
+            waiting.withColumn("rank", F.row_number().over(ranked))
             .filter(F.col("rank") <= min(MORE_LEADERS**rounds, 1 << 30))
             .select("bucket", F.col("key").alias("a"), F.col("label").alias("a_label")),
             "leaders",
@@ -289,7 +293,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, Data
         # A member waits on if its component has had no leader in this bucket. Earlier leaders' components are marked
         # by their leaders' labels, which are renewed with everybody else's.
         rounds += 1
-        renewed = _relabelled(everyone.select("bucket", "key"), label)
+        renewed = _relabelled(everyone.select("bucket", "key", "weight"), label)
         led = leaders.select("bucket", F.col("a").alias("key"))
         done = led if done is None else stored(done.union(led), "done")
         everyone = stored(renewed, "members")
