@@ -90,6 +90,22 @@ def test_training_gradient_lowers_the_loss():
     assert after > 0.5 * before  # less than half the loss of the unigram model
 
 
+def test_network_learns_from_every_training_token_and_its_vocabulary_grows(spark):
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 3000}" for j in range(60_000)), i < 20) for i in range(22)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _train boolean").repartition(4)
+    counts = language_model.count_words(docs)
+    vocabulary, known = language_model._vocabulary(language_model.frequent_words(counts), counts)
+    assert len(vocabulary) == 3000 and known.sum() == 20 * 60_001
+    net = language_model._trained(docs, vocabulary, known)
+    assert net.learned == 20 * 60_001
+    # What follows is fixed by the word before.
+    where = {w: i + 2 for i, w in enumerate(vocabulary.to_pylist())}
+    tokens = np.array([where[f"w{j % 3000}"] for j in range(6000)])
+    fresh = language_model.Network.fresh(known)
+    before, after = (language_model.log10_likelihoods(n, tokens, np.array([0, 6000]))[0] for n in (fresh, net))
+    assert after > before
+
+
 def test_model_of_an_empty_table(corpus):
     assert language_model.score(corpus.limit(0)).count() == 0
 
