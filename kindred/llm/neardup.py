@@ -9,9 +9,11 @@ candidates; exact similarities of candidates decide; classes are the connected c
 
 Exact copies (equal words in equal order) are one node, so a text copied a million times is compared once. Within a
 bucket nobody meets everybody: a leader is compared with all members, then some leaders of those that no leader has
-joined, then more, until each component of the bucket has had a leader. A pair is first compared by all its samples, and its
-shingles are only fetched if at least half agree (at similarity 0.8 one pair in ten million has fewer). Large buckets are
-joins on stored tables, which Spark splits.
+joined, then more, until each component of the bucket has had a leader. Members that never led and still lie in different
+components of a bucket are then compared with each other, in blocks of `BLOCK`, so every candidate pair is compared unless
+its ends are already in one component. A pair is first compared by all its samples, and its shingles are only fetched if at
+least half agree (at similarity 0.8 one pair in ten million has fewer). Large buckets are joins on stored tables, which
+Spark splits.
 
 Defined results: null and empty texts and texts of white space stay alone, as their own class; the class of a document
 is the smallest doc_id in it (nulls aside); repeated rows and copies share a class; one row comes out per row that goes in.
@@ -42,6 +44,8 @@ BANDS = 16
 AGREEING = ROWS * BANDS // 2
 # Leaders of a bucket grow by this factor from round to round.
 MORE_LEADERS = 8
+# Members of a bucket that are compared with each other side by side.
+BLOCK = 128
 IDF_BITS = 16
 IDF_BUCKETS = 1 << IDF_BITS
 
@@ -240,6 +244,57 @@ def verified(pairs: DataFrame, sets: DataFrame, idf: np.ndarray, least: float) -
     return in_batches(matched, run, "a binary, b binary")
 
 
+def across(left: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members (bucket, key, label) of one bucket with different labels that agree in AGREEING samples.
+
+    A label with a block's worth of members has blocks of its own, which never meet each other; smaller labels share blocks.
+    """
+    counts = stored(left.groupBy("bucket", "label").agg(F.count("*").alias("n")), "counts")
+    group = F.when(F.col("n") >= BLOCK, F.col("label")).otherwise(F.lit(b""))
+    mixed_buckets = counts.groupBy("bucket").agg(F.count("*").alias("labels")).filter("labels > 1").select("bucket")
+    grouped = stored(counts.join(mixed_buckets, "bucket").withColumn("group", group), "groups")
+    sizes = grouped.groupBy("bucket", "group").agg(F.sum("n").alias("size"))
+    salt = F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / F.lit(BLOCK)))
+    salted = stored(
+        left.join(grouped.select("bucket", "label", "group"), ["bucket", "label"])
+        .join(sizes, ["bucket", "group"])
+        .select("bucket", "group", salt.alias("salt"), "key", "label"),
+        "salted",
+    )
+    blocks = stored(
+        salted.join(drawn, "key")
+        .groupBy("bucket", "group", "salt")
+        .agg(F.collect_list(F.struct("key", "label", "samples")).alias("held")),
+        "blocks",
+    )
+    a = blocks.select("bucket", F.struct("group", "salt").alias("place_a"), F.col("held").alias("held_a"))
+    b = blocks.select("bucket", F.struct("group", "salt").alias("place_b"), F.col("held").alias("held_b"))
+    alone = (F.col("place_a.group") == F.col("place_b.group")) & (F.length("place_a.group") > 0)
+    met = a.join(b, "bucket").filter((F.col("place_a") <= F.col("place_b")) & ~alone).select("held_a", "held_b")
+
+    def run(batches):
+        def side(held):
+            rows = held.values
+            drawn_here = rows.field("samples").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+            return (np.array(rows.field(name).to_pylist(), dtype=object) for name in ("key", "label")), drawn_here
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (key_a, label_a), drawn_a = side(batch.column("held_a")[i])
+                (key_b, label_b), drawn_b = side(batch.column("held_b")[i])
+                equal = np.zeros((len(key_a), len(key_b)), np.int16)
+                for sample in range(drawn_a.shape[1]):
+                    equal += drawn_a[:, sample, None] == drawn_b[None, :, sample]
+                at_a, at_b = np.nonzero((equal >= AGREEING) & (label_a[:, None] != label_b[None, :]))
+                if len(at_a):
+                    ends = [sorted(pair) for pair in zip(key_a[at_a], key_b[at_b])]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([e[0] for e in ends], pa.binary()), pa.array([e[1] for e in ends], pa.binary())], ["a", "b"]
+                    )
+
+    return in_batches(met, run, "a binary, b binary").distinct()
+
+
 def _id_text(column: str = "doc_id"):
     """The id as text, with null as the empty text, so that rows without an id meet too."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -303,6 +358,14 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, Data
         unfinished = stored(waiting.select("bucket").distinct(), "buckets")
         everyone = stored(everyone.join(unfinished, "bucket", "left_semi"), "members")
 
+    if label is not None:
+        # Leaders have met all members of other components; now those that never led meet across components.
+        followers = members.select("bucket", "key").join(done, ["bucket", "key"], "left_anti")
+        likely = stored(across(stored(_relabelled(followers, label), "followers"), drawn), "likely")
+        found = stored(verified(likely, sets, idf, least), "found")
+        if not found.isEmpty():
+            label = components(links.union(found))
+
     if label is None:
         joined = nodes.select("key", "doc_id", F.col("key").alias("label"))
     else:

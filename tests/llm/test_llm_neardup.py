@@ -58,6 +58,47 @@ def test_large_group_of_near_copies_is_one_class(spark):
     assert all(r["class_id"] == r["doc_id"] for r in found if r["doc_id"] >= 1000)
 
 
+def test_followers_of_different_components_meet(spark):
+    draw = np.random.default_rng(5)
+    size = 3 * neardup.BLOCK
+    samples = draw.integers(0, 2**31 - 1, (2 * size, neardup.BANDS * neardup.ROWS)).astype(np.int32)
+    samples[size + 7, : neardup.AGREEING] = samples[3, : neardup.AGREEING]  # across two large labels
+    samples[4] = samples[5]  # within one label
+    samples[2 * size - 1] = samples[2 * size - 2]  # between two small labels
+    key = [f"{i:05d}".encode() for i in range(2 * size)]
+    label = [key[0]] * size + [key[size]] * (size - 2) + key[-2:]
+    left = spark.createDataFrame([(1, bytearray(k), bytearray(n)) for k, n in zip(key, label)], "bucket long, key binary, label binary")
+    drawn = spark.createDataFrame([(bytearray(k), row.tolist()) for k, row in zip(key, samples)], "key binary, samples array<int>")
+    found = {(bytes(r["a"]), bytes(r["b"])) for r in neardup.across(left, drawn).collect()}
+    assert found == {(key[3], key[size + 7]), (key[-2], key[-1])}
+
+
+def two_groups_and_a_bridge(seed, size=150):
+    """Two groups of near copies, not alike, but for one member of each."""
+    draw = np.random.default_rng(seed)
+    base, spots = [f"s{seed}w{i}" for i in range(240)], [10 + 28 * i for i in range(8)]
+
+    def text(own, changed=None):
+        out = list(base)
+        for spot, side in zip(spots, own):
+            out[spot] = f"s{seed}{side}{spot}"
+        if changed is not None:
+            out[draw.integers(0, 240)] = f"s{seed}own{changed}"
+        return " ".join(out)
+
+    rows = [text("aaaaaaaa", f"a{i}") for i in range(size)] + [text("bbbbbbbb", f"b{i}") for i in range(size)]
+    return [*rows, text("bbaaaaaa"), text("bbbbbbaa")]
+
+
+def test_two_large_groups_joined_by_one_pair(spark):
+    rows = [t for seed in range(2) for t in two_groups_and_a_bridge(seed)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    groups = {}
+    for r in neardup.near_duplicates(docs).collect():
+        groups.setdefault(r["class_id"], []).append(r["doc_id"])
+    assert set(map(frozenset, groups.values())) == set(map(frozenset, brute(docs, neardup.inverse_frequencies(docs))))
+
+
 def test_samples_estimate_weighted_jaccard():
     draw = np.random.default_rng(1)
     a = np.unique(draw.integers(0, 2**63, 400).astype(np.uint64))
