@@ -3,7 +3,9 @@
 A text is read as passages: its lines, its sentences and the whole of it. A passage is lower-cased, cut into runs of letters
 and digits, and stands as the set of its word bigrams. Templates whose number of bigrams cannot reach the wanted
 coefficient with that of the passage are passed over: `2 min(a, b) / (a + b) >= least` bounds a by b. The best template of all
-passages is the document's licence.
+passages is the document's licence. A document without such a passage is read again as windows of consecutive words, across
+line ends and within sentences: of every length the bounds allow, at every place. A window that is near a template stays near
+without bigrams at its ends that the template lacks, so only windows between two of the template's bigrams are compared.
 
 All steps are column expressions over one row, so the scan is a single map without a shuffle, and no hot licence,
 source or copy gathers anywhere. Defined results: null, empty and one-word texts, and texts without a passage near any
@@ -50,6 +52,17 @@ TEMPLATES: list[tuple[str, str]] = [
     ("proprietary", "All rights reserved"),
 ]
 
+# Longer notices, looked for in windows only.
+LONG_TEMPLATES: list[tuple[str, str]] = [
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the Software), to deal in the Software without restriction, including without limitation the "
+        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions",
+    ),
+]
+
 
 def template_bigrams(text: str) -> list[str]:
     words = re.findall(r"[^\W_]+", text.lower())
@@ -65,6 +78,11 @@ def passages(text: Column) -> Column:
 
 def bigrams(passage: Column) -> Column:
     """The set of word bigrams of a passage; empty under two words."""
+    return F.array_distinct(bigram_list(passage))
+
+
+def bigram_list(passage: Column) -> Column:
+    """The word bigrams of a passage in order."""
     words = F.split(F.trim(F.regexp_replace(F.lower(passage), r"[^\p{L}\p{N}]+", " ")), " ")
     pairs = F.transform(
         F.array(words),
@@ -72,7 +90,31 @@ def bigrams(passage: Column) -> Column:
             F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)
         ),
     )
-    return F.array_distinct(F.element_at(pairs, 1))
+    return F.element_at(pairs, 1)
+
+
+def best_window(found: Column, pairs: list[str], least: float) -> Column:
+    """The largest coefficient of a window of the bigrams found with a template; 0 if none can reach `least`."""
+    count, (low, high) = len(pairs), sizes_within(len(pairs), least)
+    wanted = F.array(*map(F.lit, pairs))
+    needed = math.ceil(least * (low + count) / 2 - 1e-9)
+
+    def held(at: Column) -> Column:
+        return F.coalesce(F.array_contains(wanted, F.get(found, at - 1)), F.lit(False))
+
+    def dice(window: Column) -> Column:
+        own = F.array_distinct(window)
+        return 2.0 * F.size(F.array_intersect(own, wanted)) / (F.size(own) + count)
+
+    starts = F.filter(F.sequence(F.lit(1), F.size(found)), held)
+    windows = F.flatten(
+        F.transform(
+            starts,
+            lambda i: F.transform(F.filter(F.sequence(i + low - 1, i + high - 1), held), lambda j: dice(F.slice(found, i, j - i + 1))),
+        )
+    )
+    near = F.size(F.array_intersect(found, wanted)) >= needed
+    return F.coalesce(F.when(near, F.array_max(windows)), F.lit(0.0))
 
 
 def sizes_within(count: int, least: float) -> tuple[int, int]:
@@ -101,8 +143,20 @@ def scan(docs: DataFrame, least: float = LEAST, templates: list[tuple[str, str]]
         return F.greatest(*choices)
 
     hits = F.filter(F.transform(sets, nearest), lambda h: h["dice"] >= least)
-    names = F.array(*[F.lit(name) for name, _ in known])
-    scanned = docs.select("doc_id", hits.alias("hits"))
+    longer = known if templates else known + [(name, template_bigrams(text)) for name, text in LONG_TEMPLATES]
+    names = F.array(*[F.lit(name) for name, _ in longer])
+    passed = docs.select("doc_id", text.alias("text"), hits.alias("near"))
+    listed = passed.select("doc_id", "near", F.when(F.size("near") == 0, bigram_list(F.col("text"))).alias("pairs"))
+    in_windows = F.filter(
+        F.array(
+            *[
+                F.struct(best_window(F.col("pairs"), pairs, least).alias("dice"), F.lit(-at).alias("at"))
+                for at, (_, pairs) in enumerate(longer)
+            ]
+        ),
+        lambda h: h["dice"] >= least,
+    )
+    scanned = listed.select("doc_id", F.when(F.size("near") > 0, F.col("near")).otherwise(in_windows).alias("hits"))
     best = F.array_max("hits")
     return scanned.select(
         "doc_id",
