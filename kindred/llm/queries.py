@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import fingerprints, language_id, language_model, licenses, mixing, neardup, pieces, quality_classifier, quality_rules, warc
+from kindred.llm import (
+    collocations,
+    fingerprints,
+    hard_negatives,
+    language_id,
+    language_model,
+    licenses,
+    mixing,
+    neardup,
+    pieces,
+    quality_classifier,
+    quality_rules,
+    simhash,
+    warc,
+)
 from kindred.llm.common import table
 
 
@@ -50,6 +64,18 @@ def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.from_embeddings(table(spark, folder, "embeddings"))
+
+
+def op13_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_fingerprints": op2_fingerprints,
@@ -61,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_licenses": op9_licenses,
     "op10_language_id": op10_language_id,
+    "op11_collocations": op11_collocations,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_simhash": op13_simhash,
 }
 
 SQL: dict[str, str] = {
@@ -79,4 +108,6 @@ SQL: dict[str, str] = {
         FROM judged
     """,
     "op9_licenses": licenses.sql(),
+    "op11_collocations": collocations.sql(),
+    "op12_hard_negatives": hard_negatives.sql(),
 }
