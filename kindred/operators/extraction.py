@@ -65,16 +65,23 @@ def batch_score(images: DataFrame, scorer: Scorer, partitions: int | None = None
     return spread.mapInPandas(score, schema.SCORED)
 
 
-def feature_rows(scored: DataFrame) -> DataFrame:
-    """Successful results in the shape of the feature files."""
-    return scored.filter(F.col("status") == "ok").select(
+def feature_columns(scored: DataFrame) -> DataFrame:
+    """Codes as text, in the columns of the feature files; columns that are none of the codes' follow."""
+    others = [c for c in scored.columns if c not in schema.SCORED.fieldNames()]
+    return scored.select(
         "image_uuid",
         codes.base64_text(F.col("signature")).alias("img_feature_value_base64"),
         F.col("channel_order").alias("img_feature_order"),
         codes.base64_text(F.col("embedding")).alias("img_embedding_base64"),
+        *others,
     )
 
 
+def feature_rows(scored: DataFrame) -> DataFrame:
+    """Successful results in the shape of the feature files."""
+    return feature_columns(scored.filter(F.col("status") == "ok").select(*schema.SCORED.fieldNames()))
+
+
 def failure_lines(scored: DataFrame) -> DataFrame:
     """name - reason of every failed row."""
     line: Column = F.format_string("%s - %s", "name", "reason")

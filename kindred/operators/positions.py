@@ -31,6 +31,21 @@ def numbered(df: DataFrame, *order: str, name: str = "position") -> DataFrame:
     )
 
 
+def numbered_as_stored(table: DataFrame, name: str = "position") -> DataFrame:
+    """A stored parquet table with a column 0, 1, 2, ... in the order of its files and of the rows in them.
+
+    Rows are neither sorted nor moved; only one count per file is gathered, from columns that the files' footers hold.
+    """
+    placed = table.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    sizes = placed.groupBy("_file").agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_file", F.coalesce(before, F.lit(0)).alias("_before"))
+    # One row per file, that is per task that has written the table.
+    return placed.join(F.broadcast(offsets), "_file").withColumn(name, F.col("_before") + F.col("_row")).drop(
+        "_file", "_row", "_before"
+    )
+
+
 def chunk_number(df: DataFrame, *order: str, start: int = 0, rows: int = 500, name: str = "file_no") -> DataFrame:
     """Number of the output file of each row: full files of the given size after start, the rest in the last."""
     file_no = (F.floor(F.col("_position") / rows) + start + 1).cast("bigint")

@@ -29,6 +29,7 @@ from kindred.runtime import fresh_path, stored
 from kindred.sinks import dataset as dataset_sinks
 from kindred.sinks import documents as document_sinks
 from kindred.sinks import features as feature_sinks
+from kindred.sinks.store import FeatureStore
 from kindred.sources import documents, features, files, images, labels
 from kindred.streaming import extraction as extraction_stream
 from kindred.streaming import selections as selection_stream
@@ -363,13 +364,30 @@ def stream_incremental(t):
         return one
 
     extraction_stream.start_extraction(
-        t.spark, listed_images, scorer, f"{base}/features", f"{base}/failures", f"{base}/state"
+        t.spark, listed_images, scorer, f"{base}/features", f"{base}/state"
     ).awaitTermination()
-    done = t.spark.read.parquet(f"{base}/features").select("image_uuid", F.lit("ok").alias("state"))
-    failed = extraction_stream.open_failures(t.spark, f"{base}/failures")
+    done = features.read_features(t.spark, f"{base}/features").select("image_uuid", F.lit("ok").alias("state"))
+    failed = extraction_stream.open_failures(t.spark, f"{base}/features")
     return done.unionByName(failed.select("image_uuid", F.lit("failed").alias("state")))
 
 
+@query
+def processed_keys(t):
+    """Two scoring runs into one store, the second of which finds the keys of the first."""
+    path = fresh_path(t.spark, "features")
+    rows = t.embeddings.select(
+        F.col("vec_id").cast("string").alias("image_uuid"),
+        F.lit("u").alias("image_url"),
+        F.lit("n").alias("image_original_name"),
+        "embedding",
+    )
+    store = FeatureStore(t.spark, path)
+    for wanted in (rows.filter(F.pmod(F.col("image_uuid").cast("bigint"), F.lit(3)) == 0), rows):
+        todo = store.missing(wanted)
+        store.commit(extraction.batch_score(todo, _VectorCodes), todo)
+    return features.processed_keys(t.spark, path)
+
+
 # Detections
 
 

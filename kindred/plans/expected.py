@@ -349,6 +349,7 @@ SQL: dict[str, str] = {
         CASE WHEN NOT failed THEN channel_order END AS channel_order, CASE WHEN NOT failed THEN packed END AS signature,
         CASE WHEN NOT failed THEN CAST(len(e) * 2 AS INTEGER) END AS embedding_bytes, CASE WHEN failed THEN 'cannot read ' || vec_id END AS reason FROM co"""),
     "register_scorer": "SELECT CASE WHEN vec_id % 17 = 0 THEN 'failed' ELSE 'ok' END AS status, count(*) AS images FROM embeddings GROUP BY 1",
+    "processed_keys": "SELECT CAST(vec_id AS VARCHAR) AS image_uuid FROM embeddings WHERE vec_id % 17 <> 0",
     "scan_features": with_all(VECTORS, BITS, PACKED, VECTOR_CODES, select="""SELECT CAST(vec_id AS VARCHAR) AS image_uuid, packed AS signature, channel_order,
         round(sqrt(list_dot_product(e, e)), 2) AS norm FROM co WHERE NOT failed"""),
     "max_file_index": "SELECT CAST(3 + ceil(count(*) / 500.0) AS BIGINT) AS file_index FROM embeddings WHERE vec_id % 17 <> 0",

@@ -1,15 +1,13 @@
-"""Batch extraction from image lists to feature chunks."""
+"""Batch extraction from image lists to a feature store."""
 
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.operators.catalogue import incremental_todo
-from kindred.operators.extraction import Scorer, batch_score, failure_lines, feature_rows, run_stats
-from kindred.runtime import stored
-from kindred.sinks.features import write_failure_log, write_feature_files
-from kindred.sources.features import processed_keys
+from kindred.operators.extraction import Scorer, batch_score, failure_lines, run_stats
+from kindred.sinks.features import write_failure_log
+from kindred.sinks.store import FeatureStore
 from kindred.sources.images import read_image_list
 
 
@@ -21,14 +19,11 @@ def extract(
     scorer: Scorer,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Score the images without stored features and append their chunks: one row of run statistics."""
+    """Score the images without stored features and append them to the store, as one commit: one row of run statistics."""
     start = time.monotonic()
-    images = read_image_list(spark, image_lists)
-    todo = incremental_todo(images, processed_keys(spark, features)).select(
-        "image_uuid", "image_url", "image_original_name"
-    )
-    # Scoring is the costly step: its results are written once and read for chunks, log and counts.
-    scored = stored(batch_score(todo, scorer, partitions), "scored")
-    write_feature_files(feature_rows(scored), features)
+    store = FeatureStore(spark, features)
+    images = read_image_list(spark, image_lists).select("image_uuid", "image_url", "image_original_name")
+    todo = store.missing(images)
+    scored = store.commit(batch_score(todo, scorer, partitions), todo)
     write_failure_log(failure_lines(scored), failure_log)
     return run_stats(scored, F.lit(images.count()), time.monotonic() - start)

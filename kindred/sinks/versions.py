@@ -1,51 +1,58 @@
 """Published versions of a table or document: whole or not there, and never without the one before.
 
-A version is written to a folder of its own; a marker is written last, as one file of another folder. Readers take the
-newest version with a marker, so one that is still being written, or was left by a job that failed, is not seen.
+A version is written to a folder of its own; a marker with the version's number, which only one writer can take, is
+created last. Readers take the newest marked version, so one that is still being written, or was left by a job that failed,
+is not seen. Of two writers at once the second gets the next number; one that built on the version before builds again.
 """
 
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from kindred.sources import files
+from kindred.sources.marks import Marks
 
-MARKER = r"/published/(\d+)-([0-9a-f]{32})/"
 
-
-def _newest(spark: SparkSession, path: str) -> tuple[int, str] | None:
-    if not files.exists(spark, path):
-        return None
-    marks = files.list_files(spark, path, recursive=True).select(
-        F.regexp_extract("path", MARKER, 1).try_cast("int").alias("number"), F.regexp_extract("path", MARKER, 2).alias("name")
-    )
-    # One marker per version; the larger name settles two writers of one number.
-    row = marks.filter("number is not null").agg(F.max(F.struct("number", "name")).alias("m")).first()["m"]
-    return (row["number"], row["name"]) if row else None
+def _marks(spark: SparkSession, path: str) -> Marks:
+    return Marks(spark, f"{path}/published")
 
 
 def number(spark: SparkSession, path: str) -> int:
     """Number of the newest published version, 0 if there is none."""
-    newest = _newest(spark, path)
-    return newest[0] if newest else 0
+    return max(_marks(spark, path).numbers(), default=0)
+
+
+def folder(spark: SparkSession, path: str, version: int) -> str:
+    """Folder of a published version."""
+    return f"{path}/versions/{_marks(spark, path).text(str(version))}"
 
 
 def current(spark: SparkSession, path: str) -> str:
     """Folder of the newest published version; the path itself if it is a plain file, or nothing yet."""
-    newest = _newest(spark, path)
-    return f"{path}/versions/{newest[0]}-{newest[1]}" if newest else path
+    newest = number(spark, path)
+    return folder(spark, path, newest) if newest else path
 
 
 def publish(spark: SparkSession, path: str, write: Callable[[str], None]) -> int:
-    """Calls write with the folder of the next version and marks it when that has ended."""
-    version, name = number(spark, path) + 1, uuid.uuid4().hex
-    write(f"{path}/versions/{version}-{name}")
-    mark = spark.createDataFrame([(f"{version}-{name}",)], "value string").coalesce(1)
-    mark.write.text(f"{path}/published/{version}-{name}")
+    """Calls write with the folder of a new version and marks it with the next free number when that has ended."""
+    name, marks = uuid.uuid4().hex, _marks(spark, path)
+    write(f"{path}/versions/{name}")
+    version = number(spark, path) + 1
+    while not marks.create(str(version), name):
+        version += 1
     return version
 
 
+def publish_on(spark: SparkSession, path: str, write: Callable[[str, int], None]) -> int:
+    """Like publish for a version that builds on the one before: write is called with the folder and that version's number (0
+    for none), and again on top of the winner if another writer has published in between."""
+    marks = _marks(spark, path)
+    while True:
+        base, name = number(spark, path), uuid.uuid4().hex
+        write(f"{path}/versions/{name}", base)
+        if marks.create(str(base + 1), name):
+            return base + 1
+
+
 def publish_rows(rows: DataFrame, path: str) -> int:
     return publish(rows.sparkSession, path, rows.write.parquet)

@@ -1,31 +1,8 @@
-"""Output folders of streaming batches."""
+"""Batches of a stream."""
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 
 def run_of(batch: DataFrame) -> str:
     """Id of the stream that a batch belongs to; it lives as long as the stream's checkpoint."""
     return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-
-
-def batch_folder(path: str, run: str, batch_id: int) -> str:
-    """Folder of one batch. A repeated batch replaces it; a stream with a new checkpoint has folders of its own."""
-    return f"{path}/run={run}/batch={batch_id}"
-
-
-def written_before(run: str, batch_id: int) -> Column:
-    """Whether a stored row was there before this batch, also when the batch is repeated."""
-    return ~((F.col("run") == run) & (F.col("batch") >= batch_id))
-
-
-def batch_table(spark: SparkSession, path: str, columns: str) -> DataFrame:
-    """Rows of all batches with run and batch, none before the first write."""
-    shape = f"{columns}, run string, batch bigint"
-    try:
-        return spark.read.schema(shape).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], shape)
-        raise

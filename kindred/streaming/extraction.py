@@ -1,66 +1,36 @@
-"""Incremental extraction as a stream over the image-list folder."""
+"""Incremental extraction as a stream over the image-list folder, into the same feature store as the batch job."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from kindred import schema
-from kindred.operators.catalogue import incremental_todo
 from kindred.operators.extraction import Scorer, batch_score
-from kindred.operators.skew import sent_if_small
-from kindred.runtime import stored
+from kindred.sinks.store import COMMITS, IMAGE_COLUMNS, FeatureStore
 from kindred.sources.images import list_reader, with_names
-from kindred.streaming.batches import batch_folder, batch_table, run_of, written_before
+from kindred.streaming.batches import run_of
 
-IMAGE_COLUMNS = schema.IMAGE_LIST.fieldNames()
 
-
-def _snapshots(spark: SparkSession, failures: str) -> DataFrame:
-    """Failure snapshots of all batches; turn counts them."""
-    columns = ", ".join(f"{c} string" for c in IMAGE_COLUMNS)
-    return batch_table(spark, failures, f"{columns}, reason string, turn bigint")
-
-
-def _newest(snapshots: DataFrame) -> tuple[int, DataFrame]:
-    """Turn of the newest snapshot, 0 if there is none, and its failed images."""
-    turn = snapshots.agg(F.coalesce(F.max("turn"), F.lit(0))).first()[0]
-    failed = snapshots.filter((F.col("turn") == turn) & F.col("image_uuid").isNotNull())
-    return turn, failed.select(*IMAGE_COLUMNS)
-
-
-def open_failures(spark: SparkSession, failures: str) -> DataFrame:
+def open_failures(spark: SparkSession, features: str) -> DataFrame:
     """Images whose last try failed."""
-    return _newest(_snapshots(spark, failures))[1]
+    return FeatureStore(spark, features).open_failures()
 
 
 def start_extraction(
-    spark: SparkSession, images: DataFrame, scorer: Scorer, features: str, failures: str, checkpoint: str
+    spark: SparkSession, images: DataFrame, scorer: Scorer, features: str, checkpoint: str, compact_after: int = COMMITS
 ) -> StreamingQuery:
-    """Score all new images of a streaming image list, retry earlier failures, append the results.
+    """Score all new images of a streaming image list, retry earlier failures, append the results to the store.
 
-    The file source hands every row out once; the failure snapshots are what brings failed rows back.
-    Each batch writes its own folders, so a batch that is repeated after a crash replaces its output.
-    Every snapshot has one row without uuid, so that a batch without failures leaves one too.
+    The file source hands every row out once; the store's failures are what brings failed rows back. A batch is one commit: a
+    batch that is repeated after a crash is skipped if its commit stands, and else done again.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        session, stream = batch.sparkSession, run_of(batch)
-        before = written_before(stream, batch_id)
-        turn, retried = _newest(_snapshots(session, failures).filter(before))
-        rows = batch.select(*IMAGE_COLUMNS).unionByName(retried)
-        # The stored keys are cut down to those of a small batch while they are scanned, before any shuffle.
-        keys = sent_if_small(rows.select("image_uuid"), rows.count())
-        done = batch_table(session, features, "image_uuid string").filter(before)
-        todo = incremental_todo(rows, done.join(keys, "image_uuid", "left_semi"))
-        # Stored where all executors reach it: a lost one does not make the model run again.
-        scored = stored(batch_score(todo, scorer), "scored")
-        ok = scored.filter(F.col("status") == "ok").drop("status", "name", "reason")
-        ok.write.mode("overwrite").parquet(batch_folder(features, stream, batch_id))
-        failed = scored.filter(F.col("status") == "failed").select("image_uuid", "reason").distinct()
-        again = todo.join(failed, "image_uuid").select(*IMAGE_COLUMNS, "reason").distinct()
-        always = session.createDataFrame([(None,) * len(again.columns)], again.schema)
-        snapshot = again.unionByName(always).withColumn("turn", F.lit(turn + 1).cast("bigint"))
-        snapshot.write.mode("overwrite").parquet(batch_folder(failures, stream, batch_id))
+        store = FeatureStore(batch.sparkSession, features, compact_after)
+        state, stream = store.log.state(), run_of(batch)
+        if store.has(stream, batch_id, state):
+            return
+        rows = batch.select(*IMAGE_COLUMNS).unionByName(store.open_failures(state).select(*IMAGE_COLUMNS))
+        todo = store.missing(rows, state, rows.count())
+        store.commit(batch_score(todo, scorer), todo, stream, batch_id)
 
     return (
         images.writeStream.foreachBatch(run)

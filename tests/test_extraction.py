@@ -193,18 +193,18 @@ def test_stream_retries_failures(spark, tmp_path):
 
     def run(state="c"):
         stream.start_extraction(
-            spark, stream.image_list_stream(spark, str(lists)), flaky, f"{tmp_path}/f", f"{tmp_path}/x", f"{tmp_path}/{state}"
+            spark, stream.image_list_stream(spark, str(lists)), flaky, f"{tmp_path}/f", f"{tmp_path}/{state}"
         ).awaitTermination()
-        return sorted(r["image_uuid"] for r in spark.read.parquet(f"{tmp_path}/f").collect())
+        return sorted(r["image_uuid"] for r in features.read_features(spark, f"{tmp_path}/f").collect())
 
     write_list(lists / "images_1.csv", [(str(i), "u", "n") for i in range(5, 9)])
     assert run() == ["5", "6", "8"]
-    failed = stream.open_failures(spark, f"{tmp_path}/x")
+    failed = stream.open_failures(spark, f"{tmp_path}/f")
     assert [r["image_uuid"] for r in failed.collect()] == ["7"]
     broken.rename(tmp_path / "repaired")
     write_list(lists / "images_2.csv", [("8", "u", "n"), ("9", "u", "n")])
     assert run() == ["5", "6", "7", "8", "9"]
-    assert stream.open_failures(spark, f"{tmp_path}/x").count() == 0
+    assert stream.open_failures(spark, f"{tmp_path}/f").count() == 0
     # A stream without the old checkpoint sees all files again, but scores nothing twice and overwrites nothing.
     write_list(lists / "images_3.csv", [("10", "u", "n")])
     assert run("new") == ["10", "5", "6", "7", "8", "9"]

@@ -2,6 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from kindred.sinks.commits import CommitLog
 from kindred.sinks.selections import publish_selections, published_selections
 from kindred.streaming.selections import current_selections, publish_current, start_intake
 
@@ -23,7 +24,8 @@ def test_later_submissions_win_over_batches(spark, tmp_path):
     assert arrive([("3", "q1", ["b", "a"], DAY + dt.timedelta(1)), ("4", "q2", ["a"], DAY)]) == {"q1": ["b", "a"], "q2": ["a"]}
     # An earlier completion that arrives late changes nothing.
     assert arrive([("5", "q1", ["a"], DAY - dt.timedelta(1))]) == {"q1": ["b", "a"], "q2": ["a"]}
-    assert spark.read.parquet(f"{tmp_path}/out").agg(F.count("*")).first()[0] == 4
+    log = CommitLog(spark, f"{tmp_path}/out")
+    assert spark.read.parquet(*log.folders("accepted", log.state())).agg(F.count("*")).first()[0] == 4
 
 
 def test_first_read_and_publishing_on_top_of_the_stored_ones(spark, tmp_path):
@@ -34,7 +36,9 @@ def test_first_read_and_publishing_on_top_of_the_stored_ones(spark, tmp_path):
     publish_selections(spark.createDataFrame(old, shape), snapshots)
     rows = [("q1", ["a"], DAY, "1"), ("q2", ["b"], DAY, "2")]
     more = f"{shape}, submission_id string"
-    spark.createDataFrame(rows, more).write.parquet(f"{accepted}/run=x/batch=0")
+    log = CommitLog(spark, accepted)
+    spark.createDataFrame(rows, more).write.parquet(log.folder("accepted", "0" * 32))
+    assert log.commit(1, "0" * 32, run="x", batch=0)
     assert publish_current(spark, accepted, snapshots) == 2
     got = {r["query_id"]: r["selected_image_ids"] for r in published_selections(spark, snapshots).collect()}
     assert got == {"q1": ["z"], "q2": ["b"], "q3": ["z"]}
