@@ -3,12 +3,12 @@
 Texts are lower-cased (A to Z), cut into pieces at `[.,;:!?\\x0A-\\x0D]` and pieces into words `[^\\x20\\x09]+`; everything is
 counted for each language by itself. A phrase is a run of words within a piece; one that occurs `least` times or more is frequent.
 
-First pass, for phrases of one word, then two, then three: the hashes of phrases are dealt to 2^b hash partitions, whose masses
-(number of occurrences) are counted. Each partition has a summary with a capacity above mass / least: tasks summarise what they
-read, summaries of a partition are merged, and whenever one holds more entries than the capacity, the entry just beyond it is
-subtracted from all. What is subtracted sums up to less than `least`, whatever the order of merges, so every frequent phrase
-is left, and those whose count plus the sum of subtractions stays below `least` go. The survivors are marked in a bitmap of at most
-`MOST_BITS` bits, and the next width only looks at phrases both of whose shorter ends are marked.
+First pass, for phrases of one word, then two, then three: tasks add up the hashes of phrases they read, which are dealt to
+2^b hash partitions. Each partition has a Misra-Gries summary with a capacity above its mass (number of occurrences) / least:
+what the tasks have counted is merged into it, and whenever it holds more entries than the capacity, the count just beyond it
+is subtracted from all. What is subtracted sums up to less than `least`, whatever the order of merges, so every frequent phrase
+is left, and those whose count plus the sum of subtractions stays below `least` go. The survivors are marked in a bitmap of
+at most 2^MOST_BITS bits, and the next width only looks at phrases both of whose shorter ends are marked.
 
 Second pass: occurrences of marked phrases are counted exactly, by their words, and those below `least` dropped. Scores are
 whole numbers computed as decimals of 38 digits, exact up to 10^16 occurrences of a phrase.
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +40,9 @@ PART_MASS = 1 << 18
 LEAST_PARTS, MOST_PARTS = 5, 20
 # Size of the bitmap of survivors, as a power of two: 32 MB at most. A fuller map lets more phrases through to the exact count.
 LEAST_BITS, MOST_BITS = 16, 28
-# Different phrases that a task holds before it hands its summaries on.
-HELD = 1 << 21
-# Rows of summaries for one merging task.
+# Different phrases that a task adds up before it hands them on: hashes, and phrases as text.
+HELD, HELD_TEXTS = 1 << 20, 1 << 18
+# Words of the corpus for one summarising task.
 TASK_ROWS = 1 << 23
 
 # Bytes: 0 belongs to a word, 1 stands between words, 2 between pieces.
@@ -115,48 +114,41 @@ def added_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-@dataclass
 class Summary:
-    """Misra-Gries summaries of hash partitions: keys (ascending, so by partition), counts, and what was subtracted.
+    """A Misra-Gries summary of one hash partition: keys, counts, and what was subtracted so far.
 
-    capacity gives the entries each partition may hold, more than its whole mass / least. Each subtraction of d takes d from
-    capacity + 1 entries at least, out of the mass, so all subtractions of a partition together are less than least.
+    capacity is more than the partition's whole mass / least. A subtraction of d takes d from capacity + 1 entries at least,
+    out of the mass, so all subtractions together are less than least, in whatever order entries come or summaries merge.
     """
 
-    bits: int
-    capacity: np.ndarray
-    keys: np.ndarray
-    counts: np.ndarray
-    lost: dict[int, int]
-
-    @classmethod
-    def empty(cls, bits: int, capacity: np.ndarray) -> Summary:
-        return cls(bits, capacity, np.zeros(0, np.uint64), np.zeros(0, np.int64), {})
-
-    def merge(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """Add entries, then cut partitions that hold more than their capacity."""
-        keys, counts = added_up(np.concatenate([self.keys, keys]), np.concatenate([self.counts, counts]))
-        part = parts_of(keys, self.bits)
-        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
-        ends = np.r_[starts[1:], len(part)].astype(np.int64)
-        keep = np.ones(len(keys), bool)
-        for at in np.flatnonzero(ends - starts > self.capacity[part[starts]]) if len(starts) else ():
-            own = slice(starts[at], ends[at])
-            number = int(part[starts[at]])
-            beyond = len(counts[own]) - int(self.capacity[number]) - 1
-            least = int(np.partition(counts[own], beyond)[beyond])
-            counts[own] -= least
-            self.lost[number] = self.lost.get(number, 0) + least
-            keep[own] = counts[own] > 0
-        self.keys, self.counts = keys[keep], counts[keep]
-
-    def batch(self) -> pa.RecordBatch:
-        """part, key and count of the entries, and for each partition what was subtracted, with a null key."""
-        parts = np.concatenate([parts_of(self.keys, self.bits), np.fromiter(self.lost, np.int64, len(self.lost))])
-        keys = pa.array(self.keys.view(np.int64))
-        counts = np.concatenate([self.counts, np.fromiter(self.lost.values(), np.int64, len(self.lost))])
-        columns = [pa.array(parts), pa.concat_arrays([keys, pa.nulls(len(self.lost), pa.int64())]), pa.array(counts)]
-        return pa.RecordBatch.from_arrays(columns, ["part", "key", "n"])
+    def __init__(self, capacity: int):
+        self.capacity, self.lost = capacity, 0
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self._waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self._entries = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self._waiting.append((keys, counts))
+        self._entries += len(keys)
+        if self._entries > max(self.capacity, 1 << 16):
+            self.settle()
+
+    def settle(self) -> None:
+        """Merge what was added, then cut to the capacity."""
+        held = [(self.keys, self.counts), *self._waiting]
+        self.keys, self.counts = added_up(*map(np.concatenate, zip(*held)))
+        self._waiting, self._entries = [], 0
+        if len(self.keys) > self.capacity:
+            beyond = len(self.counts) - self.capacity - 1
+            least = int(np.partition(self.counts, beyond)[beyond])
+            kept = self.counts > least
+            self.keys, self.counts = self.keys[kept], self.counts[kept] - least
+            self.lost += least
+
+    def possible(self, least: int) -> np.ndarray:
+        """The keys that may occur least times."""
+        self.settle()
+        return self.keys[self.counts + self.lost >= least]
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[Tokens]:
@@ -165,97 +157,70 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[Tokens]:
             yield Tokens(part)
 
 
-def masses(docs: DataFrame, marks: list, width: int, bits: int) -> np.ndarray:
-    """Number of occurrences of possible phrases in each hash partition."""
+def occurrences(docs: DataFrame, marks: list, width: int, bits: int) -> DataFrame:
+    """part, key and n of possible phrases, added up within what a task holds at once."""
     sent = docs.sparkSession.sparkContext.broadcast(marks)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
-        for tokens in _tokens(batches):
-            total += np.bincount(parts_of(tokens.phrases(sent.value, width)[1], bits), minlength=len(total))
-        held = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["part", "n"])
-
-    found = docs.mapInArrow(run, "part long, n long").groupBy("part").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(1 << bits, np.int64)  # at most 2^MOST_PARTS numbers
-    total[found["part"].to_numpy()] = found["n"].to_numpy()
-    return total
-
-
-def summaries(docs: DataFrame, marks: list, width: int, bits: int, capacity: np.ndarray) -> DataFrame:
-    """part, key and n of the tasks' summaries of phrases."""
-    sent = docs.sparkSession.sparkContext.broadcast((marks, capacity))
+    def batch(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(parts_of(keys, bits).astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(counts)]
+        return pa.RecordBatch.from_arrays(columns, ["part", "key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, capacity = sent.value
-        summary, fresh, held = Summary.empty(bits, capacity), [], 0
+        fresh, held = [], 0
         for tokens in _tokens(batches):
-            hashes, counts = np.unique(tokens.phrases(marks, width)[1], return_counts=True)
-            fresh.append((hashes, counts))
-            held += len(hashes)
+            fresh.append(np.unique(tokens.phrases(sent.value, width)[1], return_counts=True))
+            held += len(fresh[-1][0])
             if held >= HELD:
-                summary.merge(*map(np.concatenate, zip(*fresh)))
+                yield batch(*added_up(*map(np.concatenate, zip(*fresh))))
                 fresh, held = [], 0
-                if len(summary.keys) >= HELD:
-                    yield summary.batch()
-                    summary = Summary.empty(bits, capacity)
         if fresh:
-            summary.merge(*map(np.concatenate, zip(*fresh)))
-        yield summary.batch()
+            yield batch(*added_up(*map(np.concatenate, zip(*fresh))))
 
-    return docs.mapInArrow(run, "part long, key long, n long")
+    return docs.mapInArrow(run, "part int, key long, n long")
 
 
-def survivors(found: DataFrame, bits: int, capacity: np.ndarray, tasks: int, least: int, size: int) -> DataFrame:
+def survivors(found: DataFrame, bits: int, tasks: int, least: int, size: int) -> DataFrame:
     """part and its piece of the bitmap (2^size bits in all) with the phrases that may occur `least` times marked."""
-    sent = found.sparkSession.sparkContext.broadcast(capacity)
     own_bits = size - bits
 
-    def piece(summary: Summary, part: int) -> tuple[int, bytes]:
-        kept = summary.keys[summary.counts + summary.lost.get(part, 0) >= least]
+    def piece(summary: Summary) -> bytes:
         marked = np.zeros(1 << own_bits, np.uint8)
-        marked[((kept >> np.uint64(64 - size)) & np.uint64((1 << own_bits) - 1)).astype(np.int64)] = 1
-        return part, np.packbits(marked, bitorder="little").tobytes()
+        place = (summary.possible(least) >> np.uint64(64 - size)) & np.uint64((1 << own_bits) - 1)
+        marked[place.astype(np.int64)] = 1
+        return np.packbits(marked, bitorder="little").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        summary, current, done = None, None, []
+        summary, current = None, None
         for batch in batches:
-            parts, counts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "n"))
-            is_entry = pc.is_valid(batch.column("key")).to_numpy(zero_copy_only=False)
-            keys = pc.fill_null(batch.column("key"), 0).to_numpy(zero_copy_only=False).view(np.uint64)
+            parts, keys, counts, masses = (batch.column(c).to_numpy() for c in ("part", "key", "n", "mass"))
             edges = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1], True]) if len(parts) else []
             for a, b in zip(edges[:-1], edges[1:]):
                 if parts[a] != current:
                     if summary is not None:
-                        done.append(piece(summary, current))
-                    summary, current = Summary.empty(bits, sent.value), int(parts[a])
-                entries = is_entry[a:b]
-                summary.lost[current] = summary.lost.get(current, 0) + int(counts[a:b][~entries].sum())
-                summary.merge(keys[a:b][entries], counts[a:b][entries])
+                        yield pa.RecordBatch.from_pydict({"part": [current], "marks": [piece(summary)]}, shape)
+                    summary, current = Summary(int(masses[a]) // least + 1), int(parts[a])
+                summary.add(keys[a:b].view(np.uint64), counts[a:b])
         if summary is not None:
-            done.append(piece(summary, current))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([p for p, _ in done], pa.int64()), pa.array([m for _, m in done], pa.binary())], ["part", "marks"]
-        )
+            yield pa.RecordBatch.from_pydict({"part": [current], "marks": [piece(summary)]}, shape)
 
-    dealt = found.repartition(tasks, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(run, "part long, marks binary")
+    shape = pa.schema([("part", pa.int32()), ("marks", pa.binary())])
+    # The mass of a partition is known before its first entry is summarised; its rows then follow each other.
+    whole = Window.partitionBy("part")
+    weighed = found.repartition(tasks, "part").withColumn("mass", F.sum("n").over(whole))
+    return weighed.mapInArrow(run, "part int, marks binary")
 
 
 def possible(docs: DataFrame, least: int, longest: int) -> list[np.ndarray]:
     """For each width a bitmap of hashes in which every phrase that occurs at least `least` times is marked."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
-    bits = min(MOST_PARTS, max(LEAST_PARTS, math.ceil(math.log2(max(size, 1) / 6 / PART_MASS))))
+    words = max(size // 6, 1)
+    bits = min(MOST_PARTS, max(LEAST_PARTS, math.ceil(math.log2(words / PART_MASS))))
+    map_bits = max(bits + 3, min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(4 * words / least)))))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(words / TASK_ROWS))
     marks: list[np.ndarray] = []
     for width in range(1, longest + 1):
-        mass = masses(docs, marks, width, bits)
-        capacity = mass // least + 1
-        total = int(mass.sum())
-        wanted = math.ceil(math.log2(8 * total / least + 1))
-        map_bits = max(bits + 3, min(MOST_BITS, max(LEAST_BITS, wanted)))
-        tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TASK_ROWS))
-        found = summaries(docs, marks, width, bits, capacity)
-        pieces = survivors(found, bits, capacity, min(tasks, 1 << bits), least, map_bits).toArrow()
+        found = occurrences(docs, marks, width, bits)
+        pieces = survivors(found, bits, min(tasks, 1 << bits), least, map_bits).toArrow()
         bitmap = np.zeros((1 << bits, 1 << (map_bits - bits - 3)), np.uint8)  # at most 2^MOST_BITS bits
         for part, piece in zip(pieces["part"].to_pylist(), pieces["marks"].to_pylist()):
             bitmap[part] = np.frombuffer(piece, np.uint8)
@@ -293,7 +258,7 @@ def counted(docs: DataFrame, marks: list, least: int) -> DataFrame:
             held.append(_rows(tokens, np.arange(len(words)), 0, pa.array([""] * len(words)), words))
             held += [local(tokens, sent.value, width) for width in range(1, len(sent.value) + 1)]
             rows += sum(map(len, held[-len(sent.value) - 1 :]))
-            if rows >= HELD:
+            if rows >= HELD_TEXTS:
                 yield from added(held)
                 held, rows = [], 0
         if held:
