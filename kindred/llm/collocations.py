@@ -36,12 +36,14 @@ LEAST, LONGEST, TOP, SHARE = 10, 3, 2000, 50
 NO_LANGUAGE = "und"
 STEP = np.uint64(0x9E3779B97F4A7C15)
 # Mass of a hash partition that is aimed at, and limits of their number (as powers of two).
-PART_MASS = 1 << 18
+PART_MASS = 1 << 22
 LEAST_PARTS, MOST_PARTS = 5, 20
+# Bytes of a hash that tell the phrases of a partition apart; phrases that share them are only counted together here.
+KEY_BYTES = 5
 # Size of the bitmap of survivors, as a power of two: 32 MB at most. A fuller map lets more phrases through to the exact count.
 LEAST_BITS, MOST_BITS = 16, 28
 # Different phrases that a task adds up before it hands them on: hashes, and phrases as text.
-HELD, HELD_TEXTS = 1 << 20, 1 << 18
+HELD, HELD_TEXTS = 1 << 21, 1 << 18
 # Words of the corpus for one summarising task.
 TASK_ROWS = 1 << 23
 
@@ -102,10 +104,6 @@ def is_marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def parts_of(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def added_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in ascending order and the sum of the counts of each."""
     order = np.argsort(keys, kind="stable")
@@ -157,6 +155,89 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[Tokens]:
             yield Tokens(part)
 
 
+def packed(keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Distinct hashes (ascending) and their counts as one row for each hash partition: part, mass, keys and counts.
+
+    A key is KEY_BYTES of the hash below those bits that say its partition.
+    """
+    part = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+    low = (keys << np.uint64(bits)) >> np.uint64(64 - 8 * KEY_BYTES)
+    raw = low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+    ends = np.r_[starts[1:], len(part)].astype(np.int64)
+    columns = [
+        pa.array(part[starts].astype(np.int32)),
+        pa.array(np.add.reduceat(counts, starts) if len(starts) else counts, pa.int64()),
+        pa.array([raw[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
+        pa.array([counts[a:b].astype("<i8").tobytes() for a, b in zip(starts, ends)], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["part", "mass", "keys", "counts"])
+
+
+def unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.zeros((len(keys) // KEY_BYTES, 8), np.uint8)
+    raw[:, :KEY_BYTES] = np.frombuffer(keys, np.uint8).reshape(-1, KEY_BYTES)
+    return raw.view("<u8").ravel(), np.frombuffer(counts, "<i8")
+
+
+def occurrences(docs: DataFrame, marks: list, width: int, bits: int) -> DataFrame:
+    """Possible phrases and their counts, packed by hash partition, added up within what a task holds at once."""
+    sent = docs.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh, held = [], 0
+        for tokens in _tokens(batches):
+            fresh.append(np.unique(tokens.phrases(sent.value, width)[1], return_counts=True))
+            held += len(fresh[-1][0])
+            if held >= HELD:
+                yield packed(*added_up(*map(np.concatenate, zip(*fresh))), bits)
+                fresh, held = [], 0
+        if fresh:
+            yield packed(*added_up(*map(np.concatenate, zip(*fresh))), bits)
+
+    return docs.mapInArrow(run, "part int, mass long, keys binary, counts binary")
+
+
+def survivors(found: DataFrame, bits: int, tasks: int, least: int, size: int) -> DataFrame:
+    """part and its piece of the bitmap (2^size bits in all) with the phrases that may occur `least` times marked."""
+    own_bits = size - bits
+
+    def piece(summary: Summary) -> bytes:
+        marked = np.zeros(1 << own_bits, np.uint8)
+        marked[(summary.possible(least) >> np.uint64(8 * KEY_BYTES - own_bits)).astype(np.int64)] = 1
+        return np.packbits(marked, bitorder="little").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        summary, current = None, None
+        for batch in batches:
+            parts, masses = (batch.column(c).to_pylist() for c in ("part", "whole"))
+            for row, part in enumerate(parts):
+                if part != current:
+                    if summary is not None:
+                        yield pa.RecordBatch.from_pydict({"part": [current], "marks": [piece(summary)]}, shape)
+                    summary, current = Summary(masses[row] // least + 1), part
+                summary.add(*unpacked(batch.column("keys")[row].as_py(), batch.column("counts")[row].as_py()))
+        if summary is not None:
+            yield pa.RecordBatch.from_pydict({"part": [current], "marks": [piece(summary)]}, shape)
+
+    shape = pa.schema([("part", pa.int32()), ("marks", pa.binary())])
+    # The mass of a partition is known before its first entry is summarised; its rows then follow each other.
+    weighed = found.repartition(tasks, "part").withColumn("whole", F.sum("mass").over(Window.partitionBy("part")))
+    return weighed.mapInArrow(run, "part int, marks binary")
+
+
+def possible(self, least: int) -> np.ndarray:
+        """The keys that may occur least times."""
+        self.settle()
+        return self.keys[self.counts + self.lost >= least]
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[Tokens]:
+    for batch in batches:
+        for part in slices(batch):
+            yield Tokens(part)
+
+
 def occurrences(docs: DataFrame, marks: list, width: int, bits: int) -> DataFrame:
     """part, key and n of possible phrases, added up within what a task holds at once."""
     sent = docs.sparkSession.sparkContext.broadcast(marks)
