@@ -92,28 +92,36 @@ class BestPerQuery:
     def _merge(self, group, first: int, query_ids, query_payload, ids, payload) -> None:
         scores = SCORES[self.kind](payload, query_payload)
         scores[ids[:, None] == query_ids[None, :]] = -np.inf
-        key = (group, first)
-        _, rows, kept, kept_ids = self.best.get(
-            key, (query_ids, np.zeros(0, np.int64), np.zeros(0), ids[:0])
-        )
         # A new item counts only if it reaches the k-th best of its block and of what is held.
-        floor = np.full(len(query_ids), -np.inf)
-        held = np.bincount(rows, minlength=len(query_ids))
-        if len(rows):
-            last = np.cumsum(held) - 1
-            floor = np.where(held >= self.k, kept[np.maximum(last, 0)], -np.inf)
+        floor = self._floor(group, first, query_ids)
         if len(ids) > self.k:
             floor = np.maximum(floor, np.partition(scores, len(ids) - self.k, axis=0)[len(ids) - self.k])
         item, query = np.nonzero((scores >= floor) & (scores > -np.inf))
+        self.keep(group, first, query_ids, query, scores[item, query], ids[item])
+
+    def _held(self, group, first: int, query_ids, ids) -> tuple:
+        return self.best.get((group, first), (query_ids, np.zeros(0, np.int64), np.zeros(0), ids[:0]))
+
+    def _floor(self, group, first: int, query_ids) -> np.ndarray:
+        _, rows, kept, _ = self._held(group, first, query_ids, query_ids)
+        held = np.bincount(rows, minlength=len(query_ids))
+        if not len(rows):
+            return np.full(len(query_ids), -np.inf)
+        last = np.cumsum(held) - 1
+        return np.where(held >= self.k, kept[np.maximum(last, 0)], -np.inf)
+
+    def keep(self, group, first: int, query_ids, query: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Add scored items of the queries (places in the block of queries that starts at first)."""
+        _, rows, kept, kept_ids = self._held(group, first, query_ids, ids)
         rows = np.concatenate([rows, query])
-        kept = np.concatenate([kept, scores[item, query]])
-        kept_ids = np.concatenate([kept_ids, ids[item]])
+        kept = np.concatenate([kept, scores])
+        kept_ids = np.concatenate([kept_ids, ids])
         # Per query the highest scores first, the smaller id first among equals.
         order = np.lexsort((kept_ids, -kept, rows))
         rows = rows[order]
         place = np.arange(len(rows)) - np.searchsorted(rows, rows)
         order, rows = order[place < self.k], rows[place < self.k]
-        self.best[key] = (query_ids, rows, kept[order], kept_ids[order])
+        self.best[group, first] = (query_ids, rows, kept[order], kept_ids[order])
 
     def batch(self, schema: pa.Schema) -> pa.RecordBatch:
         groups, queries, items, scores = [], [], [], []

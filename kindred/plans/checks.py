@@ -179,7 +179,13 @@ def channel_overlap_topn(t):
 
 @query
 def hamming_topk(t):
-    return search.hamming_topk(*_searched(t), k=20)
+    return search.hamming_topk(*_searched(t), k=20, least_pairs=0)
+
+
+@query
+def hamming_candidates(t):
+    """Comparisons of the first round, in parts of 8 bits."""
+    return search.compared_signatures(*_searched(t), bits=8)
 
 
 @query
@@ -195,6 +201,14 @@ def three_stage_search(t):
     return search.three_stage_search(*_searched(t), n_channels=30, n_bits=20, k=10)
 
 
+@query
+def indexed_search(t):
+    """The cascade over a stored index of the channels."""
+    items, queries = _searched(t)
+    index = search.channel_index(items.select("group", "id", F.col("channels").alias("payload")))
+    return search.three_stage_search(items, queries, n_channels=30, n_bits=20, k=10, index=index)
+
+
 @query
 def three_stage_recall(t):
     items, queries = _searched(t)

@@ -322,7 +322,11 @@ SQL: dict[str, str] = {
         select='SELECT grp AS "group", query, id, rank, distance FROM found'),
     "rerank_cosine": with_all(selection(20), BITS, PACKED, PAIRS, distances("pairs", "d"), ranked("distance", "d", 20, "near", ascending=True),
         "short AS (SELECT grp, query, id, sim FROM near)", ranked("sim", "short", 10, "found"), select=NEIGHBOURS.format("found")),
+    "hamming_candidates": with_all(selection(20), BITS, PACKED, PAIRS, select="""SELECT p.grp AS "group", p.query,
+        count_if(list_bool_or(list_transform(range(8), lambda i: (a.words[i // 4 + 1] >> (i % 4 * 8)) & 255 = (b.words[i // 4 + 1] >> (i % 4 * 8)) & 255)))::BIGINT AS compared
+        FROM pairs p JOIN pk a ON a.vec_id = p.query JOIN pk b ON b.vec_id = p.id GROUP BY p.grp, p.query"""),
     "three_stage_search": with_all(*CASCADE, select=NEIGHBOURS.format("found")),
+    "indexed_search": with_all(*CASCADE, select=NEIGHBOURS.format("found")),
     "three_stage_recall": with_all(*CASCADE, ranked("sim", "pairs", 10, "exact"), select="""SELECT query_id, hit, retrieved, relevant,
         round(hit / retrieved, 3) AS precision, round(hit / relevant, 3) AS recall FROM (
         SELECT e.grp || '_' || e.query AS query_id, count(f.id) AS hit, any_value(n.n) AS retrieved, count(*) AS relevant FROM exact e

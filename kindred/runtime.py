@@ -1,10 +1,16 @@
 """Where intermediate tables live, and how long plans are cut."""
 
+import math
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Rows of a bucket of a table that is dealt by key.
+BUCKET_ROWS = 1_000_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
@@ -38,3 +44,21 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     path = fresh_path(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def bucketed(df: DataFrame, keys: Sequence[str], rows: int) -> Iterator[DataFrame]:
+    """The rows of df as a table in the shared folder, dealt into buckets by the keys: joins on them do not shuffle it.
+
+    rows, a number of rows that will meet it, gives the number of buckets. The table's name is given up at the end; its files
+    stay, as all intermediate tables do.
+    """
+    spark = df.sparkSession
+    name = f"kindred_{uuid.uuid4().hex}"
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / BUCKET_ROWS))
+    dealt = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+    dealt.option("path", fresh_path(spark, "bucketed")).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -3,7 +3,7 @@ import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
-from kindred.operators import blocks, diverse, search, skew
+from kindred.operators import blocks, diverse, postings, search, skew
 
 SCHEMA = "`group` string, id string, embedding array<float>, channels array<int>, words array<bigint>"
 
@@ -84,18 +84,111 @@ def test_block_memory_and_time_stay_bounded():
     assert sum(len(ids) for _, _, _, ids in best.best.values()) == 400_000
 
 
-def test_cascade_moves_no_vector(spark, monkeypatch):
-    monkeypatch.setattr(skew, "SENT_ROWS", 40)
+def scans_and_broadcasts(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("FileScan"), plan.count("BroadcastExchange")
+
+
+def test_plan_of_the_cascade_does_not_grow_with_the_queries(spark, tmp_path, monkeypatch):
     table = catalogue(3)
-    items = spark.createDataFrame(table, SCHEMA).repartition(3)
+    spark.createDataFrame(table, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/items")
+    items = spark.read.parquet(f"{tmp_path}/items")
+    few, many = items.filter("cast(id as int) % 20 = 1"), items.filter("cast(id as int) % 2 = 1")
+    monkeypatch.setattr(skew, "SENT_ROWS", 40)
+    plans = [scans_and_broadcasts(search.three_stage_search(items, wanted, 15, 9, 4)) for wanted in (few, many)]
+    assert plans[0] == plans[1] and max(plans[0]) <= 5
+
+
+@pytest.mark.parametrize("query_bytes", [64 << 20, 600])
+@pytest.mark.parametrize("sent", [500_000, 40])
+def test_cascade_of_any_length_gives_the_same_rows(spark, monkeypatch, sent, query_bytes):
+    items = spark.createDataFrame(catalogue(3), SCHEMA).repartition(3)
     wanted = items.filter("cast(id as int) % 20 = 1")
-    sliced = search.three_stage_search(items, wanted, 15, 9, 4)
-    plan = sliced._jdf.queryExecution().executedPlan().toString()
-    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
-    assert moved and "SortMergeJoin" not in plan
-    monkeypatch.undo()
-    whole = search.three_stage_search(items, wanted, 15, 9, 4)
-    assert sorted(map(tuple, sliced.collect())) == sorted(map(tuple, whole.collect()))
+    whole = sorted(map(tuple, search.three_stage_search(items, wanted, 15, 9, 4).collect()))
+    index = search.channel_index(items.select("group", "id", F.col("channels").alias("payload")))
+    monkeypatch.setattr(skew, "SENT_ROWS", sent)
+    monkeypatch.setattr(search, "QUERY_BYTES", query_bytes)
+    assert sorted(map(tuple, search.three_stage_search(items, wanted, 15, 9, 4).collect())) == whole
+    assert sorted(map(tuple, search.three_stage_search(items, wanted, 15, 9, 4, index).collect())) == whole
+
+
+def test_rounds_deal_the_items_once(spark, monkeypatch):
+    items = spark.createDataFrame(catalogue(3), SCHEMA)
+    wanted = items.filter("cast(id as int) % 20 = 1")
+    monkeypatch.setattr(search, "QUERY_BYTES", 600)
+    shuffles, dealt = [], search.bucketed
+
+    def watched(df, keys, rows):
+        shuffles.append(keys)
+        return dealt(df, keys, rows)
+
+    monkeypatch.setattr(search, "bucketed", watched)
+    assert search.three_stage_search(items, wanted, 15, 9, 4).count() > 0
+    assert shuffles == [["group", "id"]]
+
+
+@pytest.mark.parametrize("block_items", [7, 1 << 14])
+@pytest.mark.parametrize("n", [1, 4, 500])
+def test_postings_equal_brute_force(spark, monkeypatch, n, block_items):
+    monkeypatch.setattr(postings, "BLOCK_ITEMS", block_items)
+    table = catalogue(4)
+    queries = [r for r in table if int(r[1]) % 9 == 0] + [table[-1]]
+    items = spark.createDataFrame(table, SCHEMA).repartition(5)
+    wanted = items.filter(F.col("id").isin([q[1] for q in queries]))
+    index = search.channel_index(items.select("group", "id", F.col("channels").alias("payload")))
+    got = search.channel_overlap_topn(index, wanted, n).collect()
+    assert {(r["query"], r["rank"], r["id"]) for r in got} == brute_force(table, queries, "channels", n)
+    assert all(r["shared"] == SCORE["channels"](*[next(t for t in table if t[1] == r[c]) for c in ("query", "id")]) for r in got)
+
+
+def test_a_search_reads_only_the_postings_of_its_channels(spark):
+    items = spark.range(300).select(
+        F.lit("a").alias("group"), "id", F.expr("transform(sequence(0, 4), i -> cast((id * 7 + i * 61) % 320 as int))").alias("channels")
+    )
+    index = search.channel_index(items.select("group", "id", F.col("channels").alias("payload")))
+    assert index.width == 10
+    query = spark.createDataFrame([("a", 1000, [3, 7, 105])], "`group` string, id bigint, channels array<int>")
+    found = search.channel_overlap_topn(index, query, 50)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    schema = plan[plan.rindex("ReadSchema") :]
+    assert "band_00" in schema and "band_10" in schema and schema.count("band_") == 2
+    lists = {r["id"]: set(r["channels"]) for r in items.collect()}
+    expected = sorted((-len(c & {3, 7, 105}), i) for i, c in lists.items() if c & {3, 7, 105})[:50]
+    assert [(-r["shared"], r["id"]) for r in sorted(found.collect(), key=lambda r: r["rank"])] == expected
+
+
+def test_bound_reads_short_lists_first():
+    draw = np.random.default_rng(5)
+    lists = [np.sort(draw.choice(400, size, replace=False)).astype(np.uint16) for size in (3, 0, 390, 40, 200, 90)]
+    counts = sum(np.bincount(places, minlength=400) for places in lists)
+    for least in range(1, 8):
+        found, shared = postings.shared_at_least(lists, 400, least)
+        assert found.tolist() == np.flatnonzero(counts >= least).tolist()
+        assert shared.tolist() == counts[counts >= least].tolist()
+
+
+@pytest.mark.parametrize("words", [2, 3])
+@pytest.mark.parametrize("part_bits", [(16, 8), (8,)])
+def test_near_signatures_equal_brute_force(spark, monkeypatch, part_bits, words):
+    monkeypatch.setattr(search, "BLOCK_QUERIES", 5)
+    monkeypatch.setattr(search, "BLOCK_ITEMS", 17)
+    draw, table = np.random.default_rng(6), []
+    for i in range(300):
+        # Families of signatures a few bits apart, copies, and some that are far from all.
+        base = np.random.default_rng(i % 12).integers(0, 2**32, words)
+        for bit in draw.choice(32 * words, draw.integers(0, 4), replace=False):
+            base[bit // 32] ^= 1 << (bit % 32)
+        if i % 29 == 0:
+            base = draw.integers(0, 2**32, words)
+        table.append((f"g{i % 2}", f"{i:03d}", None, [], base.tolist()))
+    queries = [r for r in table if int(r[1]) % 7 == 0 or int(r[1]) % 29 == 0]
+    items = spark.createDataFrame([(g, i, [1.0], [1], w) for g, i, _, _, w in table], SCHEMA).repartition(4)
+    wanted = items.filter(F.col("id").isin([q[1] for q in queries]))
+    got = search.hamming_topk(items, wanted, 6, part_bits, least_pairs=0).collect()
+    assert {(r["query"], r["rank"], r["id"]) for r in got} == brute_force(table, queries, "hamming", 6)
+    compared = {r["query"]: r["compared"] for r in search.compared_signatures(items, wanted, 16).collect()}
+    # Queries meet their family, about 25 of the 150 items of their group, and hardly any other.
+    assert max(compared.values()) < 60 and len(compared) == len(queries)
 
 
 def test_rows_without_a_vector_are_left_out(spark):
