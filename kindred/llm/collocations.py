@@ -226,71 +226,6 @@ def survivors(found: DataFrame, bits: int, tasks: int, least: int, size: int) ->
     return weighed.mapInArrow(run, "part int, marks binary")
 
 
-def possible(self, least: int) -> np.ndarray:
-        """The keys that may occur least times."""
-        self.settle()
-        return self.keys[self.counts + self.lost >= least]
-
-
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[Tokens]:
-    for batch in batches:
-        for part in slices(batch):
-            yield Tokens(part)
-
-
-def occurrences(docs: DataFrame, marks: list, width: int, bits: int) -> DataFrame:
-    """part, key and n of possible phrases, added up within what a task holds at once."""
-    sent = docs.sparkSession.sparkContext.broadcast(marks)
-
-    def batch(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        columns = [pa.array(parts_of(keys, bits).astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(counts)]
-        return pa.RecordBatch.from_arrays(columns, ["part", "key", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh, held = [], 0
-        for tokens in _tokens(batches):
-            fresh.append(np.unique(tokens.phrases(sent.value, width)[1], return_counts=True))
-            held += len(fresh[-1][0])
-            if held >= HELD:
-                yield batch(*added_up(*map(np.concatenate, zip(*fresh))))
-                fresh, held = [], 0
-        if fresh:
-            yield batch(*added_up(*map(np.concatenate, zip(*fresh))))
-
-    return docs.mapInArrow(run, "part int, key long, n long")
-
-
-def survivors(found: DataFrame, bits: int, tasks: int, least: int, size: int) -> DataFrame:
-    """part and its piece of the bitmap (2^size bits in all) with the phrases that may occur `least` times marked."""
-    own_bits = size - bits
-
-    def piece(summary: Summary) -> bytes:
-        marked = np.zeros(1 << own_bits, np.uint8)
-        place = (summary.possible(least) >> np.uint64(64 - size)) & np.uint64((1 << own_bits) - 1)
-        marked[place.astype(np.int64)] = 1
-        return np.packbits(marked, bitorder="little").tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        summary, current = None, None
-        for batch in batches:
-            parts, keys, counts, masses = (batch.column(c).to_numpy() for c in ("part", "key", "n", "mass"))
-            edges = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1], True]) if len(parts) else []
-            for a, b in zip(edges[:-1], edges[1:]):
-                if parts[a] != current:
-                    if summary is not None:
-                        yield pa.RecordBatch.from_pydict({"part": [current], "marks": [piece(summary)]}, shape)
-                    summary, current = Summary(int(masses[a]) // least + 1), int(parts[a])
-                summary.add(keys[a:b].view(np.uint64), counts[a:b])
-        if summary is not None:
-            yield pa.RecordBatch.from_pydict({"part": [current], "marks": [piece(summary)]}, shape)
-
-    shape = pa.schema([("part", pa.int32()), ("marks", pa.binary())])
-    # The mass of a partition is known before its first entry is summarised; its rows then follow each other.
-    whole = Window.partitionBy("part")
-    weighed = found.repartition(tasks, "part").withColumn("mass", F.sum("n").over(whole))
-    return weighed.mapInArrow(run, "part int, marks binary")
-
-
 def possible(docs: DataFrame, least: int, longest: int) -> list[np.ndarray]:
     """For each width a bitmap of hashes in which every phrase that occurs at least `least` times is marked."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
