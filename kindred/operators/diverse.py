@@ -5,6 +5,9 @@ the chosen set can only grow. One pass therefore keeps, per group, the few items
 (the frontier); picks are made inside it for as long as the next pick stays at or below its last key,
 because no item outside can be lower. Only then the next pass starts. The picks equal those of one
 pass per step.
+
+A pass moves ids and keys only: the frontier is merged from the tasks' lowest rows, and the vectors of the few that are
+left are then read where they lie.
 """
 
 import math
@@ -20,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from kindred.constants import DIVERSITY_THRESHOLD, QUERIES_PER_CATEGORY
 from kindred.operators.blocks import COMPARED_DIGITS, by_group, matrix, plain, unit_rows
-from kindred.operators.skew import sent_if_small
+from kindred.operators.skew import of_groups, sent_if_small
 from kindred.runtime import fresh_path, stored
 
 # Rows of a group kept by one pass.
@@ -42,7 +45,7 @@ def _highest(units: np.ndarray, chosen: np.ndarray) -> np.ndarray:
 
 
 def _pass(items: DataFrame, chosen: dict, limits: dict, schema: T.StructType) -> DataFrame:
-    """Per task and group the rows with the lowest (highest similarity, id), at most the group's limit."""
+    """Per task and group the keys (highest similarity, id) of the lowest rows, at most the group's limit."""
     arrow_schema = to_arrow_schema(schema)
     sent = items.sparkSession.sparkContext.broadcast((chosen, limits))
 
@@ -55,29 +58,30 @@ def _pass(items: DataFrame, chosen: dict, limits: dict, schema: T.StructType) ->
             ids, vectors = plain(batch["id"]), matrix(batch["embedding"])
             for group, rows in by_group(plain(batch["group"])):
                 picked_ids, picked = chosen[group]
-                group_ids, group_vectors = ids[rows], vectors[rows]
-                highest = _highest(unit_rows(group_vectors), picked)
+                group_ids = ids[rows]
+                highest = _highest(unit_rows(vectors[rows]), picked)
                 free = ~np.isin(group_ids, picked_ids)
-                new = (highest[free], group_ids[free], group_vectors[free])
+                new = (highest[free], group_ids[free])
                 if group in kept:
                     new = tuple(np.concatenate(pair) for pair in zip(kept[group], new))
                 order = np.lexsort((new[1], new[0]))[: limits[group]]
                 kept[group] = tuple(part[order] for part in new)
         part = TaskContext.get().partitionId()
-        for group, (highest, group_ids, vectors) in kept.items():
-            columns = [
-                [group] * len(group_ids),
-                group_ids.tolist(),
-                highest.tolist(),
-                list(vectors),
-                [part] * len(group_ids),
-            ]
+        for group, (highest, group_ids) in kept.items():
+            columns = [[group] * len(group_ids), group_ids.tolist(), highest.tolist(), [part] * len(group_ids)]
             arrays = [pa.array(c, t) for c, t in zip(columns, arrow_schema.types)]
             yield pa.record_batch(arrays, schema=arrow_schema)
 
     return items.mapInArrow(lowest_of_task, schema)
 
 
+def _with_vectors(keys: DataFrame, items: DataFrame) -> DataFrame:
+    """The frontier's keys (group, id, highest) with their vectors. Keys of a checked number go to the items' tasks, so no other
+    vector is moved."""
+    few = stored(keys, "frontier")
+    return items.join(sent_if_small(few, few.count()), ["group", "id"]).select("group", "id", "highest", "embedding")
+
+
 def _merged(passed: DataFrame, limit: int) -> DataFrame:
     """The lowest rows of each group over all tasks, merged as a tree so that no task takes them all.
 
@@ -86,7 +90,7 @@ def _merged(passed: DataFrame, limit: int) -> DataFrame:
     for tasks in (MERGE_FAN_IN, MERGE_FAN_IN**2):
         order = Window.partitionBy("group", F.floor(F.col("part") / tasks)).orderBy("highest", "id")
         passed = passed.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).drop("place")
-    return passed
+    return passed.select("group", "id", "highest")
 
 
 def _picks(frontier: DataFrame, chosen: dict, limits: dict, counts: dict, n: int, schema: T.StructType) -> DataFrame:
@@ -151,7 +155,6 @@ def _select_groups(items: DataFrame, counts: dict, firsts: dict, n: int, frontie
             T.StructField("group", fields["group"]),
             T.StructField("id", fields["id"]),
             T.StructField("highest", T.DoubleType()),
-            T.StructField("embedding", fields["embedding"]),
             T.StructField("part", T.IntegerType()),
         ]
     )
@@ -175,9 +178,10 @@ def _select_groups(items: DataFrame, counts: dict, firsts: dict, n: int, frontie
             return picks
         if picks:
             limits = dict.fromkeys(open_groups, max(frontier_rows, 1))
-            wanted = items.filter(F.col("group").isin(open_groups))
+            wanted = of_groups(items, open_groups)
         state = {g: chosen[g] for g in open_groups}
-        frontier = _merged(_pass(wanted, state, limits, passed_schema), max(limits.values()))
+        keys = _merged(_pass(wanted, state, limits, passed_schema), max(limits.values()))
+        frontier = _with_vectors(keys, wanted)
         table = _picks(frontier, state, limits, counts, n, pick_schema).toArrow()
         groups, ids = plain(table["group"]), plain(table["id"])
         ordinals, highest = table["ordinal"].to_numpy(), table["max_similarity"].to_pylist()

@@ -125,7 +125,8 @@ def export_rows(queries: DataFrame, candidates: DataFrame, selections: DataFrame
         .join(answered.select("query_id"), "query_id", "left_semi")
     )
     columns = [*answered_queries.columns, *[c for c in candidates.columns if c != "query_id"]]
-    return join_unique(answered_queries, relevant, "query_id", "left").select(*columns)
+    # Hot keys are looked for among the candidates: the join above need not run for that.
+    return join_unique(answered_queries, relevant, "query_id", "left", base=candidates).select(*columns)
 
 
 def navigation(queries: DataFrame) -> DataFrame:

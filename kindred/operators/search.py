@@ -23,8 +23,6 @@ from kindred.runtime import bucketed, fresh_path, stored
 # worked through in rounds, each of which reads the items once and moves none of them.
 QUERY_BYTES = 64 << 20
 TASK_RESULTS = 1_000_000
-# Groups that are named in the scan's filter; more are joined.
-LISTED_GROUPS = 1000
 # Bits of a part in the rounds of the nearest signatures, and pairs from which rounds are worth a reading of the items.
 PART_BITS = (16, 8)
 LEAST_PAIRS = 100_000_000
@@ -48,15 +46,6 @@ def query_blocks(queries: DataFrame) -> dict:
     return {g: (ids[rows], payload[rows]) for g, rows in by_group(groups)}
 
 
-def _of_groups(items: DataFrame, groups: list) -> DataFrame:
-    """Items of the groups: by a list in the scan if there are few, by a join of checked size otherwise."""
-    if len(groups) <= LISTED_GROUPS:
-        return items.filter(F.col("group").isin(groups))
-    shape = T.StructType([T.StructField("group", items.schema["group"].dataType)])
-    wanted = items.sparkSession.createDataFrame([(g,) for g in groups], shape)
-    return items.join(skew.sent_if_small(wanted, len(groups)), "group", "left_semi")
-
-
 def _scan(items: DataFrame, queries: DataFrame, kind: str, k: int) -> DataFrame:
     """One pass over the items: every task returns at most k rows per query, nothing else is moved."""
     schema = _found_schema(items, queries)
@@ -75,7 +64,7 @@ def _scan(items: DataFrame, queries: DataFrame, kind: str, k: int) -> DataFrame:
                     best.add(group, blocks[group], ids[rows], payload[rows])
         yield best.batch(arrow_schema)
 
-    return _of_groups(items, list(collected)).mapInArrow(best_of_task, schema)
+    return skew.of_groups(items, list(collected)).mapInArrow(best_of_task, schema)
 
 
 def _scan_parts(items: DataFrame, queries: DataFrame, bits: int, k: int) -> DataFrame:
@@ -107,7 +96,7 @@ def _scan_parts(items: DataFrame, queries: DataFrame, bits: int, k: int) -> Data
                     best.keep(group, wanted.start, query_ids[wanted], query, score, group_ids[some][item])
         yield best.batch(arrow_schema)
 
-    return _of_groups(items, list(collected)).mapInArrow(near_of_task, schema)
+    return skew.of_groups(items, list(collected)).mapInArrow(near_of_task, schema)
 
 
 def _scan_postings(index: ChannelIndex, queries: DataFrame, n: int) -> DataFrame:
@@ -115,7 +104,7 @@ def _scan_postings(index: ChannelIndex, queries: DataFrame, n: int) -> DataFrame
     blocks = index.blocks
     schema = _found_schema(blocks.select("group", F.explode("ids").alias("id")), queries)
     collected = query_blocks(queries)
-    return shared_channels(index, _of_groups(blocks, list(collected)), collected, n, schema, to_arrow_schema(schema))
+    return shared_channels(index, skew.of_groups(blocks, list(collected)), collected, n, schema, to_arrow_schema(schema))
 
 
 def in_rounds(queries: DataFrame, k: int, scan: Callable, query_bytes: int, task_results: int) -> DataFrame:
@@ -238,7 +227,7 @@ def compared_signatures(items: DataFrame, queries: DataFrame, bits: int = PART_B
                     columns = [[group] * met.shape[1], query_ids[wanted].tolist(), met.sum(axis=0)]
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, arrow_schema.types)], schema=arrow_schema)
 
-    counted = _of_groups(items, list(collected)).mapInArrow(counts_of_task, schema)
+    counted = skew.of_groups(items, list(collected)).mapInArrow(counts_of_task, schema)
     return counted.groupBy("group", "query").agg(F.sum("compared").alias("compared"))
 
 

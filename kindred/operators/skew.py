@@ -2,11 +2,16 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # At most this many keys are treated apart; every other key then holds less than 1/HOT_KEYS of the rows.
 HOT_KEYS = 1000
 # A key with fewer rows needs no treatment.
 HOT_ROWS = 1_000_000
+# Keys that a task counts at once when it looks for the largest.
+TRACKED_KEYS = 10_000
+# Groups that are named in the scan's filter; more are joined.
+LISTED_GROUPS = 1000
 
 
 # Tables of at most this many narrow rows are sent to every task.
@@ -18,26 +23,47 @@ def sent_if_small(df: DataFrame, rows: int | None) -> DataFrame:
     return F.broadcast(df) if rows is not None and rows <= SENT_ROWS else df
 
 
+def of_groups(items: DataFrame, groups: list) -> DataFrame:
+    """Items of the groups: by a list in the scan if there are few, by a join of checked size otherwise."""
+    if len(groups) <= LISTED_GROUPS:
+        return items.filter(F.col("group").isin(groups))
+    shape = T.StructType([T.StructField("group", items.schema["group"].dataType)])
+    wanted = items.sparkSession.createDataFrame([(g,) for g in groups], shape)
+    return items.join(sent_if_small(wanted, len(groups)), "group", "left_semi")
+
+
 def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> list:
-    """The keys with at least min_rows rows, among the HOT_KEYS largest. Counts are added before the shuffle."""
-    largest = df.groupBy(key).agg(F.count("*").alias("_rows")).orderBy(F.desc("_rows")).limit(HOT_KEYS)
-    return [r[key] for r in largest.collect() if r["_rows"] >= min_rows and r[key] is not None]
+    """The keys with at least min_rows rows, among the HOT_KEYS largest, by a summary of bounded size.
+
+    Tasks count in sketches of TRACKED_KEYS entries, which are merged: the keys are read once and nothing is shuffled by key.
+    A key that a sketch does not hold has less than about 1/TRACKED_KEYS of all rows.
+    """
+    sketch = F.expr(f"approx_top_k(`{key}`, {HOT_KEYS}, {TRACKED_KEYS})")
+    largest = df.filter(F.col(key).isNotNull()).agg(sketch.alias("keys")).first()["keys"] or []
+    return [r["item"] for r in largest if r["count"] >= min_rows]
 
 
-def join_unique(one: DataFrame, many: DataFrame, key: str, how: str = "inner", min_rows: int = HOT_ROWS) -> DataFrame:
+def join_unique(
+    one: DataFrame, many: DataFrame, key: str, how: str = "inner", min_rows: int = HOT_ROWS, base: DataFrame | None = None
+) -> DataFrame:
     """one, with one row per key, joined with many. how: inner, or left to keep the rows of one alone.
 
     Rows of the hot keys meet their at most HOT_KEYS partners by broadcast and are not shuffled; all other
     keys are joined as usual. For use where one side is an aggregate or a join, since Spark's own skew
-    handling needs plain shuffles on both sides.
+    handling needs plain shuffles on both sides. base: a table that has at least as many rows of every key as many has, to look
+    for hot keys in; many itself would be computed once more for it.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how must be 'inner' or 'left', not {how!r}")
-    hot = hot_keys(many, key, min_rows)
+    hot = hot_keys(many if base is None else base, key, min_rows)
     if not hot:
         return one.join(many, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    # A hot key has rows in many, so the inner join drops nothing of it.
     few = F.broadcast(one.filter(is_hot))
     cold = one.filter(~is_hot).join(many.filter(~is_hot), key, how)
-    return cold.unionByName(few.join(many.filter(is_hot), key))
+    met = few.join(many.filter(is_hot), key)
+    if how == "left" and base is not None:
+        # A key that is hot in base may have no row in many: its row of one stands alone.
+        alone = few.join(many.filter(is_hot).select(key).distinct(), key, "left_anti")
+        cold = cold.unionByName(alone, allowMissingColumns=True)
+    return cold.unionByName(met)

@@ -478,6 +478,11 @@ def _selections(t: Tables) -> DataFrame:
     return stored(_upserted(t), "selections")
 
 
+def _candidates(t: Tables) -> DataFrame:
+    """The candidate table that the review reads."""
+    return stored(derived.candidates(t), "candidates")
+
+
 @query
 def selection_upsert(t):
     return _upserted(t).select(
@@ -489,12 +494,12 @@ def selection_upsert(t):
 
 @query
 def gt_query_detail(t):
-    return review.query_detail(derived.queries(t), derived.candidates(t), _selections(t))
+    return review.query_detail(derived.queries(t), _candidates(t), _selections(t))
 
 
 @query
 def gt_export(t):
-    return review.export_rows(derived.queries(t), derived.candidates(t), _selections(t))
+    return review.export_rows(derived.queries(t), _candidates(t), _selections(t))
 
 
 @query

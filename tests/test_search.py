@@ -307,3 +307,20 @@ def test_mixed_widths_are_an_error(spark):
 def test_no_items(spark):
     items = spark.createDataFrame([], "`group` string, id string, embedding array<float>")
     assert diverse.diverse_queries(items).count() == 0
+
+
+def test_the_frontier_is_merged_without_vectors(spark, monkeypatch):
+    items = spark.createDataFrame(catalogue(5), SCHEMA).select("group", "id", "embedding").repartition(4)
+    plans, put = [], diverse.stored
+
+    def watched(df, name, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return put(df, name, *more)
+
+    monkeypatch.setattr(diverse, "stored", watched)
+    diverse.diverse_queries(items, 6).collect()
+    assert plans
+    for plan in plans:
+        # Below the Python pass the vectors are read; above it, where rows are merged, there is none.
+        above = plan[: plan.index("MapInArrow")]
+        assert "Exchange" in above and "embedding" not in above

@@ -6,7 +6,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators.positions import chunk_number, numbered, smallest_share
+from kindred.operators import skew
+from kindred.operators.positions import chunk_number, numbered, numbered_as_stored, smallest_share
 from kindred.operators.skew import hot_keys, join_unique
 
 
@@ -56,3 +57,45 @@ def test_join_unique_equals_a_plain_join(spark, how, min_rows):
 def test_hot_keys(spark):
     df = spark.createDataFrame([(1,)] * 100 + [(2,)] * 60 + [(3,), (None,)], "k int")
     assert hot_keys(df, "k", 50) == [1, 2]
+
+
+def test_hot_keys_shuffle_no_rows(spark):
+    df = spark.range(10_000).select((F.col("id") % 3000).alias("k"))
+    plans = []
+    find = type(df).agg
+
+    def watched(self, *columns):
+        found = find(self, *columns)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    type(df).agg = watched
+    try:
+        assert hot_keys(df.unionByName(spark.range(5000).select(F.lit(7).cast("bigint").alias("k"))), "k", 2000) == [7]
+    finally:
+        type(df).agg = find
+    assert "hashpartitioning" not in plans[0] and "SinglePartition" in plans[0]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_keys_that_are_hot_in_the_base_table_only(spark, how):
+    base = spark.createDataFrame([(k, i) for k in (1, 2, 4) for i in range(60)], "k int, v int")
+    many = base.filter("k <> 2 and v < 3")
+    one = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d"), (None, "n")], "k int, w string")
+    key = lambda df: sorted(map(repr, df.select("k", "v", "w").collect()))
+    assert key(join_unique(one, many, "k", how, 50, base)) == key(one.join(many, "k", how))
+
+
+def test_many_groups_are_joined_instead_of_listed(spark, monkeypatch):
+    items = spark.range(100).select((F.col("id") % 10).alias("group"), "id")
+    for listed in (1000, 2):
+        monkeypatch.setattr(skew, "LISTED_GROUPS", listed)
+        assert {r["id"] % 10 for r in skew.of_groups(items, [1, 4, 7]).collect()} == {1, 4, 7}
+
+
+def test_rows_numbered_as_they_are_stored(spark, tmp_path):
+    spark.range(1000).repartition(7).write.partitionBy().parquet(f"{tmp_path}/t")
+    table = numbered_as_stored(spark.read.parquet(f"{tmp_path}/t"))
+    assert sorted(r["position"] for r in table.collect()) == list(range(1000))
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "SortMergeJoin" not in plan
