@@ -42,10 +42,8 @@ LEAST_PARTS, MOST_PARTS = 5, 20
 KEY_BYTES = 5
 # Size of the bitmap of survivors, as a power of two: 32 MB at most. A fuller map lets more phrases through to the exact count.
 LEAST_BITS, MOST_BITS = 16, 28
-# Different phrases that a task adds up before it hands them on: hashes, and phrases as text.
-HELD, HELD_TEXTS = 1 << 21, 1 << 18
-# Words of the corpus for one summarising task.
-TASK_ROWS = 1 << 23
+# Phrases that a task adds up before it hands them on: hashes, and phrases as text.
+HELD, HELD_TEXTS = 1 << 21, 1 << 20
 
 # Bytes: 0 belongs to a word, 1 stands between words, 2 between pieces.
 KIND = np.zeros(256, np.uint8)
@@ -226,17 +224,20 @@ def survivors(found: DataFrame, bits: int, tasks: int, least: int, size: int) ->
     return weighed.mapInArrow(run, "part int, marks binary")
 
 
-def possible(docs: DataFrame, least: int, longest: int) -> list[np.ndarray]:
-    """For each width a bitmap of hashes in which every phrase that occurs at least `least` times is marked."""
+def sizes(docs: DataFrame, least: int) -> tuple[int, int]:
+    """Bits of a hash that say its partition, and that say its place in the bitmap, for the size of the texts."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
     words = max(size // 6, 1)
     bits = min(MOST_PARTS, max(LEAST_PARTS, math.ceil(math.log2(words / PART_MASS))))
-    map_bits = max(bits + 3, min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(4 * words / least)))))
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(words / TASK_ROWS))
+    return bits, max(bits + 3, min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(4 * words / least)))))
+
+
+def possible(docs: DataFrame, least: int, longest: int, bits: int, map_bits: int) -> list[np.ndarray]:
+    """For each width a bitmap of hashes in which every phrase that occurs at least `least` times is marked."""
     marks: list[np.ndarray] = []
     for width in range(1, longest + 1):
         found = occurrences(docs, marks, width, bits)
-        pieces = survivors(found, bits, min(tasks, 1 << bits), least, map_bits).toArrow()
+        pieces = survivors(found, bits, _tasks(docs, 1 << bits), least, map_bits).toArrow()
         bitmap = np.zeros((1 << bits, 1 << (map_bits - bits - 3)), np.uint8)  # at most 2^MOST_BITS bits
         for part, piece in zip(pieces["part"].to_pylist(), pieces["marks"].to_pylist()):
             bitmap[part] = np.frombuffer(piece, np.uint8)
@@ -244,13 +245,21 @@ def possible(docs: DataFrame, least: int, longest: int) -> list[np.ndarray]:
     return marks
 
 
-def counted(docs: DataFrame, marks: list, least: int) -> DataFrame:
-    """lang, width, phrase and n: exact counts of frequent phrases, and at width 0 of all words of a language."""
+def counted(docs: DataFrame, marks: list, least: int, bits: int) -> DataFrame:
+    """lang, width, phrase and n: exact counts of frequent phrases, and at width 0 of all words of a language.
+
+    Tasks add up what they read and send it packed, by hash partition and language; a partition is added up in one task.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(marks)
 
-    def local(tokens: Tokens, marks: list, width: int) -> pa.RecordBatch:
+    def table(tokens: Tokens, lang: np.ndarray, part: np.ndarray, phrase: pa.Array, n: np.ndarray) -> pa.Table:
+        columns = [pa.array(part.astype(np.int32)), tokens.languages.take(pa.array(lang)), phrase, pa.array(n)]
+        return pa.Table.from_arrays(columns, ["part", "lang", "phrase", "n"])
+
+    def of_width(tokens: Tokens, marks: list, width: int) -> pa.Table:
         place, hashes = tokens.phrases(marks, width)
-        place = place[is_marked(marks[width - 1], hashes)]
+        marked = is_marked(marks[width - 1], hashes)
+        place, hashes = place[marked], hashes[marked]
         # Exact numbers of the phrases of these texts, from the language and the words' codes.
         key, words = tokens.lang[place], max(len(tokens.vocabulary), 1)
         for step in range(width):
@@ -261,32 +270,96 @@ def counted(docs: DataFrame, marks: list, least: int) -> DataFrame:
         place = place[first]
         parts = [tokens.vocabulary.take(pa.array(tokens.code[place + step])) for step in range(width)]
         phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if width > 1 else parts[0]
-        return _rows(tokens, tokens.lang[place], width, phrase.cast(pa.large_string()).cast(pa.string()), n)
+        return table(tokens, tokens.lang[place], hashes[first] >> np.uint64(64 - bits), phrase, n)
 
-    def _rows(tokens: Tokens, lang: np.ndarray, width: int, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-        columns = [tokens.languages.take(pa.array(lang)), pa.array(np.full(len(n), width, np.int32)), phrase, pa.array(n)]
-        return pa.RecordBatch.from_arrays(columns, ["lang", "width", "phrase", "n"])
+    def total(tokens: Tokens) -> pa.Table:
+        words = np.bincount(tokens.lang, minlength=len(tokens.languages))
+        nothing = pa.array([b""] * len(words), pa.large_binary())
+        return table(tokens, np.arange(len(words)), np.zeros(len(words)), nothing, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
+        held: list[pa.Table] = []
         for tokens in _tokens(batches):
-            words = np.bincount(tokens.lang, minlength=len(tokens.languages))
-            held.append(_rows(tokens, np.arange(len(words)), 0, pa.array([""] * len(words)), words))
-            held += [local(tokens, sent.value, width) for width in range(1, len(sent.value) + 1)]
-            rows += sum(map(len, held[-len(sent.value) - 1 :]))
-            if rows >= HELD_TEXTS:
-                yield from added(held)
-                held, rows = [], 0
+            held += [total(tokens), *(of_width(tokens, sent.value, width) for width in range(1, len(sent.value) + 1))]
+            if sum(map(len, held)) >= HELD_TEXTS:
+                held = [added(held)]
+                if len(held[0]) >= HELD_TEXTS // 2:
+                    yield packed_texts(held[0])
+                    held = []
         if held:
-            yield from added(held)
+            yield packed_texts(added(held))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        current = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["part"] != current and held:
+                    yield frequent(added(held), least)
+                    held = []
+                current = row["part"]
+                held.append(unpacked_texts(row))
+                if sum(map(len, held)) >= HELD_TEXTS:
+                    held = [added(held)]
+        if held:
+            yield frequent(added(held), least)
+
+    rows = docs.mapInArrow(run, "part int, lang string, rows long, size long, phrases binary, counts binary")
+    dealt = rows.repartition(_tasks(docs, 1 << bits), "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(sums, "lang string, width int, phrase string, n long")
+
+
+def added(held: list[pa.Table]) -> pa.Table:
+    """Rows with equal phrases of a language added up."""
+    keys = ["part", "lang", "phrase"]
+    return pa.concat_tables(held).group_by(keys, use_threads=False).aggregate([("n", "sum")]).rename_columns([*keys, "n"])
+
+
+def packed_texts(table: pa.Table) -> pa.RecordBatch:
+    """One row for each part and language: its phrases, a line each, and their counts, compressed."""
+    table = table.sort_by([("part", "ascending"), ("lang", "ascending")])
+    part = table["part"].to_numpy()
+    lang = table["lang"].combine_chunks().dictionary_encode().indices.to_numpy()
+    starts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (lang[1:] != lang[:-1])]) if len(table) else []
+    rows = []
+    for a, b in zip(starts, [*starts[1:], len(table)]):
+        own = table.slice(a, b - a)
+        lines = b"\n".join(own["phrase"].to_pylist())
+        squeezed = pa.compress(lines, codec="zstd", asbytes=True)
+        counts = pa.compress(own["n"].to_numpy().astype("<i8").tobytes(), codec="zstd", asbytes=True)
+        rows.append((int(part[a]), own["lang"][0].as_py(), b - a, len(lines), squeezed, counts))
+    kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    columns = zip(*rows) if rows else [[]] * len(kinds)
+    names = ["part", "lang", "rows", "size", "phrases", "counts"]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
+
+
+def unpacked_texts(row: dict) -> pa.Table:
+    lines = pa.decompress(row["phrases"], row["size"], codec="zstd", asbytes=True)
+    counts = pa.decompress(row["counts"], 8 * row["rows"], codec="zstd", asbytes=True)
+    columns = [
+        pa.array(np.full(row["rows"], row["part"], np.int32)),
+        pa.array([row["lang"]]).take(pa.array(np.zeros(row["rows"], np.int32))),
+        pa.array(lines.split(b"\n"), pa.large_binary()),
+        pa.array(np.frombuffer(counts, "<i8")),
+    ]
+    return pa.Table.from_arrays(columns, ["part", "lang", "phrase", "n"])
+
+
+def frequent(table: pa.Table, least: int) -> pa.RecordBatch:
+    """Phrases that occur least times or more, and the languages' totals, whose phrase is empty."""
+    empty = pc.equal(pc.binary_length(table["phrase"]), 0)
+    table = table.filter(pc.or_(empty, pc.greater_equal(table["n"], least)))
+    text = table["phrase"].cast(pa.large_string()).cast(pa.string()).combine_chunks()
+    spaces = pc.count_substring(text, " ").to_numpy(zero_copy_only=False)
+    width = np.where(pc.binary_length(text).to_numpy(zero_copy_only=False) == 0, 0, spaces + 1).astype(np.int32)
+    columns = [table["lang"].combine_chunks(), pa.array(width), text, table["n"].combine_chunks()]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "width", "phrase", "n"])
 
-    def added(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = pa.Table.from_batches(held).group_by(["lang", "width", "phrase"], use_threads=False).aggregate([("n", "sum")])
-        yield from sums.rename_columns(["lang", "width", "phrase", "n"]).to_batches()
 
-    rows = docs.mapInArrow(run, "lang string, width int, phrase string, n long")
-    totals = rows.groupBy("lang", "width", "phrase").agg(F.sum("n").alias("n"))
-    return totals.filter((F.col("width") == 0) | (F.col("n") >= least))
+def _tasks(docs: DataFrame, parts: int) -> int:
+    """Tasks that merge: those of any shuffle, or so many that each gets about a partition's mass."""
+    return max(1, min(parts, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts // 4)))
 
 
 def _part(words: Column, start: Column | int, length: Column | int) -> Column:
@@ -298,7 +371,8 @@ def collocations(
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of the strongest phrases of 2 to `longest` words of each language."""
     docs = docs.select("text", F.col("lang").cast("string").alias("lang"))
-    counts = stored(counted(docs, possible(docs, least, longest), least), "phrases")
+    bits, map_bits = sizes(docs, least)
+    counts = stored(counted(docs, possible(docs, least, longest, bits, map_bits), least, bits), "phrases")
     words = F.split("phrase", " ")
     phrases = counts.filter("width > 1").select("lang", "phrase", F.col("width").alias("w"), F.col("n").alias("a"))
 
