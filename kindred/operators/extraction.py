@@ -4,7 +4,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from kindred import schema
@@ -88,15 +88,34 @@ def failure_lines(scored: DataFrame) -> DataFrame:
     return scored.filter(F.col("status") == "failed").select(line.alias("value"))
 
 
-def run_stats(scored: DataFrame, total_images: int | Column, elapsed: float) -> DataFrame:
-    """One row: success, failed, skipped (images not scored again), images per second."""
-    counted = scored.agg(
-        F.count_if(F.col("status") == "ok").alias("success"), F.count_if(F.col("status") == "failed").alias("failed")
-    )
-    total = total_images if isinstance(total_images, Column) else F.lit(total_images)
+def counting(scored: DataFrame) -> tuple[DataFrame, Observation]:
+    """scored, and its numbers of success and failed, which are there when a job over it has ended: no job of their own."""
+    seen = Observation()
+    outcome = {
+        "success": F.count_if(F.col("status") == "ok"),
+        "failed": F.count_if(F.col("status") == "failed"),
+    }
+    return scored.observe(seen, *[count.alias(name) for name, count in outcome.items()]), seen
+
+
+def observed_stats(spark: SparkSession, success: int, failed: int, total_images: int, elapsed: float) -> DataFrame:
+    """run_stats of numbers that were counted while the job ran."""
+    counts = spark.createDataFrame([(success, failed)], "success bigint, failed bigint")
+    return _stats(counts, F.lit(total_images), elapsed)
+
+
+def _stats(counted: DataFrame, total: Column, elapsed: float) -> DataFrame:
     return counted.select(
         "success",
         "failed",
         (total - F.col("success") - F.col("failed")).alias("skipped"),
         F.round(F.col("success") / F.lit(elapsed), 1).alias("per_second"),
     )
+
+
+def run_stats(scored: DataFrame, total_images: int | Column, elapsed: float) -> DataFrame:
+    """One row: success, failed, skipped (images not scored again), images per second."""
+    counted = scored.agg(
+        F.count_if(F.col("status") == "ok").alias("success"), F.count_if(F.col("status") == "failed").alias("failed")
+    )
+    return _stats(counted, total_images if isinstance(total_images, Column) else F.lit(total_images), elapsed)

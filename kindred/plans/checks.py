@@ -385,8 +385,7 @@ def stream_incremental(t):
     return done.unionByName(failed.select("image_uuid", F.lit("failed").alias("state")))
 
 
-@query
-def processed_keys(t):
+def _two_runs(t: Tables) -> FeatureStore:
     """Two scoring runs into one store, the second of which finds the keys of the first."""
     path = fresh_path(t.spark, "features")
     rows = t.embeddings.select(
@@ -399,7 +398,18 @@ def processed_keys(t):
     for wanted in (rows.filter(F.pmod(F.col("image_uuid").cast("bigint"), F.lit(3)) == 0), rows):
         todo = store.missing(wanted)
         store.commit(extraction.batch_score(todo, _VectorCodes), todo)
-    return features.processed_keys(t.spark, path)
+    return store
+
+
+@query
+def processed_keys(t):
+    return features.processed_keys(t.spark, _two_runs(t).path)
+
+
+@query
+def run_history(t):
+    """What the commits of a store say of themselves, counted by the jobs that made them."""
+    return _two_runs(t).history().select("number", "success", "failed")
 
 
 # Detections
@@ -593,6 +603,27 @@ def scan_selections(t):
     )
 
 
+@query
+def initial_selections(t):
+    """A first selection document is written only where there is none."""
+    path = fresh_path(t.spark, "selections-json")
+    rows = derived.stored_selections(t).withColumn("completed_at", text.iso_text(F.col("completed_at")))
+    for document in (rows.filter(F.col("query_id").startswith("bag_")), rows):
+        document_sinks.write_text(document_sinks.selection_document(document), path, mode="ignore")
+    read = documents.read_selections(t.spark, path, lines=True)
+    return read.select("query_id", listed("selected_image_ids").alias("selected"))
+
+
+@query
+def test_query_document(t):
+    """The ranked queries as the document that evaluation reads, flat again."""
+    path = fresh_path(t.spark, "test-queries-json")
+    ranked = ranking.rank_queries(derived.answer_lists(t), derived.queries(t))
+    document_sinks.write_text(document_sinks.test_query_document(ranked), path)
+    rows = documents.read_test_queries(t.spark, path)
+    return rows.withColumn("ground_truth", listed("ground_truth"))
+
+
 @query
 def scan_reviewed(t):
     path = fresh_path(t.spark, "reviewed-json")
@@ -720,6 +751,19 @@ def compare_extractors(t):
     return backbones.compare_backbones(targets, backbones.run_targets(targets, images, EXTRACTORS)).drop("latency_ms")
 
 
+@query
+def latency_of_runs(t):
+    """Latencies of real runs of the extractors; as times differ, how the figures lie to each other."""
+    images = t.embeddings.select(
+        F.col("vec_id").alias("request_id"), F.col("vec_id").cast("string").alias("image_uuid"), "embedding"
+    )
+    everyone = t.embeddings.select(F.col("vec_id").alias("request_id"), F.lit(None).cast("array<string>").alias("names"))
+    targets = backbones.backbone_targets(everyone, EXTRACTORS)
+    found = backbones.latency_by_backbone(backbones.run_targets(targets, images, EXTRACTORS))
+    in_order = (F.col("min_ms") <= F.col("p50_ms")) & (F.col("p50_ms") <= F.col("p95_ms")) & (F.col("p95_ms") <= F.col("max_ms"))
+    return found.select("name", "runs", (in_order & (F.col("min_ms") >= 0)).alias("in_order"))
+
+
 @query
 def latency_by_backbone(t):
     return backbones.latency_by_backbone(derived.backbone_runs(t))
@@ -770,7 +814,9 @@ def dataset_manifest(t):
 
 @query
 def yolo_label_text(t):
-    return dataset.label_files(_manifest(t))
+    path = fresh_path(t.spark, "label-files")
+    dataset_sinks.write_label_files(dataset.label_files(_manifest(t)), path)
+    return t.spark.read.schema("safe_name string, label_text string, split string").parquet(path)
 
 
 @query

@@ -353,6 +353,13 @@ SQL: dict[str, str] = {
         CASE WHEN NOT failed THEN channel_order END AS channel_order, CASE WHEN NOT failed THEN packed END AS signature,
         CASE WHEN NOT failed THEN CAST(len(e) * 2 AS INTEGER) END AS embedding_bytes, CASE WHEN failed THEN 'cannot read ' || vec_id END AS reason FROM co"""),
     "register_scorer": "SELECT CASE WHEN vec_id % 17 = 0 THEN 'failed' ELSE 'ok' END AS status, count(*) AS images FROM embeddings GROUP BY 1",
+    "latency_of_runs": """SELECT name, CASE name WHEN 'vgg16' THEN count(*) FILTER (vec_id % 17 <> 0) ELSE count(*) END AS runs, true AS in_order
+        FROM embeddings, (VALUES ('vgg16'), ('efficientnet')) AS extractors(name) GROUP BY name""",
+    "run_history": """SELECT 1::BIGINT AS number, count_if(vec_id % 17 <> 0)::BIGINT AS success, count_if(vec_id % 17 = 0)::BIGINT AS failed FROM embeddings WHERE vec_id % 3 = 0
+        UNION ALL SELECT 2, count_if(vec_id % 17 <> 0 AND vec_id % 3 <> 0), count_if(vec_id % 17 = 0) FROM embeddings""",
+    "initial_selections": with_all(OLD_SELECTIONS, select="SELECT query_id, selected FROM os WHERE query_id LIKE 'bag\\_%' ESCAPE '\\'"),
+    "test_query_document": with_all(GT_QUERIES, ANSWERS, ANSWER_RANKS, select=f"""SELECT ar.category, CAST(rank AS INTEGER) AS rank, ar.query_id, coalesce(q.image_uuid, '') AS image_uuid,
+        coalesce(q.image_url, '') AS image_url, CAST(n AS INTEGER) AS ground_truth_count, {joined('ids')} AS ground_truth FROM ar LEFT JOIN q ON q.query_id = ar.query_id WHERE rank <= 10"""),
     "processed_keys": "SELECT CAST(vec_id AS VARCHAR) AS image_uuid FROM embeddings WHERE vec_id % 17 <> 0",
     "scan_features": with_all(VECTORS, BITS, PACKED, VECTOR_CODES, select="""SELECT CAST(vec_id AS VARCHAR) AS image_uuid, packed AS signature, channel_order,
         round(sqrt(list_dot_product(e, e)), 2) AS norm FROM co WHERE NOT failed"""),
@@ -428,7 +435,8 @@ SQL: dict[str, str] = {
     "compare_backbones": with_all(REQUESTS, TARGETS, RUNS, select="""SELECT t.request_id, t.name, CASE WHEN NOT bad THEN channel_order END AS channel_order,
         CASE WHEN bad THEN 'cannot run ' || t.name END AS error, CASE WHEN NOT bad THEN round(ms, 2) END AS latency_ms
         FROM (SELECT request_id, unnest(targets) AS name FROM tg) t JOIN rn USING (request_id, name)"""),
-    "latency_by_backbone": with_all(RUNS, select="""SELECT name, count(*) AS runs, round(avg(ms), 2) AS avg_ms, round(min(ms), 2) AS min_ms, round(max(ms), 2) AS max_ms FROM rn WHERE NOT bad GROUP BY name"""),
+    "latency_by_backbone": with_all(RUNS, select="""SELECT name, count(*) AS runs, round(avg(ms), 2) AS avg_ms, round(min(ms), 2) AS min_ms,
+        round(quantile_disc(ms, 0.5), 2) AS p50_ms, round(quantile_disc(ms, 0.95), 2) AS p95_ms, round(max(ms), 2) AS max_ms FROM rn WHERE NOT bad GROUP BY name"""),
     "class_from_filename": with_all(LABELME, select="SELECT stem, class_id FROM lm"),
     "labelme_to_yolo": with_all(LABELME, BOXES, select="SELECT stem, class_id, position, round(cx, 6) AS cx, round(cy, 6) AS cy, round(w, 6) AS w, round(h, 6) AS h FROM bx"),
     "safe_name": with_all(LABELME, select=f"SELECT stem, {SAFE} AS safe_name FROM lm WHERE class_id IS NOT NULL"),

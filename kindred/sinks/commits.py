@@ -62,6 +62,10 @@ class CommitLog:
         later = [n for n in self._commits.numbers() if n > at]
         return State(snapshot, tuple(Commit(n, json.loads(self._commits.text(str(n)))) for n in later))
 
+    def all(self) -> list[Commit]:
+        """Every commit, also those that a snapshot holds."""
+        return [Commit(n, json.loads(self._commits.text(str(n)))) for n in self._commits.numbers()]
+
     def folder(self, kind: str, commit: Commit | str) -> str:
         return f"{self.path}/{kind}/{commit if isinstance(commit, str) else commit.name}"
 

@@ -13,13 +13,15 @@ Chunks that were in the folder before the first commit are part of the store; th
 
 import hashlib
 import math
+import time
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred import schema
 from kindred.operators.catalogue import incremental_todo
-from kindred.operators.extraction import feature_columns
+from kindred.operators.extraction import counting, feature_columns
 from kindred.operators.skew import SENT_ROWS, sent_if_small
 from kindred.runtime import stored
 from kindred.sinks.commits import CommitLog, State, fresh_name
@@ -36,6 +38,14 @@ COMMITS, SHARE, MOST_COMMITS = 16, 0.1, 128
 BUCKET_KEYS = 5_000_000
 
 
+@dataclass(frozen=True)
+class Outcome:
+    """Results of a scoring job, and its numbers: success, failed, seconds."""
+
+    scored: DataFrame
+    counts: dict
+
+
 class FeatureStore:
     def __init__(self, spark: SparkSession, path: str, compact_after: int = COMMITS):
         self.spark, self.path, self.compact_after = spark, path, compact_after
@@ -94,6 +104,14 @@ class FeatureStore:
         """Whether a stream's batch is committed."""
         return (state or self.log.state()).runs().get(run, -1) >= batch
 
+    def history(self) -> DataFrame:
+        """What each commit did, also of runs that go on: number, run, batch, success, failed, seconds, per_second."""
+        columns = ["run", "batch", "success", "failed", "seconds"]
+        rows = [(c.number, *(c.info.get(x) for x in columns)) for c in self.log.all() if "success" in c.info]
+        shape = "number bigint, run string, batch bigint, success bigint, failed bigint, seconds double"
+        rate = F.round(F.col("success") / F.nullif(F.col("seconds"), F.lit(0.0)), 1)
+        return self.spark.createDataFrame(rows, shape).withColumn("per_second", rate)
+
     # Writing
 
     def adopt(self) -> bool:
@@ -113,8 +131,8 @@ class FeatureStore:
         failures = self.spark.createDataFrame([], FAILURES) if failures is None else failures
         failures.write.mode("overwrite").parquet(self.log.folder("failures", name))
 
-    def commit(self, scored: DataFrame, images: DataFrame, run: str | None = None, batch: int | None = None) -> DataFrame:
-        """Append the results of a scoring job as one commit; returns them, stored.
+    def commit(self, scored: DataFrame, images: DataFrame, run: str | None = None, batch: int | None = None) -> Outcome:
+        """Append the results of a scoring job as one commit; returns them, stored, and how many succeeded and failed.
 
         images: the scored images' rows, from which those that failed are remembered. run and batch: of a stream, which may
         repeat a batch; one that is committed is not appended again.
@@ -123,7 +141,10 @@ class FeatureStore:
         if state.number == 0 and self.adopt():
             state = self.log.state()
         # Scoring is the costly step: its results are written once. A lost executor does not make the model run again.
-        scored = stored(scored, "scored", ("status",))
+        counted, seen = counting(scored)
+        began = time.monotonic()
+        scored = stored(counted, "scored", ("status",))
+        told = {**seen.get, "seconds": round(time.monotonic() - began, 3)}
         failed = scored.filter(F.col("status") == "failed").select("image_uuid", "reason").dropDuplicates(["image_uuid"])
         again = stored(images.select(*IMAGE_COLUMNS).dropDuplicates(["image_uuid"]).join(failed, "image_uuid"), "failed")
         ok = scored.filter(F.col("status") == "ok")
@@ -131,15 +152,16 @@ class FeatureStore:
         while run is None or not self.has(run, batch, state):
             # Rows that another writer has committed since this one began are not appended twice.
             fresh = ok if state.number == begun else stored(self.missing(ok, state), "ok")
-            last, rows, name = state.newest.info["last_chunk"] if state.newest else 0, fresh.count(), fresh_name()
+            last, name = state.newest.info["last_chunk"] if state.newest else 0, fresh_name()
+            rows = told["success"] if fresh is ok else fresh.count()
             chunks = write_feature_files(fresh, f"{self.path}/commit={name}", start=last, shape=feature_columns, count=rows)
             self._write_lists(name, fresh.select("image_uuid").distinct(), again)
-            told = {"run": run, "batch": batch} if run is not None else {}
-            if self.log.commit(state.number + 1, name, last_chunk=last + chunks, rows=rows, **told):
+            about = {**told, "run": run, "batch": batch} if run is not None else told
+            if self.log.commit(state.number + 1, name, last_chunk=last + chunks, rows=rows, **about):
                 self._compact_if_due()
                 break
             state = self.log.state()
-        return scored
+        return Outcome(scored, told)
 
     def _compact_if_due(self) -> None:
         state = self.log.state()

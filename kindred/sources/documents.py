@@ -18,6 +18,19 @@ def _document(spark: SparkSession, path: str, shape: T.DataType, lines: bool = F
     return text.select(F.from_json("value", shape).alias("doc"))
 
 
+TEST_QUERY = (
+    "query_id string, image_uuid string, image_url string, ground_truth_count int, ground_truth array<string>"
+)
+
+
+def read_test_queries(spark: SparkSession, path: str) -> DataFrame:
+    """Ranked queries of a test-query document: category, rank and the columns of TEST_QUERY."""
+    shape = T.MapType(T.StringType(), T.ArrayType(T.StructType.fromDDL(TEST_QUERY)))
+    lists = _document(spark, path, shape).select(F.explode("doc").alias("category", "queries"))
+    rows = lists.select("category", F.posexplode("queries").alias("place", "query"))
+    return rows.select("category", (F.col("place") + 1).alias("rank"), "query.*")
+
+
 def read_query_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Queries (query_id, category, image_uuid, image_url) and candidates (query_id, rank, image_uuid,
     image_url, similarity) of a query document."""

@@ -35,11 +35,19 @@ def with_names(rows: DataFrame, *more: Column) -> DataFrame:
     return rows.select("image_uuid", "image_url", name.alias("image_original_name"), *more)
 
 
-def read_image_list(spark: SparkSession, pattern: str, multi_line: bool = True) -> DataFrame:
+def has_quoted_breaks(spark: SparkSession, pattern: str) -> bool:
+    """Whether a list has a line break inside quotes: the line before it has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(pattern).filter(quotes % 2 == 1).isEmpty()
+
+
+def read_image_list(spark: SparkSession, pattern: str, multi_line: bool | None = None) -> DataFrame:
     """Rows of all image lists with their place (LIST_ORDER).
 
-    multi_line keeps line breaks inside quotes; without it large files are split over tasks.
+    multi_line keeps line breaks inside quotes, but makes a file one task; without it large files are split over tasks. By default
+    the lists are looked through for such breaks, as plain lines.
     """
+    multi_line = has_quoted_breaks(spark, pattern) if multi_line is None else multi_line
     return with_names(
         list_reader(spark.read, multi_line).csv(pattern),
         files.metadata_text("file_name").alias("file_name"),
@@ -48,7 +56,7 @@ def read_image_list(spark: SparkSession, pattern: str, multi_line: bool = True)
     )
 
 
-def read_image_meta(spark: SparkSession, pattern: str, multi_line: bool = True) -> DataFrame:
+def read_image_meta(spark: SparkSession, pattern: str, multi_line: bool | None = None) -> DataFrame:
     """One row per uuid, the last one listed: image_uuid, image_url, category. No file is an error."""
     if not files.exists(spark, pattern):
         raise FileNotFoundError(f"no image list: {pattern}")

@@ -4,19 +4,22 @@ import base64
 import csv
 import sys
 import threading
+import time
 
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from kindred import schema
-from kindred.operators.extraction import batch_score
+from kindred.operators import backbones
+from kindred.operators.extraction import batch_score, counting, observed_stats, run_stats
 from kindred.plans.extraction import extract
 from kindred.sinks import selections as snapshots
 from kindred.sinks import versions
 from kindred.sinks.commits import CommitLog
 from kindred.sinks.store import FeatureStore
 from kindred.sources import features
+from kindred.sources import images as image_lists
 from kindred.sources.marks import Marks
 from kindred.streaming import extraction as stream
 from kindred.streaming.selections import current_selections, start_intake
@@ -237,3 +240,67 @@ def test_chunk_sizes_of_a_commit(spark, tmp_path, rows, chunks):
         named = F.regexp_extract(F.col("_metadata.file_path"), "feature_file=([^/]+)", 1)
         sizes = sorted(r["count"] for r in features._chunk_reader(spark).csv(store.path).groupBy(named.alias("f")).count().collect())
         assert sizes == sorted([500] * (rows // 500) + [rows % 500] * (rows % 500 > 0)) and read.count() == rows
+
+
+def test_numbers_of_a_run_are_counted_as_it_runs(spark, tmp_path):
+    write_list(tmp_path / "images_1.csv", range(40))
+    store = f"{tmp_path}/features"
+    first = extract(spark, f"{tmp_path}/images_*.csv", store, f"{tmp_path}/failed", scorer, commits=3).first()
+    assert (first["success"], first["failed"], first["skipped"]) == (36, 4, 0)
+    history = FeatureStore(spark, store).history().collect()
+    assert [r["number"] for r in history] == [1, 2, 3] and sum(r["success"] for r in history) == 36
+    assert all(r["seconds"] > 0 and r["per_second"] >= 0 for r in history)
+    write_list(tmp_path / "images_2.csv", range(38, 43))
+    second = extract(spark, f"{tmp_path}/images_*.csv", store, f"{tmp_path}/failed", scorer).first()
+    assert (second["success"], second["failed"], second["skipped"]) == (3, 4, 38)
+    scored = batch_score(images_of(spark, range(40)), scorer)
+    seen, observation = counting(scored)
+    seen.write.format("noop").mode("overwrite").save()
+    counted = run_stats(scored, 50, 2.0).first()
+    assert tuple(observed_stats(spark, **observation.get, total_images=50, elapsed=2.0).first()) == tuple(counted)
+
+
+def test_a_stream_can_be_followed(spark, tmp_path):
+    (tmp_path / "lists").mkdir()
+    for i in range(3):
+        write_list(tmp_path / "lists" / f"images_{i}.csv", range(10 * i, 10 * i + 10))
+    progress = stream.Progress()
+    spark.streams.addListener(progress)
+    try:
+        streamed(spark, tmp_path, f"{tmp_path}/f", files_per_batch=1)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        for _ in range(50):
+            if len(progress.batches) >= 3:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(progress)
+    assert [(batch, images) for _, batch, images in progress.batches if images] == [(0, 10), (1, 10), (2, 10)]
+    done = {r["batch"]: (r["run"], r["success"]) for r in FeatureStore(spark, f"{tmp_path}/f").history().collect()}
+    assert done == {batch: (progress.batches[0][0], 9) for batch in range(3)}
+
+
+def test_latency_quantiles_of_real_runs(spark):
+    def slow():
+        def one(row):
+            time.sleep(0.02 if int(row["image_uuid"]) % 10 else 0.2)
+            return "[1]", b"", None
+
+        return one
+
+    known = [backbones.Backbone("slow", "Slow", scorer=slow)]
+    images = images_of(spark, range(20)).withColumn("request_id", F.col("image_uuid"))
+    targets = images.select("request_id", F.array(F.lit("slow")).alias("targets"))
+    found = backbones.latency_by_backbone(backbones.run_targets(targets, images, known)).first()
+    assert found["runs"] == 20 and 20 <= found["min_ms"] <= found["p50_ms"] < 150
+    assert 200 <= found["p95_ms"] <= found["max_ms"]
+
+
+def test_lists_are_split_where_no_quote_spans_lines(spark, tmp_path):
+    write_list(tmp_path / "plain.csv", range(5))
+    (tmp_path / "broken.csv").write_text('image_uuid,image_url,image_original_name\n1,u,"a\nb"\n')
+    assert not image_lists.has_quoted_breaks(spark, f"{tmp_path}/plain.csv")
+    assert image_lists.has_quoted_breaks(spark, f"{tmp_path}/broken.csv")
+    assert "multiLine" not in plan_of(image_lists.read_image_list(spark, f"{tmp_path}/plain.csv"))
+    assert image_lists.read_image_list(spark, f"{tmp_path}/broken.csv").first()["image_original_name"] == "a\nb"
+    assert image_lists.read_image_list(spark, f"{tmp_path}/*.csv").count() == 6
