@@ -355,8 +355,8 @@ SQL: dict[str, str] = {
     "register_scorer": "SELECT CASE WHEN vec_id % 17 = 0 THEN 'failed' ELSE 'ok' END AS status, count(*) AS images FROM embeddings GROUP BY 1",
     "latency_of_runs": """SELECT name, CASE name WHEN 'vgg16' THEN count(*) FILTER (vec_id % 17 <> 0) ELSE count(*) END AS runs, true AS in_order
         FROM embeddings, (VALUES ('vgg16'), ('efficientnet')) AS extractors(name) GROUP BY name""",
-    "run_history": """SELECT 1::BIGINT AS number, count_if(vec_id % 17 <> 0)::BIGINT AS success, count_if(vec_id % 17 = 0)::BIGINT AS failed FROM embeddings WHERE vec_id % 3 = 0
-        UNION ALL SELECT 2, count_if(vec_id % 17 <> 0 AND vec_id % 3 <> 0), count_if(vec_id % 17 = 0) FROM embeddings""",
+    "run_history": """SELECT CAST(1 AS BIGINT) AS number, count(*) FILTER (vec_id % 17 <> 0) AS success, count(*) FILTER (vec_id % 17 = 0) AS failed FROM embeddings WHERE vec_id % 3 = 0
+        UNION ALL SELECT 2, count(*) FILTER (vec_id % 17 <> 0 AND vec_id % 3 <> 0), count(*) FILTER (vec_id % 17 = 0) FROM embeddings""",
     "initial_selections": with_all(OLD_SELECTIONS, select="SELECT query_id, selected FROM os WHERE query_id LIKE 'bag\\_%' ESCAPE '\\'"),
     "test_query_document": with_all(GT_QUERIES, ANSWERS, ANSWER_RANKS, select=f"""SELECT ar.category, CAST(rank AS INTEGER) AS rank, ar.query_id, coalesce(q.image_uuid, '') AS image_uuid,
         coalesce(q.image_url, '') AS image_url, CAST(n AS INTEGER) AS ground_truth_count, {joined('ids')} AS ground_truth FROM ar LEFT JOIN q ON q.query_id = ar.query_id WHERE rank <= 10"""),
