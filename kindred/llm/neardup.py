@@ -2,18 +2,22 @@
 
 A text is the set of its five-word shingles (words split at white space; a text of one to four words is one shingle),
 each weighted by its count times an inverse document frequency. Document frequencies are counted over all documents, for
-hashed shingles in `IDF_BUCKETS` buckets, and enter through their relative logarithm, so a weight lies between once and
-twice the count. Improved consistent weighted sampling draws `BANDS * ROWS` samples of each text: two texts agree in a
-sample with probability equal to their weighted Jaccard similarity. Texts that agree in all samples of a band are
-candidates; exact similarities of candidates decide; classes are the connected components of the links.
-
-Exact copies (equal words in equal order) are one node, so a text copied a million times is compared once. Within a
-bucket nobody meets everybody: a leader is compared with all members, then some leaders of those that no leader has
-joined, then more, until each component of the bucket has had a leader. Members that never led and still lie in different
-components of a bucket are then compared with each other, in blocks of `BLOCK`, so every candidate pair is compared unless
-its ends are already in one component. A pair is first compared by all its samples, and its shingles are only fetched if at
-least half agree (at similarity 0.8 one pair in ten million has fewer). Large buckets are joins on stored tables, which
-Spark splits.
+hashed shingles in `IDF_BUCKETS` buckets; a shingle of every document weighs its count, one of a thousandth of them or fewer
+twice that, at every size of the corpus. Improved consistent weighted sampling draws `BANDS * ROWS` samples of each text: two
+texts agree in a sample with probability equal to their weighted Jaccard similarity. Texts that agree in all samples of a
+band share a bucket; exact similarities decide; classes are the connected components of the links.
+
+Exact copies (equal words in equal order) are one node, so a text copied a million times is compared once. Candidates are found
+and decided in two steps, both inside tasks, which return spanning forests instead of pairs:
+
+1. In each bucket the members that agree in at least `AGREEING` of all samples are joined (at similarity 0.8 four pairs in
+   a million agree in fewer). The components of these links are the groups within which classes lie.
+2. The texts of a group are brought together once. Any two of them that agree so far and are not in one class yet are compared
+   exactly.
+
+A bucket or group that is too large for a task is dealt into salted parts. Parts of a bucket meet pairwise. Parts of a group
+are first decided each by itself, together with the group's leaders, so that what is alike is in one class already;
+then the members outside the group's largest class meet all others, part by part. No pair of different classes is left out.
 
 Defined results: null and empty texts and texts of white space stay alone, as their own class; the class of a document
 is the smallest doc_id in it (nulls aside); repeated rows and copies share a class; one row comes out per row that goes in.
@@ -23,10 +27,11 @@ Rows with equal doc_id and different texts are different documents. Only the nam
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -40,14 +45,21 @@ SIMILARITY = 0.8
 # their shingles, as through a common passage, meet in one band of 80 only.
 ROWS = 4
 BANDS = 16
+SAMPLES = ROWS * BANDS
 # Of all samples of a pair so many must agree before its shingles are compared.
-AGREEING = ROWS * BANDS // 2
-# Leaders of a bucket grow by this factor from round to round.
-MORE_LEADERS = 8
-# Members of a bucket that are compared with each other side by side.
-BLOCK = 128
-IDF_BITS = 16
+AGREEING = 36
+# Members of a bucket, and members and words of a group, that are compared in one task.
+BUCKET_MEMBERS = 8192
+GROUP_MEMBERS = 4096
+GROUP_WORDS = 1 << 21
+# Members that every part of a large group is compared with, and keys of texts that a task knows it has sent.
+LEADERS = 16
+KNOWN_KEYS = 1 << 17
+# Frequencies are counted in so many buckets, sent in blocks of this size, and told apart down to this share of all documents.
+IDF_BITS = 20
 IDF_BUCKETS = 1 << IDF_BITS
+IDF_BLOCK = 1 << 14
+RAREST = 1000
 
 
 def text_keys(offsets: np.ndarray, codes: np.ndarray, distinct: pa.Array) -> list[bytes | None]:
@@ -84,24 +96,37 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """Weight of each shingle bucket: 1 + log(1 + N/df) / log(1 + N), between 1 and 2."""
+    """Weight of each shingle bucket: 1 + log(N / df) / log(RAREST), with N / df between 1 and RAREST."""
+    blocks = IDF_BUCKETS // IDF_BLOCK
 
     def count(batches):
-        frequency = np.zeros(IDF_BUCKETS + 1, np.int64)
+        frequency, texts = np.zeros(IDF_BUCKETS, np.int64), 0
         for batch in batches:
             for part in slices(batch):
                 for held, _ in shingles(*words(part.column("text"))):
                     frequency[np.unique(_bucket(held))] += 1
-                frequency[IDF_BUCKETS] += part.num_rows
-        held = np.flatnonzero(frequency)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(frequency[held])], ["bucket", "n"])
+                texts += part.num_rows
+        raw = [frequency[at : at + IDF_BLOCK].tobytes() for at in range(0, IDF_BUCKETS, IDF_BLOCK)]
+        columns = [pa.array(range(blocks), pa.int32()), pa.array([texts] * blocks), pa.array(raw, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["block", "texts", "counts"])
 
-    found = in_batches(docs.select("text"), count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    frequency = np.zeros(IDF_BUCKETS + 1, np.int64)
-    for row in found.collect():  # at most IDF_BUCKETS + 1 rows
-        frequency[row["bucket"]] = row["n"]
-    texts = max(int(frequency[IDF_BUCKETS]), 1)
-    return 1 + np.log1p(texts / np.maximum(frequency[:IDF_BUCKETS], 1)) / np.log1p(texts)
+    def add(batches):
+        totals: dict[int, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                texts, counts = totals.get(row["block"], (0, 0))
+                totals[row["block"]] = (texts + row["texts"], counts + np.frombuffer(row["counts"], np.int64))
+        rows = [(block, texts, counts.tobytes()) for block, (texts, counts) in totals.items()]
+        columns = [pa.array([r[at] for r in rows], t) for at, t in enumerate((pa.int32(), pa.int64(), pa.binary()))]
+        yield pa.RecordBatch.from_arrays(columns, ["block", "texts", "counts"])
+
+    shape = "block int, texts long, counts binary"
+    found = in_batches(docs.select("text"), count, shape).repartition(blocks, "block").mapInArrow(add, shape)
+    frequency, texts = np.zeros(IDF_BUCKETS, np.int64), 1
+    for row in found.toArrow().to_pylist():  # IDF_BUCKETS numbers
+        frequency[row["block"] * IDF_BLOCK : (row["block"] + 1) * IDF_BLOCK] = np.frombuffer(row["counts"], np.int64)
+        texts = max(texts, row["texts"])
+    return 1 + np.log(np.clip(texts / np.maximum(frequency, 1), 1, RAREST)) / np.log(RAREST)
 
 
 def _gamma_quantiles() -> np.ndarray:
@@ -143,7 +168,7 @@ def _band_keys(drawn: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, key (digest of the words, null without words), band values and samples of every document."""
+    """doc_id, key (digest of the words, null without words), words (their number), band values and samples (a byte each)."""
     ids = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -157,21 +182,22 @@ def signed(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                     hashes = np.concatenate([found[i][0] for i in spoken])
                     weights = np.concatenate([found[i][1] for i in spoken]) * idf[_bucket(hashes)]
                     offsets = np.concatenate([[0], np.cumsum([len(found[i][0]) for i in spoken])])
-                    own = samples(hashes, np.log(weights), offsets, BANDS * ROWS)
-                    keys, short = _band_keys(own).astype(np.int64), own.astype(np.uint32).astype(np.int32)
+                    own = samples(hashes, np.log(weights), offsets, SAMPLES)
+                    keys, short = _band_keys(own).astype(np.int64), own.astype(np.uint8)
                     for at, i in enumerate(spoken):
-                        bands[i], drawn[i] = keys[at].tolist(), short[at].tolist()
+                        bands[i], drawn[i] = keys[at].tolist(), short[at].tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
                         pa.array(text_keys(*coded), pa.binary()),
+                        pa.array(np.diff(coded[0])),
                         pa.array(bands, pa.list_(pa.int64())),
-                        pa.array(drawn, pa.list_(pa.int32())),
+                        pa.array(drawn, pa.binary()),
                     ],
-                    ["doc_id", "key", "bands", "samples"],
+                    ["doc_id", "key", "words", "bands", "samples"],
                 )
 
-    schema = f"doc_id {ids}, key binary, bands array<long>, samples array<int>"
+    schema = f"doc_id {ids}, key binary, words long, bands array<long>, samples binary"
     return in_batches(docs.select("doc_id", "text"), run, schema)
 
 
@@ -187,24 +213,25 @@ def with_key(docs: DataFrame, name: str = "_kd_key") -> DataFrame:
     return in_batches(docs, run, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
 
 
-def _shingle_table(docs: DataFrame) -> DataFrame:
-    """key, shingle hashes and counts of every document as byte strings."""
+def texts_by_key(docs: DataFrame) -> DataFrame:
+    """key and text of documents with words. A task sends a text it has sent before seldom again."""
 
     def run(batches):
+        sent: set[bytes] = set()
         for batch in batches:
             for part in slices(batch):
-                coded = words(part.column("text"))
-                found = list(shingles(*coded))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(text_keys(*coded), pa.binary()),
-                        pa.array([h.tobytes() for h, _ in found], pa.binary()),
-                        pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary()),
-                    ],
-                    ["key", "held", "times"],
-                )
+                keys = text_keys(*words(part.column("text")))
+                fresh = []
+                for key in keys:
+                    fresh.append(key is not None and key not in sent)
+                    if len(sent) >= KNOWN_KEYS:
+                        sent.clear()
+                    if key is not None:
+                        sent.add(key)
+                out = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), part.column("text")], ["key", "text"])
+                yield out.filter(pa.array(fresh, pa.bool_()))
 
-    return in_batches(docs.select("text"), run, "key binary, held binary, times binary")
+    return in_batches(docs.select("text"), run, "key binary, text string")
 
 
 def weighted_jaccard(a, times_a, b, times_b, idf: np.ndarray) -> float:
@@ -216,83 +243,147 @@ def weighted_jaccard(a, times_a, b, times_b, idf: np.ndarray) -> float:
     return float(shared / (total - shared))
 
 
-def agreeing(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
-    """The pairs (a, b) that agree in at least AGREEING of their samples; drawn: key and samples of each text."""
-    a = drawn.select(F.col("key").alias("a"), F.col("samples").alias("samples_a"))
-    b = drawn.select(F.col("key").alias("b"), F.col("samples").alias("samples_b"))
-    same = F.filter(F.zip_with("samples_a", "samples_b", lambda x, y: x == y), lambda equal: equal)
-    return pairs.join(b, "b").join(a, "a").filter(F.size(same) >= AGREEING).select("a", "b")
+Links = list[tuple[int, int]]
 
 
-def verified(pairs: DataFrame, sets: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity is at least `least`."""
-    a = sets.select(F.col("key").alias("a"), F.col("held").alias("held_a"), F.col("times").alias("times_a"))
-    b = sets.select(F.col("key").alias("b"), F.col("held").alias("held_b"), F.col("times").alias("times_b"))
+def in_cells(rows: DataFrame, cell: list[str], columns: list[str], links_of: Callable[..., Links]) -> DataFrame:
+    """Links (a, b) that links_of finds in each cell of rows, brought together by the cell's columns; keys are in `key`.
 
-    def run(batches):
-        for batch in batches:
-            kept = []
-            for i in range(batch.num_rows):
-                raw = [batch.column(c)[i].as_buffer() for c in ("held_a", "times_a", "held_b", "times_b")]
-                held_a, held_b = (np.frombuffer(raw[j], np.uint64) for j in (0, 2))
-                times_a, times_b = (np.frombuffer(raw[j], np.int32) for j in (1, 3))
-                kept.append(weighted_jaccard(held_a, times_a, held_b, times_b, idf) >= least - 1e-9)
-            yield batch.filter(pa.array(kept, pa.bool_())).select(["a", "b"])
-
-    # Both ends of a pair may be a leader with very many pairs; each join is one that Spark can split.
-    matched = pairs.join(b, "b").join(a, "a").select("a", "b", "held_a", "times_a", "held_b", "times_b")
-    return in_batches(matched, run, "a binary, b binary")
-
-
-def across(left: DataFrame, drawn: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members (bucket, key, label) of one bucket with different labels that agree in AGREEING samples.
-
-    A label with a block's worth of members has blocks of its own, which never meet each other; smaller labels share blocks.
+    links_of gets the cell's columns as lists and returns pairs of places.
     """
-    counts = stored(left.groupBy("bucket", "label").agg(F.count("*").alias("n")), "counts")
-    group = F.when(F.col("n") >= BLOCK, F.col("label")).otherwise(F.lit(b""))
-    mixed_buckets = counts.groupBy("bucket").agg(F.count("*").alias("labels")).filter("labels > 1").select("bucket")
-    grouped = stored(counts.join(mixed_buckets, "bucket").withColumn("group", group), "groups")
-    sizes = grouped.groupBy("bucket", "group").agg(F.sum("n").alias("size"))
-    salt = F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / F.lit(BLOCK)))
-    salted = stored(
-        left.join(grouped.select("bucket", "label", "group"), ["bucket", "label"])
-        .join(sizes, ["bucket", "group"])
-        .select("bucket", "group", salt.alias("salt"), "key", "label"),
-        "salted",
-    )
-    blocks = stored(
-        salted.join(drawn, "key")
-        .groupBy("bucket", "group", "salt")
-        .agg(F.collect_list(F.struct("key", "label", "samples")).alias("held")),
-        "blocks",
-    )
-    a = blocks.select("bucket", F.struct("group", "salt").alias("place_a"), F.col("held").alias("held_a"))
-    b = blocks.select("bucket", F.struct("group", "salt").alias("place_b"), F.col("held").alias("held_b"))
-    alone = (F.col("place_a.group") == F.col("place_b.group")) & (F.length("place_a.group") > 0)
-    met = a.join(b, "bucket").filter((F.col("place_a") <= F.col("place_b")) & ~alone).select("held_a", "held_b")
+    dealt = rows.select(*cell, "key", *columns).repartition(*cell).sortWithinPartitions(*cell)
 
-    def run(batches):
-        def side(held):
-            rows = held.values
-            drawn_here = rows.field("samples").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-            return (np.array(rows.field(name).to_pylist(), dtype=object) for name in ("key", "label")), drawn_here
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(held: list[list]) -> pa.RecordBatch:
+            keys = held[0]
+            pairs = [sorted((keys[i], keys[j])) for i, j in links_of(*held[1:])] if len(keys) > 1 else []
+            ends = [pa.array([p[at] for p in pairs], pa.binary()) for at in (0, 1)]
+            return pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
+        current, held = None, []
         for batch in batches:
-            for i in range(batch.num_rows):
-                (key_a, label_a), drawn_a = side(batch.column("held_a")[i])
-                (key_b, label_b), drawn_b = side(batch.column("held_b")[i])
-                equal = np.zeros((len(key_a), len(key_b)), np.int16)
-                for sample in range(drawn_a.shape[1]):
-                    equal += drawn_a[:, sample, None] == drawn_b[None, :, sample]
-                at_a, at_b = np.nonzero((equal >= AGREEING) & (label_a[:, None] != label_b[None, :]))
-                if len(at_a):
-                    ends = [sorted(pair) for pair in zip(key_a[at_a], key_b[at_b])]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([e[0] for e in ends], pa.binary()), pa.array([e[1] for e in ends], pa.binary())], ["a", "b"]
-                    )
-
-    return in_batches(met, run, "a binary, b binary").distinct()
+            names = list(zip(*(batch.column(c).to_pylist() for c in cell)))
+            values = [batch.column(c).to_pylist() for c in ("key", *columns)]
+            edges = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
+            for start, end in zip(edges, [*edges[1:], len(names)]):
+                part = [column[start:end] for column in values]
+                if names[start] == current:
+                    held = [old + new for old, new in zip(held, part)]
+                else:
+                    if held:
+                        yield found(held)
+                    current, held = names[start], part
+        if held:
+            yield found(held)
+
+    return in_batches(dealt, run, "a binary, b binary").distinct()
+
+
+def joined_by(label: np.ndarray, asking: np.ndarray, drawn: np.ndarray, same: Callable[[int, int], bool]) -> Links:
+    """Pairs that join the labels of members which agree in AGREEING samples and are the same; label is changed.
+
+    Each asking member meets all members of other labels, those that agree most first; pairs whose labels have been joined
+    in between are not looked at.
+    """
+    found: Links = []
+    for i in np.flatnonzero(asking):
+        others = np.flatnonzero(label != label[i])
+        if not len(others):
+            if (label == label[0]).all():
+                break
+            continue
+        agree = np.count_nonzero(drawn[others] == drawn[i], axis=1)
+        likely = np.flatnonzero(agree >= AGREEING)
+        for j in others[likely[np.argsort(-agree[likely], kind="stable")]]:
+            if label[j] != label[i] and same(i, j):
+                found.append((int(i), int(j)))
+                label[label == label[j]] = label[i]
+    return found
+
+
+def _drawn(samples_of: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(samples_of), np.uint8).reshape(-1, SAMPLES)
+
+
+def likely_links(samples_of: list[bytes]) -> Links:
+    """Links of a bucket's members that agree in enough samples, without rings."""
+    drawn = _drawn(samples_of)
+    return joined_by(np.arange(len(drawn)), np.ones(len(drawn), bool), drawn, lambda i, j: True)
+
+
+def candidate_links(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) of texts that share a bucket and agree in enough samples. nodes: key, bands, samples."""
+    entries = nodes.select("key", F.explode("bands").alias("bucket"))
+    sizes = entries.groupBy("bucket").agg(F.count("*").alias("n"))
+    shared = stored(sizes.filter("n > 1"), "buckets")
+    met = entries.join(shared, "bucket")
+    parts = F.ceil(F.col("n") / F.lit(BUCKET_MEMBERS)).cast("int")
+    dealt = _in_pairs(met.withColumn("at", F.pmod(F.xxhash64("key"), parts).cast("int")), parts)
+    rows = dealt.join(nodes.select("key", "samples"), "key")
+    return in_cells(rows, ["bucket", "i", "j"], ["samples"], likely_links)
+
+
+def _in_pairs(rows: DataFrame, parts: Column) -> DataFrame:
+    """Rows of part `at` in every pair (i, j) of parts, i <= j, that it belongs to."""
+    other = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return other.withColumns({"i": F.least("at", "other"), "j": F.greatest("at", "other")}).drop("at", "other")
+
+
+def exact_links(idf: np.ndarray, least: float) -> Callable[..., Links]:
+    """A function of a cell's samples, labels, asking members and texts: links of texts that are similar enough."""
+
+    def links_of(samples_of: list[bytes], labels: list[bytes], asking: list[bool], texts: list[str]) -> Links:
+        label = np.unique(np.array(labels, dtype=object), return_inverse=True)[1]
+        if (label == label[0]).all():
+            return []
+        sets = list(shingles(*words(pa.array(texts, pa.string()))))
+
+        def same(i: int, j: int) -> bool:
+            return weighted_jaccard(*sets[i], *sets[j], idf) >= least - 1e-9
+
+        return joined_by(label, np.array(asking), _drawn(samples_of), same)
+
+    return links_of
+
+
+def verified_links(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+    """Links (a, b) that join all texts of similarity `least`; nodes: key, words, bands, samples of different texts."""
+    group = components(candidate_links(nodes)).withColumnsRenamed({"node": "key", "label": "group"})
+    known = stored(group.join(nodes.select("key", "words", "samples"), "key"), "grouped")
+    texts = texts_by_key(docs).join(known.select("key"), "key", "left_semi")
+    texts = texts.groupBy("key").agg(F.first("text").alias("text"))
+    sizes = known.groupBy("group").agg(F.count("*").alias("n"), F.sum("words").alias("words"))
+    parts = F.greatest(F.ceil(F.col("n") / F.lit(GROUP_MEMBERS)), F.ceil(F.col("words") / F.lit(GROUP_WORDS))).cast("int")
+    sizes = stored(sizes.select("group", parts.alias("parts")), "sizes")
+    members = stored(known.drop("words").join(sizes, "group").join(texts, "key"), "members")
+
+    # Each part by itself. The leaders, the same in all parts of a group, are the members with the smallest hashes.
+    salt = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    order = Window.partitionBy("group").orderBy(F.xxhash64("key", F.lit(1)), "key")
+    large = members.filter("parts > 1")
+    lead = large.select("group", "key").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= LEADERS)
+    leaders = large.join(lead.select("group", "key"), ["group", "key"])
+    every = leaders.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter(F.col("i") != salt)
+    alone = members.withColumn("i", salt).unionByName(every).withColumns({"label": F.col("key"), "asking": F.lit(True)})
+    columns, decide = ["samples", "label", "asking", "text"], exact_links(idf, least)
+    found = stored(in_cells(alone, ["group", "i"], columns, decide), "links")
+    if large.isEmpty():
+        return found
+
+    # Members outside the largest class of their group meet all others.
+    labelled = stored(_relabelled(large, components(found)), "labelled")
+    classes_of = stored(labelled.groupBy("group", "label").agg(F.count("*").alias("n")), "counts")
+    largest = classes_of.groupBy("group").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"))
+    open_groups = largest.withColumn("left", F.col("n") - F.col("most.n")).filter("left > 0")
+    asked = F.ceil(F.col("left") / F.lit(GROUP_MEMBERS)).cast("int")
+    open_groups = stored(open_groups.select("group", F.col("most.label").alias("main"), asked.alias("askers")), "open")
+    rows = stored(labelled.join(open_groups, "group").withColumn("asking", F.col("label") != F.col("main")), "rows")
+    asker = F.pmod(F.xxhash64("key"), F.col("askers")).cast("int")
+    asking = rows.filter("asking").withColumns({"i": asker, "j": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
+    others = rows.withColumns({"j": salt, "i": F.explode(F.sequence(F.lit(0), F.col("askers") - 1))})
+    others = others.withColumn("asking", F.lit(False))
+    met = asking.unionByName(others, allowMissingColumns=True)
+    return stored(found.union(in_cells(met, ["group", "i", "j"], columns, decide)), "links")
 
 
 def _id_text(column: str = "doc_id"):
@@ -306,71 +397,11 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, Data
     idf = inverse_frequencies(docs)
     table = stored(signed(docs, idf), "signed")
     spoken = table.filter(F.col("key").isNotNull())
-    nodes = stored(spoken.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "nodes")
-
-    # Members of every bucket that holds two different texts at least.
-    entries = stored(spoken.select("key", F.explode("bands").alias("bucket")).distinct(), "entries")
-    sizes = entries.groupBy("bucket").agg(
-        F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("size")
-    )
-    shared = stored(sizes.filter("low <> high").select("bucket", "size"), "buckets")
-    met_in = stored(entries.join(shared, "bucket"), "met")
-    # Members of large buckets in many bands stand in the middle of their group: they lead, so that most others are joined
-    # by the first comparison.
-    candidates = stored(met_in.groupBy("key").agg(F.sum("size").alias("weight")), "candidates")
-    members = stored(met_in.select("bucket", "key").join(candidates, "key"), "members")
     # Copies have equal samples.
-    drawn = spoken.select("key", "samples").join(candidates.select("key"), "key", "left_semi").dropDuplicates(["key", "samples"])
-    drawn = stored(drawn, "samples")
-    first = nodes.join(candidates.select("key"), "key", "left_semi").select(_id_text().alias("_kd_id")).distinct()
-    named_docs = docs.select("text", _id_text().alias("_kd_id"))
-    sets = stored(_shingle_table(named_docs.join(stored(first, "first").hint("merge"), "_kd_id", "left_semi")), "shingles")
-
-    links: DataFrame | None = None
-    label: DataFrame | None = None
-    everyone = members.select("bucket", "key", "weight", F.col("key").alias("label"))
-    waiting, done, rounds = everyone, None, 0
-    while not waiting.isEmpty():
-        # Leaders of a bucket are members that no earlier leader's component holds.
-        ranked = Window.partitionBy("bucket").orderBy(F.desc("weight"), "key")
-        leaders = stored(
-            waiting.withColumn("rank", F.row_number().over(ranked))
-            .filter(F.col("rank") <= min(MORE_LEADERS**rounds, 1 << 30))
-            .select("bucket", F.col("key").alias("a"), F.col("label").alias("a_label")),
-            "leaders",
-        )
-        met = everyone.join(leaders, "bucket").filter("label <> a_label")
-        pairs = met.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
-        likely = stored(agreeing(pairs, drawn), "likely")
-        found = stored(verified(likely, sets, idf, least), "found")
-        links = found if links is None else stored(links.union(found), "found")
-        label = components(links)
-        # A member waits on if its component has had no leader in this bucket. Earlier leaders' components are marked
-        # by their leaders' labels, which are renewed with everybody else's.
-        rounds += 1
-        renewed = _relabelled(everyone.select("bucket", "key", "weight"), label)
-        led = leaders.select("bucket", F.col("a").alias("key"))
-        done = led if done is None else stored(done.union(led), "done")
-        everyone = stored(renewed, "members")
-        ruled = everyone.join(done, ["bucket", "key"]).select("bucket", "label").distinct()
-        waiting = stored(everyone.join(stored(ruled, "ruled"), ["bucket", "label"], "left_anti"), "waiting")
-        # Buckets with nobody waiting are finished.
-        unfinished = stored(waiting.select("bucket").distinct(), "buckets")
-        everyone = stored(everyone.join(unfinished, "bucket", "left_semi"), "members")
-
-    if label is not None:
-        # Leaders have met all members of other components; now those that never led meet across components.
-        followers = members.select("bucket", "key").join(done, ["bucket", "key"], "left_anti")
-        likely = stored(across(stored(_relabelled(followers, label), "followers"), drawn), "likely")
-        found = stored(verified(likely, sets, idf, least), "found")
-        if not found.isEmpty():
-            label = components(links.union(found))
-
-    if label is None:
-        joined = nodes.select("key", "doc_id", F.col("key").alias("label"))
-    else:
-        joined = _relabelled(nodes, label)
-    named = stored(joined, "labelled")
+    nodes = spoken.groupBy("key").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("words", "bands", "samples")])
+    nodes = stored(nodes, "nodes")
+    label = components(verified_links(nodes, docs, idf, least))
+    named = stored(_relabelled(nodes.select("key", "doc_id"), label), "labelled")
     smallest = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m"))
     keepers = stored(smallest.select("label", "m.doc_id", "m.key"), "keepers")
     of_key = stored(

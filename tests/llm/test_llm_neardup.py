@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from llm_corpus import corpus  # noqa: F401
 
@@ -58,21 +59,6 @@ def test_large_group_of_near_copies_is_one_class(spark):
     assert all(r["class_id"] == r["doc_id"] for r in found if r["doc_id"] >= 1000)
 
 
-def test_followers_of_different_components_meet(spark):
-    draw = np.random.default_rng(5)
-    size = 3 * neardup.BLOCK
-    samples = draw.integers(0, 2**31 - 1, (2 * size, neardup.BANDS * neardup.ROWS)).astype(np.int32)
-    samples[size + 7, : neardup.AGREEING] = samples[3, : neardup.AGREEING]  # across two large labels
-    samples[4] = samples[5]  # within one label
-    samples[2 * size - 1] = samples[2 * size - 2]  # between two small labels
-    key = [f"{i:05d}".encode() for i in range(2 * size)]
-    label = [key[0]] * size + [key[size]] * (size - 2) + key[-2:]
-    left = spark.createDataFrame([(1, bytearray(k), bytearray(n)) for k, n in zip(key, label)], "bucket long, key binary, label binary")
-    drawn = spark.createDataFrame([(bytearray(k), row.tolist()) for k, row in zip(key, samples)], "key binary, samples array<int>")
-    found = {(bytes(r["a"]), bytes(r["b"])) for r in neardup.across(left, drawn).collect()}
-    assert found == {(key[3], key[size + 7]), (key[-2], key[-1])}
-
-
 def two_groups_and_a_bridge(seed, size=150):
     """Two groups of near copies, not alike, but for one member of each."""
     draw = np.random.default_rng(seed)
@@ -90,7 +76,12 @@ def two_groups_and_a_bridge(seed, size=150):
     return [*rows, text("bbaaaaaa"), text("bbbbbbaa")]
 
 
-def test_two_large_groups_joined_by_one_pair(spark):
+@pytest.mark.parametrize("members", [10_000, 40])
+def test_two_large_groups_joined_by_one_pair(spark, monkeypatch, members):
+    # Small parts: buckets and groups are dealt over many tasks.
+    monkeypatch.setattr(neardup, "BUCKET_MEMBERS", members)
+    monkeypatch.setattr(neardup, "GROUP_MEMBERS", members)
+    monkeypatch.setattr(neardup, "LEADERS", 3)
     rows = [t for seed in range(2) for t in two_groups_and_a_bridge(seed)]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     groups = {}
@@ -99,6 +90,24 @@ def test_two_large_groups_joined_by_one_pair(spark):
     assert set(map(frozenset, groups.values())) == set(map(frozenset, brute(docs, neardup.inverse_frequencies(docs))))
 
 
+def test_rows_stay_in_proportion_to_a_large_group(spark):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base[:50] + [f"own{i}"] + base[51:])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    idf = neardup.inverse_frequencies(docs)
+    nodes = neardup.signed(docs, idf).cache()
+    assert neardup.candidate_links(nodes).count() < 400 * neardup.BANDS
+    assert neardup.verified_links(nodes, docs, idf, 0.8).count() == 399
+
+
+def test_weights_do_not_flatten_with_the_corpus():
+    # A shingle of all documents weighs 1, one of a thousandth of them or fewer 2, at any number of documents.
+    for texts in (1000, 10**9):
+        shares = np.array([1, 0.1, 0.001, 1 / texts])
+        weights = 1 + np.log(np.clip(1 / shares, 1, neardup.RAREST)) / np.log(neardup.RAREST)
+        assert np.allclose(weights, [1, 4 / 3, 2, 2])
+
+
 def test_samples_estimate_weighted_jaccard():
     draw = np.random.default_rng(1)
     a = np.unique(draw.integers(0, 2**63, 400).astype(np.uint64))
