@@ -1,17 +1,66 @@
+"""Licence scans of hand-made texts, against the same rule in SQL."""
+
+import duckdb
+import pyarrow as pa
+
 from kindred.llm import licenses
 
+REST = " and many other words that say nothing of the kind " * 5
+
 
-def test_wrapped_notices_and_notices_inside_a_sentence(spark):
-    rest = " and many other words that say nothing of the kind " * 5
+def texts():
+    mit, gpl = licenses.TEMPLATES[5][1], licenses.TEMPLATES[11][1]
     rows = [
-        (1, f"{rest}\nLicensed under the Apache License,\nVersion 2.0\n{rest}", "Apache-2.0"),
-        (2, f"{rest} which is, as told, licensed under the MIT License {rest}", "MIT"),
-        (3, rest, None),
-        (4, "", None),
-        (5, "word", None),
-        (6, rest + licenses.LONG_TEMPLATES[0][1].replace(" copy", "\ncopy") + rest, "MIT"),
+        (f"{REST}\nLicensed under the Apache License,\nVersion 2.0\n{REST}", "Apache-2.0", "Apache-2.0"),
+        (f"{REST} which is, as told, licensed under the MIT License {REST}", "MIT", None),
+        (REST, None, ""),
+        ("", None, ""),
+        (None, None, ""),
+        ("word", None, ""),
+        ("license", None, ""),
+        (REST + mit.replace(" copy", "\ncopy") + REST, "MIT", "MIT"),
+        (f"{REST}. {gpl}. All rights\nreserved. {REST}", "GPL-3.0", None),
+        # A passage does not hide a wrapped notice beside it.
+        (f"All rights reserved\n{REST} Licensed under the Apache License,\nVersion 2.0 {REST}", "Apache-2.0", "Apache-2.0,proprietary"),
+        (f"{gpl}\n{REST}\nReleased under the MIT License", "MIT", None),
+        ("Released under the MIT License " * 30, "MIT", None),
+        ("license licensed licenses " * 200, None, ""),
     ]
-    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
-    found = {r["doc_id"]: (r["license"], r["dice"]) for r in licenses.scan(docs).collect()}
-    assert {i: found[i][0] for i, _, _ in rows} == {i: name for i, _, name in rows}
-    assert found[1][1] == found[2][1] == 1.0 and found[3][1] == 0.0
+    rows += [(f"{REST}\n{text}\n{REST}", name, None) for name, text in licenses.TEMPLATES]
+    rows += [(f"{REST} {text.upper()[:-1].replace(' ', chr(10), 5)} {REST}", None, None) for _, text in licenses.TEMPLATES]
+    return rows
+
+
+def test_equal_to_sql_and_to_what_was_planted(spark):
+    rows = texts()
+    docs = spark.createDataFrame([(i, t, "x", 1.0, 3) for i, (t, *_) in enumerate(rows)], "doc_id long, text string, near string, dice double, n int")
+    found = {r["doc_id"]: r for r in licenses.scan(docs.repartition(3)).collect()}
+    connection = duckdb.connect()
+    connection.register("documents", pa.table({"doc_id": list(range(len(rows))), "text": [t for t, *_ in rows]}))
+    expected = connection.sql(licenses.sql())
+    assert sorted(tuple(found[i]) for i in found) == sorted(expected.project("doc_id, license, dice, licenses, n_passages").fetchall())
+    for i, (_, name, listed) in enumerate(rows):
+        if i < 13 or name:
+            assert found[i]["license"] == name, (i, found[i])
+        if listed is not None:
+            assert found[i]["licenses"] == listed, (i, found[i])
+
+
+def test_no_signal_word_is_missing():
+    for least in (0.6, 0.8, 0.95, 1.0):
+        known = [(name, licenses.template_bigrams(text)) for name, text in licenses.TEMPLATES]
+        signals = licenses.signal_words(known, least)
+        for _, pairs in known:
+            # Whatever is left of a template when as much is taken as may lack, it has a signal.
+            quiet = [pair for pair in pairs if not any(word in pair for word in signals)]
+            assert len(quiet) < licenses.fewest_shared(len(pairs), least)
+
+
+def test_empty_table_and_other_templates(spark):
+    shape = "doc_id long, text string"
+    assert licenses.scan(spark.createDataFrame([], shape)).count() == 0
+    own = [("a", "one two three four"), ("b", "one two three four")]
+    docs = spark.createDataFrame([(1, "zero one two three four five"), (1, "zero one two three four five")], shape)
+    got = licenses.scan(docs, templates=own).collect()
+    # Equally near templates: the first is named.
+    assert [(r["license"], r["dice"], r["licenses"]) for r in got] == [("a", 1.0, "a,b")] * 2
