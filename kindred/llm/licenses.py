@@ -6,8 +6,8 @@ of its word bigrams. Templates whose number of bigrams cannot reach the wanted c
 are passed over: `2 min(a, b) / (a + b) >= least` bounds a by b. A window that is near a template stays near without
 bigrams at its ends that the template lacks, so only windows between two of the template's bigrams are compared.
 
-What is near a template shares so many bigrams with it that it cannot lack all of a chosen few: a text without any of
-the words of these (`signal_words`) is passed over before it is cut up. All steps are column expressions over one row, so
+What is near a template shares so many bigrams with it that it cannot lack all of a chosen few (`signal_bigrams`): a text
+that has none of them is passed over before it is cut up. All steps are column expressions over one row, so
 the scan is a single map without a shuffle, and no hot licence, source or copy gathers anywhere.
 
 Result: the template nearest to any passage or window (license, dice), all licences that something is near to, in the order
@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST = 0.8
+# Letters from which a word alone is looked for.
+LONG_WORD = 6
 
 # The sentences by which public licences are declared or granted, as their publishers word them.
 TEMPLATES: list[tuple[str, str]] = [
@@ -144,18 +146,28 @@ def fewest_shared(count: int, least: float) -> int:
     return math.ceil(least * (sizes_within(count, least)[0] + count) / 2 - 1e-9)
 
 
-def signal_words(templates: list[tuple[str, list[str]]], least: float) -> list[str]:
-    """Words of which any text with something near one of the templates has at least one.
+def signal_bigrams(templates: list[tuple[str, list[str]]], least: float) -> list[str]:
+    """Bigrams of which anything near one of the templates has at least one.
 
-    Of a template's bigrams more are taken than anything near may lack, those with long words first; what is near has one of
-    them, and so its longer word.
+    Of a template's bigrams more are taken than anything near may lack, those with long words first.
     """
     found: set[str] = set()
     for _, pairs in templates:
         by_word = sorted(pairs, key=lambda pair: (-max(map(len, pair.split())), pair))
-        taken = by_word[: len(pairs) - fewest_shared(len(pairs), least) + 1]
-        found |= {max(pair.split(), key=len) for pair in taken}
-    return sorted(w for w in found if not any(other != w and other in w for other in found))
+        found |= set(by_word[: len(pairs) - fewest_shared(len(pairs), least) + 1])
+    return sorted(found)
+
+
+def has_signal(lowered: Column, pairs: list[str]) -> Column:
+    """Whether a lower-cased text may have one of the bigrams: it has a long word of theirs, or the two words in a row."""
+    long_words = {max(pair.split(), key=len) for pair in pairs if max(map(len, pair.split())) >= LONG_WORD}
+    tests = [F.contains(lowered, F.lit(w)) for w in sorted(long_words) if not any(o != w and o in w for o in long_words)]
+    for pair in pairs:
+        one, two = pair.split()
+        if max(len(one), len(two)) < LONG_WORD:
+            in_a_row = F.rlike(lowered, F.lit(rf"{one}[^\p{{L}}\p{{N}}]+{two}"))
+            tests.append(F.contains(lowered, F.lit(one)) & F.contains(lowered, F.lit(two)) & in_a_row)
+    return reduce(Column.__or__, tests)
 
 
 def best_window(found: Column, pairs: list[str], least: float) -> Column:
@@ -191,9 +203,9 @@ def scan(docs: DataFrame, least: float = LEAST, templates: list[tuple[str, str]]
     known = [(name, template_bigrams(text)) for name, text in templates or TEMPLATES]
     bounds = [sizes_within(len(pairs), least) for _, pairs in known]
     fewest, most = min(low for low, _ in bounds), max(high for _, high in bounds)
-    lowered = F.lower(F.col("text"))
-    signal = reduce(Column.__or__, [F.contains(lowered, F.lit(word)) for word in signal_words(known, least)])
-    signalled = docs.select("doc_id", F.when(signal, F.col("text")).alias("text"))
+    signal = has_signal(F.col("_lowered"), signal_bigrams(known, least))
+    lowered = docs.select("doc_id", "text", F.lower("text").alias("_lowered"))
+    signalled = lowered.select("doc_id", F.when(signal, F.col("text")).alias("text"))
     # Sets outside every template's bounds end here, before any is compared.
     sets = F.filter(F.transform(passages(F.col("text")), bigrams), lambda s: F.size(s).between(fewest, most))
 

@@ -2,6 +2,7 @@
 
 import duckdb
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from kindred.llm import licenses
 
@@ -46,14 +47,15 @@ def test_equal_to_sql_and_to_what_was_planted(spark):
             assert found[i]["licenses"] == listed, (i, found[i])
 
 
-def test_no_signal_word_is_missing():
+def test_no_signal_is_missing(spark):
     for least in (0.6, 0.8, 0.95, 1.0):
         known = [(name, licenses.template_bigrams(text)) for name, text in licenses.TEMPLATES]
-        signals = licenses.signal_words(known, least)
+        signals = set(licenses.signal_bigrams(known, least))
         for _, pairs in known:
             # Whatever is left of a template when as much is taken as may lack, it has a signal.
-            quiet = [pair for pair in pairs if not any(word in pair for word in signals)]
-            assert len(quiet) < licenses.fewest_shared(len(pairs), least)
+            assert len(set(pairs) - signals) < licenses.fewest_shared(len(pairs), least)
+    texts = spark.createDataFrame([(f"x {a},\n{b}. y",) for a, b in map(str.split, licenses.signal_bigrams(known, 0.8))], "t string")
+    assert texts.filter(licenses.has_signal(F.col("t"), licenses.signal_bigrams(known, 0.8))).count() == texts.count()
 
 
 def test_empty_table_and_other_templates(spark):
