@@ -34,10 +34,10 @@ def remainder(column: str, modulus: int) -> Column:
     return F.crc32(text.cast("binary")) % F.lit(modulus)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Parts of a batch whose texts hold about SLICE_BYTES; a longer text is a part of its own."""
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts hold about `size` bytes; a longer text is a part of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    part = (np.cumsum(sizes, dtype=np.int64) - sizes) // SLICE_BYTES
+    part = (np.cumsum(sizes, dtype=np.int64) - sizes) // size
     starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
     for start, end in zip(starts, [*starts[1:], len(part)]):
         yield batch.slice(start, end - start)

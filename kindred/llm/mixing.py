@@ -1,24 +1,30 @@
 """Mixing sources to target weights with soft membership.
 
 A classifier learned from a labelled table gives every document a probability of each domain. A document of n words
-then brings `n * p_k` tokens to domain k, and rates r >= 0 are wanted whose expected totals `sum_d r_d n_d p_dk` match
-the targets. That is a least-squares problem with one unknown per document and one equation per domain; it is solved by
-projected gradient steps. A step needs the residual of each domain alone (a handful of sums over the stored table of
-memberships, added up in the tasks); the rates never leave their rows. Gradients are scaled by the inverse Gram matrix of
-the rows whose rates can still move, and a step that does not lower the squared residual is halved.
-
-Rates are kept within 0 and `most` (1: no document is repeated). Targets are the weights times a token budget, a share
-of all tokens; a domain that cannot supply its target gives what it has, and the others take over the rest by weight.
+then brings `n * p_k` tokens to domain k, and rates 0 <= r <= `most` are wanted whose expected totals
+`sum_d r_d n_d p_dk` match the targets: a least-squares problem with one unknown per document and one equation per domain.
+It is solved by projected gradient steps: all rates start equal, a step adds to every rate the document's probabilities
+times one multiplier per domain, taken from the residual and scaled by the inverse Gram matrix of the rows that can
+still move, and the sum of the steps so far is projected to the bounds. A step is halved until it brings the residual down.
+Each needs a handful of sums over the stored table of memberships, added up in the tasks; the rates never leave their
+rows. A small pull to the first rates (`PULL`) makes the solution the one that changes rates least, and steps end at it.
+
+Targets are the weights times the most tokens that the supplies allow at them with no rate above `most` (1: no document is
+repeated), or a share of that on request: the scarcest domain, measured by its weight, gives all it has. Memberships may be
+too soft to take that much of it and no more of the others; then the rates are those with the smallest residual. The steps
+begin at the solution of a summary: sums of the memberships in at most `CELLS` cells of equal rounded probabilities.
+
 A document is drawn `floor(rate)` times, and once more if a hash of its id falls below the rest, so the draw is the same in
-every run. Where memberships are too soft for the targets, the rates are those with the smallest residual found.
+every run.
 
-Defined results: null and empty texts bring no tokens, take no part in the fit and keep the first rate (budget over
-supply); weights are scaled to sum 1; repeated rows are rated one by
-one; labels that name no domain are not learned. Only the named columns are read.
+Defined results: null and empty texts bring no tokens, take no part in the fit and keep the rate that their probabilities
+give; weights are scaled to sum 1, and weights that are all zero leave every rate at the smaller of 1 and most; repeated
+rows are rated one by one; labels that name no domain are not learned. Only the named columns are read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,25 +36,30 @@ from kindred.runtime import stored
 
 # Domains as the labelled table marks them, in the order of the classes.
 DOMAINS = ("good", "poor", "toxic")
-WEIGHTS = {"good": 0.84, "poor": 0.05, "toxic": 0.11}
+WEIGHTS = {"good": 0.9, "poor": 0.03, "toxic": 0.07}
+
+
+# Cells of the summary, and the pull to the first rates (a share of all tokens).
+CELLS = 4096
+PULL = 1e-6
 
 
 @dataclass
 class Settings:
     most: float = 1.0
-    budget_share: float = 0.8  # of all tokens
-    steps: int = 16
-    tolerance: float = 1e-7  # of the budget
+    budget_share: float = 1.0  # of the tokens that the supplies allow at the weights
+    steps: int = 20
+    tolerance: float = 1e-6  # of the targets
 
 
 @dataclass
 class Fit:
-    """Targets, expected totals and the steps of the fit, whose sum of multipliers gives the rates."""
+    """Targets, expected totals, the first rate and the multipliers of the steps' sum."""
 
     targets: np.ndarray
     totals: np.ndarray
     first: float
-    multipliers: list[np.ndarray]
+    multipliers: np.ndarray
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
@@ -66,69 +77,114 @@ def memberships(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def rate(first: float, multipliers: list[np.ndarray], most: float) -> Column:
-    """The rate of a row after all steps: each adds its multipliers times the row's chances, then projects."""
-    value = F.lit(float(first))
-    for step in multipliers:
-        moved = sum((F.lit(float(m)) * F.col("_kd_chances")[k] for k, m in enumerate(step)), F.lit(0.0))
-        value = F.least(F.greatest(value + moved, F.lit(0.0)), F.lit(float(most)))
-    return value
-
-
-def targets_of(supply: np.ndarray, weights: np.ndarray, budget: float, most: float) -> np.ndarray:
-    """Tokens wanted of each domain: weights times budget, within what each can supply."""
-    held = most * supply
-    targets, open_ = np.zeros(len(supply)), weights > 0
-    while open_.any():
-        wanted = weights * open_ / weights[open_].sum() * (budget - targets[~open_].sum())
-        short = open_ & (wanted >= held)
-        if not short.any():
-            targets[open_] = wanted[open_]
+def rate(first: float, multipliers: np.ndarray, most: float) -> Column:
+    """The rate of a row: the first rate and the multipliers times the row's chances, within the bounds."""
+    moved = sum((F.lit(float(m)) * F.col("_kd_chances")[k] for k, m in enumerate(multipliers)), F.lit(float(first)))
+    return F.least(F.greatest(moved, F.lit(0.0)), F.lit(float(most)))
+
+
+def descend(
+    sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]],
+    targets: np.ndarray,
+    pull: float,
+    start: np.ndarray,
+    steps: int,
+    tolerance: float,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers at the end of the steps, and the totals there. sums gives the totals and the Gram matrix of the rows that
+    can still move for some multipliers. The end is where the residual equals the pull to the first rates."""
+
+    def left(multipliers: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        return targets - totals - pull * multipliers
+
+    at = start
+    totals, gram = sums(at)
+    for _ in range(steps):
+        residual = left(at, totals)
+        if np.abs(residual).max() <= tolerance * max(targets.sum(), 1e-12):
             break
-        targets[short] = held[short]
-        open_ &= ~short
-    return targets
+        move, length, size = np.linalg.solve(gram + pull * np.eye(len(at)), residual), 1.0, np.linalg.norm(residual)
+        while True:
+            tried = at + length * move
+            reached, reached_gram = sums(tried)
+            if np.linalg.norm(left(tried, reached)) < (1 - 1e-4 * length) * size:
+                at, totals, gram = tried, reached, reached_gram
+                break
+            length /= 4
+            if length < 1e-6:
+                return at, totals
+    return at, totals
 
 
-def fit(members: DataFrame, weights: np.ndarray, settings: Settings) -> Fit:
-    """Projected-gradient steps over members (_kd_tokens, _kd_chances), a stored table that every step reads once."""
-    domains = range(len(weights))
-    tokens, chance = F.col("_kd_tokens"), [F.col("_kd_chances")[k] for k in domains]
-
-    def sums(multipliers: list[np.ndarray], first: float) -> tuple[np.ndarray, np.ndarray]:
-        """Expected totals, and the Gram matrix of the rows whose rate is not at a bound."""
-        held = members.select(tokens.alias("n"), F.array(*chance).alias("p"), rate(first, multipliers, settings.most).alias("r"))
-        free = F.when((F.col("r") > 0) & (F.col("r") < settings.most), F.col("n")).otherwise(0.0)
+def table_sums(members: DataFrame, count: int, first: float, most: float) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """sums of descend over all rows of members (_kd_tokens, _kd_chances): one job each."""
+    tokens, chance = F.col("_kd_tokens"), [F.col("_kd_chances")[k] for k in range(count)]
+    pairs = [(a, b) for a in range(count) for b in range(a, count)]
+
+    def sums(multipliers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        held = members.select(tokens.alias("n"), F.array(*chance).alias("p"), rate(first, multipliers, most).alias("r"))
+        free = F.when((F.col("r") > 0) & (F.col("r") < most), F.col("n")).otherwise(0.0)
         row = held.agg(
-            *[F.sum(F.col("r") * F.col("n") * F.col("p")[k]).alias(f"s{k}") for k in domains],
-            *[F.sum(free * F.col("p")[a] * F.col("p")[b]).alias(f"g{a}_{b}") for a in domains for b in domains],
+            *[F.sum(F.col("r") * F.col("n") * F.col("p")[k]).alias(f"s{k}") for k in range(count)],
+            *[F.sum(free * F.col("p")[a] * F.col("p")[b]).alias(f"g{a}_{b}") for a, b in pairs],
         ).first()
-        totals = np.array([row[f"s{k}"] or 0.0 for k in domains])
-        return totals, np.array([[row[f"g{a}_{b}"] or 0.0 for b in domains] for a in domains])
+        gram = np.zeros((count, count))
+        for a, b in pairs:
+            gram[a, b] = gram[b, a] = row[f"g{a}_{b}"] or 0.0
+        return np.array([row[f"s{k}"] or 0.0 for k in range(count)]), gram
+
+    return sums
+
 
-    # With rate 1 everywhere the totals are the supply.
-    row = members.agg(*[F.sum(tokens * c).alias(f"s{k}") for k, c in enumerate(chance)]).first()
-    supply = np.array([row[f"s{k}"] or 0.0 for k in domains])
+def cell_sums(tokens: np.ndarray, chances: np.ndarray, first: float, most: float) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """The same over the cells of the summary, given their tokens and mean chances."""
+
+    def sums(multipliers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rates = np.clip(first + chances @ multipliers, 0, most)
+        free = tokens * ((rates > 0) & (rates < most))
+        return (rates * tokens) @ chances, (chances * free[:, None]).T @ chances
+
+    return sums
+
+
+def summary(members: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and mean chances of the cells of equal rounded chances; at most about CELLS rows."""
+    levels = max(1, int(CELLS ** (1 / max(count - 1, 1))))
+    rounded = [F.least(F.floor(F.col("_kd_chances")[k] * levels), F.lit(levels - 1)).alias(f"c{k}") for k in range(count - 1)]
+    tokens = F.col("_kd_tokens")
+    rows = (
+        members.filter(tokens > 0)
+        .groupBy(*rounded)
+        .agg(F.sum(tokens).alias("n"), *[F.sum(tokens * F.col("_kd_chances")[k]).alias(f"s{k}") for k in range(count)])
+        .collect()
+    )
+    held = np.array([r["n"] for r in rows], float)
+    sums = np.array([[r[f"s{k}"] for k in range(count)] for r in rows], float).reshape(len(rows), count)
+    return held, sums / np.maximum(held, 1e-300)[:, None]
+
+
+def allowed_tokens(supply: np.ndarray, weights: np.ndarray, most: float) -> float:
+    """The most tokens that the supplies allow at the weights: no domain is asked for more than it has."""
+    wanted = (weights > 0) & (supply > 0)
+    return float(most * (supply[wanted] / weights[wanted]).min()) if wanted.any() else 0.0
+
+
+def fit(members: DataFrame, weights: np.ndarray, settings: Settings) -> Fit:
+    """Rates for members (_kd_tokens, _kd_chances), a stored table that every step reads once."""
+    count, most = len(weights), settings.most
+    tokens, chances = summary(members, count)
+    supply = tokens @ chances if len(tokens) else np.zeros(count)
     if not supply.sum() or not weights.sum():
-        return Fit(supply, supply, min(1.0, settings.most), [])
-    budget = settings.budget_share * supply.sum()
-    targets = targets_of(supply, weights, budget, settings.most)
-    first = min(settings.most * 0.999, settings.budget_share)
-    taken: list[np.ndarray] = []
-    totals, gram = sums(taken, first)
-    length = 1.0
-    for _ in range(settings.steps):
-        residual = targets - totals
-        if np.abs(residual).max() <= settings.tolerance * budget or length < 1e-3:
-            break
-        # Domains that always occur in the same ratio give a singular matrix; what they cannot tell apart stays.
-        tried = [*taken, length * (np.linalg.pinv(gram, rcond=1e-8, hermitian=True) @ residual)]
-        reached, reached_gram = sums(tried, first)
-        if ((targets - reached) ** 2).sum() < (residual**2).sum():
-            taken, totals, gram, length = tried, reached, reached_gram, min(1.0, 2 * length)
-        else:
-            length /= 4
-    return Fit(targets, totals, first, taken)
+        return Fit(supply, supply, min(1.0, most), np.zeros(count))
+    weights = weights / weights.sum()
+    targets = settings.budget_share * allowed_tokens(supply, weights, most) * weights
+    whole = tokens.sum()
+    first = min(most, targets.sum() / whole)
+    # The summary's solution is where the steps over all rows begin.
+    bounds = (targets, PULL * whole)
+    start, _ = descend(cell_sums(tokens, chances, first, most), *bounds, np.zeros(count), 200, settings.tolerance)
+    found, totals = descend(table_sums(members, count, first, most), *bounds, start, settings.steps, settings.tolerance)
+    return Fit(targets, totals, first, found)
 
 
 def mixed_documents(

@@ -48,6 +48,9 @@ BANDS = 16
 SAMPLES = ROWS * BANDS
 # Of all samples of a pair so many must agree before its shingles are compared.
 AGREEING = 36
+# Shingles that are sampled together, and bytes of texts that are signed together.
+RUN_SHINGLES = 1 << 14
+SIGNED_BYTES = 1_000_000
 # Members of a bucket, and members and words of a group, that are compared in one task.
 BUCKET_MEMBERS = 8192
 GROUP_MEMBERS = 4096
@@ -138,7 +141,22 @@ def _gamma_quantiles() -> np.ndarray:
 def samples(hashes: np.ndarray, log_weights: np.ndarray, offsets: np.ndarray, count: int) -> np.ndarray:
     """Sample identities (texts x count) of texts whose shingles lie between offsets; none may be empty."""
     gamma = _gamma_quantiles()
-    log_gamma, low = np.log(gamma), np.uint64(0xFFFF)
+    tables = gamma, np.log(gamma)
+    out = np.zeros((len(offsets) - 1, count), np.uint64)
+    # Runs of texts that the processor's caches hold.
+    run = offsets[:-1] // RUN_SHINGLES
+    edges = np.flatnonzero(np.r_[True, run[1:] != run[:-1], True])
+    for first, last in zip(edges[:-1], edges[1:]):
+        part = slice(offsets[first], offsets[last])
+        own = offsets[first : last + 1] - offsets[first]
+        out[first:last] = _samples_of_run(hashes[part], log_weights[part], own, count, *tables)
+    return out
+
+
+def _samples_of_run(
+    hashes: np.ndarray, log_weights: np.ndarray, offsets: np.ndarray, count: int, gamma: np.ndarray, log_gamma: np.ndarray
+) -> np.ndarray:
+    low = np.uint64(0xFFFF)
     sizes = np.diff(offsets)
     out = np.zeros((len(sizes), count), np.uint64)
     for sample in range(count):
@@ -173,7 +191,7 @@ def signed(docs: DataFrame, idf: np.ndarray) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SIGNED_BYTES):
                 coded = words(part.column("text"))
                 found = list(shingles(*coded))
                 spoken = [i for i, (held, _) in enumerate(found) if len(held)]
