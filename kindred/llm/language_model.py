@@ -42,15 +42,14 @@ LEAST_TIMES = 400
 END, OTHER = 0, 1
 HIDDEN = 24
 WINDOW = 32
-STREAMS = 64
-# Passes over the training tokens are cut into rounds; every token is learned from in one of them, and in a corpus of at
-# most SMALL tokens twice.
+# Streams that are learned from side by side, at most, and windows that each then has at least.
+STREAMS = 512
+STREAM_WINDOWS = 4
+# The pass over the training tokens is cut into rounds; every token is learned from in one of them.
 ROUNDS = 3
-SMALL = 1_000_000
 # A shard has at least so many tokens a round, so that averages are over weights that have moved.
 SHARD_TOKENS = 200_000
-# Streams side by side in a shard, and tokens a task holds at a time.
-SHARD_STREAMS = 128
+# Tokens a task holds at a time.
 HELD_TOKENS = 2_000_000
 # Bytes of one piece of the weights on its way to their average.
 PIECE_BYTES = 1 << 16
@@ -179,17 +178,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def _chosen(hidden: np.ndarray, weights: np.ndarray, bias: np.ndarray, which: np.ndarray) -> np.ndarray:
     """Log-probability of the chosen output of each row, in slices of bounded memory."""
-    out, rows = np.empty(len(which), np.float32), max(1, 4_000_000 // len(bias))
+    out, rows = np.empty(len(which), np.float32), max(1, 1_000_000 // len(bias))
     for at in range(0, len(which), rows):
         part = slice(at, at + rows)
-        inner = _log_softmax(hidden[part] @ weights.T + bias)
-        out[part] = inner[np.arange(len(inner)), which[part]]
+        inner = hidden[part] @ weights.T
+        inner += bias
+        inner -= inner.max(-1, keepdims=True)
+        own = inner[np.arange(len(inner)), which[part]]
+        out[part] = own - np.log(np.exp(inner, out=inner).sum(-1))
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Probabilities of each row, in the place of x."""
+    x -= x.max(-1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(-1, keepdims=True)
+    return x
 
 
 def step(net: Network, state: np.ndarray, before: np.ndarray):
@@ -208,26 +213,34 @@ def fresh_memory(net: Network) -> list[np.ndarray]:
     return [np.full(p.shape, 1e-4, np.float32) for p in net.parts()]
 
 
+def streams_of(tokens: int, most: int = STREAMS) -> int:
+    """Parts side by side for a stream in which so many tokens are to be predicted."""
+    return max(1, min(most, tokens // (WINDOW * STREAM_WINDOWS)))
+
+
 def train(
     net: Network,
     stream: np.ndarray,
-    epochs: int = 2,
+    epochs: int = 1,
     rate: float = 0.08,
     memory: list[np.ndarray] | None = None,
     most_streams: int = STREAMS,
-) -> Network:
-    """Back-propagation through windows of the token stream, cut into parts that run side by side.
+) -> int:
+    """Back-propagation through windows of the token stream, cut into parts of one length that run side by side.
 
-    The network is changed in place, and so is the memory of squared gradients, which can go on from stream to stream.
+    The first token only stands before the second. Returns how many of the tokens behind it were predicted and learned from; the
+    rest, fewer than there are parts, are for the next call, behind the last one used. The network is changed in place, and
+    so is the memory of squared gradients, which can go on from stream to stream.
     """
     parts = net.parts()
     memory = memory or fresh_memory(net)
     classes, per_class = net.word_bias.shape
-    streams = max(1, min(most_streams, len(stream) // WINDOW))
-    length = len(stream) // streams
-    if length < 2:
-        return net
-    lanes = stream[: streams * length].reshape(streams, length)
+    streams = streams_of(len(stream) - 1, most_streams)
+    steps = (len(stream) - 1) // streams
+    if steps < 1:
+        return 0
+    length = steps + 1
+    lanes = stream[np.arange(streams)[:, None] * steps + np.arange(length)]
 
     def learn(at: int, gradient: np.ndarray, rows=slice(None)):
         memory[at][rows] += gradient * gradient
@@ -246,9 +259,8 @@ def train(
             target = lanes[:, span.start + 1 : span.stop + 1].T.ravel()
             group, place = np.divmod(target, per_class)
             rows = np.arange(len(target))
-            class_error = np.exp(_log_softmax(hidden @ net.class_weights.T + net.class_bias))
+            class_error = _softmax(hidden @ net.class_weights.T + net.class_bias)
             class_error[rows, group] -= 1
-            word_error = np.zeros((len(target), per_class), np.float32)
             back = class_error @ net.class_weights
             order = np.argsort(group, kind="stable")
             edges = np.searchsorted(group[order], np.arange(classes + 1))
@@ -256,11 +268,11 @@ def train(
             bias_back = np.zeros_like(net.word_bias)
             for c in np.flatnonzero(np.diff(edges)):
                 own = order[edges[c] : edges[c + 1]]
-                error = np.exp(_log_softmax(hidden[own] @ net.word_weights[c].T + net.word_bias[c]))
+                given = hidden[own]
+                error = _softmax(given @ net.word_weights[c].T + net.word_bias[c])
                 error[np.arange(len(own)), place[own]] -= 1
-                word_error[own] = error
                 back[own] += error @ net.word_weights[c]
-                weights_back[c] = error.T @ hidden[own]
+                weights_back[c] = error.T @ given
                 bias_back[c] = error.sum(0)
             scale = np.float32(1 / streams)
             recurrent_back = np.zeros_like(net.recurrent)
@@ -284,9 +296,10 @@ def train(
                 gates[:, 2 * HIDDEN :] = raw
                 inputs_back[i] = gates
             before = lanes[:, span.start : span.stop].T.ravel()
-            seen, which = np.unique(before, return_inverse=True)
-            by_word = np.zeros((len(seen), 3 * HIDDEN), np.float32)
-            np.add.at(by_word, which, inputs_back.reshape(-1, 3 * HIDDEN))
+            by_word = np.argsort(before, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(before[by_word]) != 0])
+            seen = before[by_word[first]]
+            by_word = np.add.reduceat(inputs_back.reshape(-1, 3 * HIDDEN)[by_word], first)
             learn(0, by_word * scale, seen)
             learn(1, np.clip(recurrent_back * scale, -1, 1))
             learn(2, class_error.T @ hidden * scale)
@@ -294,7 +307,7 @@ def train(
             used = np.flatnonzero(np.diff(edges))
             learn(4, weights_back[used] * scale, used)
             learn(5, bias_back[used] * scale, used)
-    return net
+    return streams * steps
 
 
 def log10_likelihoods(net: Network, tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -406,7 +419,7 @@ def _trained(docs: DataFrame, vocabulary: pa.Array, known: np.ndarray) -> Networ
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(turn.astype(np.int32))], ["tokens", "turn"])
 
     table = stored(in_batches(docs.filter("_train").select("text"), coded, "tokens binary, turn int"), "tokens", ("turn",))
-    shards, epochs = shards_of(tokens_held, net), 2 if tokens_held <= SMALL else 1
+    shards = shards_of(tokens_held, net)
     memory = fresh_memory(net)
     for turn in range(ROUNDS):
         # Pickled with the task: every shard starts a round from the same weights.
@@ -417,8 +430,13 @@ def _trained(docs: DataFrame, vocabulary: pa.Array, known: np.ndarray) -> Networ
             own_squares, taken = [m.copy() for m in squares], 0
             held, size = [np.array([END], np.int32)], 0
 
-            def step_on():
-                train(own, np.concatenate(held), epochs, memory=own_squares, most_streams=SHARD_STREAMS if epochs == 1 else STREAMS)
+            def step_on(most_streams: int = STREAMS) -> None:
+                """Learn from what is held; what does not fill the streams is held on."""
+                nonlocal taken, size
+                whole = np.concatenate(held)
+                used = train(own, whole, memory=own_squares, most_streams=most_streams)
+                held[:] = [whole[used:]]
+                taken, size = taken + used, size - used
 
             for batch in batches:
                 for raw in batch.column("tokens"):
@@ -426,11 +444,9 @@ def _trained(docs: DataFrame, vocabulary: pa.Array, known: np.ndarray) -> Networ
                     size += len(held[-1])
                     if size >= HELD_TOKENS:
                         step_on()
-                        taken, size = taken + size, 0
-                        held[1:] = []
             if size:
                 step_on()
-                taken += size
+                step_on(1)
             if not taken:
                 return
             for part, values in enumerate([*own.parts(), *own_squares]):
