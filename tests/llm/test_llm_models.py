@@ -209,10 +209,10 @@ def test_mixture_has_the_smallest_residual(spark, shape):
 
 def test_mixture_that_can_be_met_is_met(spark):
     tokens, chances, members = members_of(spark, 5, ([1, 1, 1], 0.0))
-    for share in (0.3, 0.15):
-        found = mixing.fit(members, np.array([6.0, 2.0, 2.0]), mixing.Settings(budget_share=share))
+    for share in (0.6, 0.3):
+        found = mixing.fit(members, np.array([4.0, 3.0, 3.0]), mixing.Settings(budget_share=share))
         assert np.abs(found.totals - found.targets).max() < 1e-4 * found.targets.sum()
-        assert np.allclose(found.totals / found.totals.sum(), [0.6, 0.2, 0.2], atol=1e-4)
+        assert np.allclose(found.totals / found.totals.sum(), [0.4, 0.3, 0.3], atol=1e-4)
 
 
 def test_mixture_of_domains_that_cannot_be_told_apart(spark):
