@@ -1,4 +1,9 @@
-"""A corpus from raw documents: language, quality, near copies, mixture, tokens."""
+"""A corpus from raw documents: language, quality, near copies, mixture, tokens.
+
+Null, empty and wordless texts have no language and go with the first stage; repeated rows and copies are one document after
+the third; rows without an id are judged like others. Columns beside those that a stage reads stay, whatever their names.
+An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +13,9 @@ from kindred.llm import language_id, mixing, neardup, pieces, quality_classifier
 from kindred.llm.common import table
 from kindred.runtime import stored
 
+# Token shares of the corpus: nothing of poor quality is wanted, and less of toxic texts than there are.
+WEIGHTS = {"good": 0.95, "poor": 0.0, "toxic": 0.05}
+
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.keep_identified(docs)
@@ -22,7 +30,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def by_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.draw(docs, table(spark, sf_dir, "labels"))
+    return mixing.draw(docs, table(spark, sf_dir, "labels"), WEIGHTS)
 
 
 def into_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
