@@ -141,7 +141,8 @@ def _gamma_quantiles() -> np.ndarray:
 def samples(hashes: np.ndarray, log_weights: np.ndarray, offsets: np.ndarray, count: int) -> np.ndarray:
     """Sample identities (texts x count) of texts whose shingles lie between offsets; none may be empty."""
     gamma = _gamma_quantiles()
-    tables = gamma, np.log(gamma)
+    tables = gamma.astype(np.float32), np.log(gamma).astype(np.float32)
+    log_weights = log_weights.astype(np.float32)
     out = np.zeros((len(offsets) - 1, count), np.uint64)
     # Runs of texts that the processor's caches hold.
     run = offsets[:-1] // RUN_SHINGLES
@@ -156,15 +157,13 @@ def samples(hashes: np.ndarray, log_weights: np.ndarray, offsets: np.ndarray, co
 def _samples_of_run(
     hashes: np.ndarray, log_weights: np.ndarray, offsets: np.ndarray, count: int, gamma: np.ndarray, log_gamma: np.ndarray
 ) -> np.ndarray:
-    low = np.uint64(0xFFFF)
     sizes = np.diff(offsets)
     out = np.zeros((len(sizes), count), np.uint64)
     for sample in range(count):
         # Three independent draws of each shingle, the same in every text that holds it.
-        draw = mixed(hashes ^ mixed(np.array([sample + 1]))[0])
-        r = gamma[(draw & low).astype(np.int64)]
-        log_c = log_gamma[((draw >> np.uint64(16)) & low).astype(np.int64)]
-        beta = ((draw >> np.uint64(32)) & low).astype(np.float64) / 65_536
+        draw = mixed(hashes ^ mixed(np.array([sample + 1]))[0]).astype("<u8", copy=False).view("<u2").reshape(-1, 4)
+        r, log_c = gamma[draw[:, 0]], log_gamma[draw[:, 1]]
+        beta = draw[:, 2].astype(np.float32) / np.float32(65_536)
         t = np.floor(log_weights / r + beta)
         log_a = log_c - r * (t - beta + 1)
         least = np.minimum.reduceat(log_a, offsets[:-1])
@@ -337,7 +336,7 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
     met = entries.join(shared, "bucket")
     parts = F.ceil(F.col("n") / F.lit(BUCKET_MEMBERS)).cast("int")
     dealt = _in_pairs(met.withColumn("at", F.pmod(F.xxhash64("key"), parts).cast("int")), parts)
-    rows = dealt.join(nodes.select("key", "samples"), "key")
+    rows = dealt.join(nodes.select("key", "samples").hint("merge"), "key")
     return in_cells(rows, ["bucket", "i", "j"], ["samples"], likely_links)
 
 
@@ -368,12 +367,13 @@ def verified_links(nodes: DataFrame, docs: DataFrame, idf: np.ndarray, least: fl
     """Links (a, b) that join all texts of similarity `least`; nodes: key, words, bands, samples of different texts."""
     group = components(candidate_links(nodes)).withColumnsRenamed({"node": "key", "label": "group"})
     known = stored(group.join(nodes.select("key", "words", "samples"), "key"), "grouped")
-    texts = texts_by_key(docs).join(known.select("key"), "key", "left_semi")
+    # Merged at every size: what is known is in proportion to the documents.
+    texts = texts_by_key(docs).join(known.select("key").hint("merge"), "key", "left_semi")
     texts = texts.groupBy("key").agg(F.first("text").alias("text"))
     sizes = known.groupBy("group").agg(F.count("*").alias("n"), F.sum("words").alias("words"))
     parts = F.greatest(F.ceil(F.col("n") / F.lit(GROUP_MEMBERS)), F.ceil(F.col("words") / F.lit(GROUP_WORDS))).cast("int")
     sizes = stored(sizes.select("group", parts.alias("parts")), "sizes")
-    members = stored(known.drop("words").join(sizes, "group").join(texts, "key"), "members")
+    members = stored(known.drop("words").join(sizes, "group").join(texts.hint("merge"), "key"), "members")
 
     # Each part by itself. The leaders, the same in all parts of a group, are the members with the smallest hashes.
     salt = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
