@@ -161,9 +161,9 @@ def _samples_of_run(
     out = np.zeros((len(sizes), count), np.uint64)
     for sample in range(count):
         # Three independent draws of each shingle, the same in every text that holds it.
-        draw = mixed(hashes ^ mixed(np.array([sample + 1]))[0]).astype("<u8", copy=False).view("<u2").reshape(-1, 4)
-        r, log_c = gamma[draw[:, 0]], log_gamma[draw[:, 1]]
-        beta = draw[:, 2].astype(np.float32) / np.float32(65_536)
+        draw = mixed(hashes ^ mixed(np.array([sample + 1]))[0]).view(np.int64)
+        r, log_c = np.take(gamma, draw & 0xFFFF, mode="clip"), np.take(log_gamma, (draw >> 16) & 0xFFFF, mode="clip")
+        beta = ((draw >> 32) & 0xFFFF).astype(np.float32) * np.float32(1 / 65_536)
         t = np.floor(log_weights / r + beta)
         log_a = log_c - r * (t - beta + 1)
         least = np.minimum.reduceat(log_a, offsets[:-1])
