@@ -273,11 +273,18 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark gives it: of its default file system, if it names none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    full = files.makeQualified(place).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes pages to archives in the shared folder and reads the records back."""
     spark = pages.sparkSession
-    folder = fresh_path(spark, "archives")
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    folder = qualified(spark, fresh_path(spark, "archives"))
     write(pages, folder)
     found = read(spark, folder)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -80,3 +80,17 @@ def test_size_bounds_lose_no_match():
         for other in range(1, 80):
             reachable = 2 * min(count, other) / (count + other) >= 0.8
             assert reachable == (low <= other <= high)
+
+
+def test_folders_have_the_scheme_that_spark_gives_them(spark, tmp_path):
+    assert warc.qualified(spark, f"{tmp_path}/a") == f"file://{tmp_path}/a"
+    assert warc.qualified(spark, f"file:{tmp_path}/a") == f"file://{tmp_path}/a"
+    # Another default file system: a path without a scheme lies there, as Spark's own tables do.
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    before = settings.get("fs.defaultFS")
+    settings.set("fs.defaultFS", "viewfs://store/")
+    settings.set("fs.viewfs.mounttable.store.link./shared", f"file://{tmp_path}")
+    try:
+        assert warc.qualified(spark, "/shared/a").startswith("viewfs://store")
+    finally:
+        settings.set("fs.defaultFS", before)
