@@ -25,8 +25,11 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from kindred.llm.common import code_points, in_batches, remainder, slices
 
 BUCKETS = 1 << 15
-# Bound of the training sample: at most so many documents of each language.
+# Bounds of the training sample: at most so many documents of each language, so many of all, and so many languages, those
+# with the most documents; rarer ones are not learned.
 SAMPLE_PER_LANGUAGE = 1000
+SAMPLE_ROWS = 40_000
+LANGUAGES = 200
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -98,10 +101,12 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _sample(labelled: DataFrame, per_language: int) -> DataFrame:
-    """At most per_language rows of each language, those with the smallest hash of the id."""
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """At most per_language rows of each of the LANGUAGES most frequent languages, those with the smallest hash of the id."""
+    most = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in most.collect()}
     if not counts:
         return labelled.limit(0)
+    per_language = min(per_language, SAMPLE_ROWS // len(counts))
     # Far fewer rows reach the ranking below when only hashes that can win are let through.
     chance = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2.0 * per_language / n))])
     key = F.xxhash64(F.col("doc_id"), F.lit("language"))

@@ -91,8 +91,9 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
         .orderBy("_key", "doc_id", "_label")
         .limit(rows)
     )
-    # Bounded by `rows` narrow rows, so the texts need no shuffle.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("_key", "_label", "text")
+    # Bounded by `rows` narrow rows, so only the texts of the sample are shuffled; an id that many rows share has one text.
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return met.groupBy("doc_id", "_key", "_label").agg(F.min("text").alias("text")).select("_key", "_label", "text")
 
 
 def _learn(examples: list, classes: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:

@@ -242,3 +242,25 @@ def test_mixing_every_row(corpus, marks):
     assert drawn.columns == corpus.columns
     assert drawn.count() == sum(r["copies"] for r in rows)
     assert mixing.rates(corpus.limit(0), marks).count() == 0
+
+
+def test_rare_languages_are_not_learned(spark, monkeypatch):
+    from llm_corpus import prose
+
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 20)
+    rows = [(i, prose(i, 60, "de" if i % 2 else "en"), "de" if i % 2 else "en") for i in range(60)]
+    rows += [(100 + i, prose(i, 60), f"x{i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language_id._sample(docs, 1000).collect()
+    assert {r["lang"] for r in sample} == {"de", "en"} and len(sample) <= 20
+    assert {r["lang_pred"] for r in language_id.identify(docs).collect()} <= {"de", "en"}
+
+
+def test_an_id_of_many_rows_is_one_example(spark):
+    from kindred.llm import quality_classifier
+
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1), (4, 1)], "doc_id long, label int")
+    sample = quality_classifier._sample(docs, labels, 100).collect()
+    assert sorted((r["_label"], r["text"]) for r in sample if r["text"]) == [(0, "other"), (1, "text 0")] and len(sample) == 3
