@@ -179,6 +179,12 @@ def channel_overlap_topn(t):
 
 @query
 def hamming_topk(t):
+    return search.hamming_topk(*_searched(t), k=20)
+
+
+@query
+def near_signatures(t):
+    """The same by rounds of equal parts, which small tables do not need."""
     return search.hamming_topk(*_searched(t), k=20, least_pairs=0)
 
 

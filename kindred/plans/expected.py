@@ -320,6 +320,8 @@ SQL: dict[str, str] = {
         ranked("shared", "near", 30, "found"), select='SELECT grp AS "group", query, id, rank, shared FROM found'),
     "hamming_topk": with_all(selection(20), BITS, PACKED, PAIRS, distances("pairs", "d"), ranked("distance", "d", 20, "found", ascending=True),
         select='SELECT grp AS "group", query, id, rank, distance FROM found'),
+    "near_signatures": with_all(selection(20), BITS, PACKED, PAIRS, distances("pairs", "d"), ranked("distance", "d", 20, "found", ascending=True),
+        select='SELECT grp AS "group", query, id, rank, distance FROM found'),
     "rerank_cosine": with_all(selection(20), BITS, PACKED, PAIRS, distances("pairs", "d"), ranked("distance", "d", 20, "near", ascending=True),
         "short AS (SELECT grp, query, id, sim FROM near)", ranked("sim", "short", 10, "found"), select=NEIGHBOURS.format("found")),
     "hamming_candidates": with_all(selection(20), BITS, PACKED, PAIRS, select="""SELECT p.grp AS "group", p.query,
