@@ -42,6 +42,8 @@ WEIGHTS = {"good": 0.9, "poor": 0.03, "toxic": 0.07}
 # Cells of the summary, and the pull to the first rates (a share of all tokens).
 CELLS = 4096
 PULL = 1e-6
+# A step over all rows that brings what is left down by less than this share is the last.
+STEP_GAIN = 0.02
 
 
 @dataclass
@@ -90,9 +92,11 @@ def descend(
     start: np.ndarray,
     steps: int,
     tolerance: float,
+    gain: float = 1e-6,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Multipliers at the end of the steps, and the totals there. sums gives the totals and the Gram matrix of the rows that
-    can still move for some multipliers. The end is where the residual equals the pull to the first rates."""
+    can still move for some multipliers. The end is where the residual equals the pull to the first rates; a step
+    that lowers what is left by less than the share `gain` is the last."""
 
     def left(multipliers: np.ndarray, totals: np.ndarray) -> np.ndarray:
         return targets - totals - pull * multipliers
@@ -107,12 +111,15 @@ def descend(
         while True:
             tried = at + length * move
             reached, reached_gram = sums(tried)
-            if np.linalg.norm(left(tried, reached)) < (1 - 1e-4 * length) * size:
+            now = np.linalg.norm(left(tried, reached))
+            if now < size:
                 at, totals, gram = tried, reached, reached_gram
                 break
             length /= 4
-            if length < 1e-6:
+            if length < gain:
                 return at, totals
+        if now > (1 - gain) * size:
+            break
     return at, totals
 
 
@@ -183,7 +190,8 @@ def fit(members: DataFrame, weights: np.ndarray, settings: Settings) -> Fit:
     # The summary's solution is where the steps over all rows begin.
     bounds = (targets, PULL * whole)
     start, _ = descend(cell_sums(tokens, chances, first, most), *bounds, np.zeros(count), 200, settings.tolerance)
-    found, totals = descend(table_sums(members, count, first, most), *bounds, start, settings.steps, settings.tolerance)
+    sums = table_sums(members, count, first, most)
+    found, totals = descend(sums, *bounds, start, settings.steps, settings.tolerance, STEP_GAIN)
     return Fit(targets, totals, first, found)
 
 
