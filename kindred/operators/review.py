@@ -6,13 +6,13 @@ selections: query_id, selected_image_ids, completed_at, one row per query.
 submissions: submission_id, query_id, selected_image_ids, completed_at.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.constants import MAX_SELECTED, MIN_SELECTED
 from kindred.functions import text
 from kindred.operators.positions import numbered
-from kindred.operators.skew import join_unique
+from kindred.operators.skew import HOT_ROWS, hot_keys_and_nulls, join_unique
 
 
 def query_list(queries: DataFrame, selections: DataFrame) -> DataFrame:
@@ -62,37 +62,66 @@ def query_detail(
     )
 
 
-def validate(submissions: DataFrame, candidates: DataFrame) -> DataFrame:
+def validate(submissions: DataFrame, candidates: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every submission with its valid ids in submitted order and whether their number is allowed.
 
-    Valid ids are candidates of the query, each once at its first mention. Repeats are dropped inside the
-    submitted list, so one join and one grouping remain; lists stay as short as the submitted ones.
+    Valid ids are candidates of the query, each once at its first mention. Submissions and candidates move once, to where their
+    query is, the submissions as lists; ids are looked up there by a sort, so a task holds no list longer than the submitted
+    ones. Queries with at least hot_rows submissions are matched by query and id, which spreads them over all tasks, and so are
+    as many submissions without a query.
     Result: submission_id, query_id, completed_at, selected_image_ids, valid_ids, accepted.
     """
-    mentioned = submissions.select(
-        "submission_id",
-        "query_id",
-        "completed_at",
-        F.posexplode_outer(F.array_distinct("selected_image_ids")).alias("position", "image_uuid"),
-    )
-    shown = candidates.select("query_id", "image_uuid", F.lit(True).alias("shown"))
-    checked = mentioned.join(shown, ["query_id", "image_uuid"], "left")
-    entry = F.when(F.col("shown"), F.struct("position", "image_uuid"))
+    key = ["submission_id", "query_id", "completed_at"]
+    given = submissions.select(*key, F.array_distinct("selected_image_ids").alias("ids"))
+    shown = candidates.select("query_id", "image_uuid").dropna()
+    hot, nulls = hot_keys_and_nulls(submissions, "query_id", hot_rows)
+    if hot or nulls >= hot_rows:
+        is_hot = F.when(F.col("query_id").isNull(), nulls >= hot_rows).otherwise(F.col("query_id").isin(hot))
+        found = _found_at_query(given.filter(~is_hot), shown.filter(~is_hot)).unionByName(
+            _found_by_pair(given.filter(is_hot), shown.filter(is_hot))
+        )
+    else:
+        found = _found_at_query(given, shown)
     valid = F.size("selected_image_ids")
     return (
-        checked.groupBy("submission_id", "query_id", "completed_at")
-        .agg(F.array_sort(F.array_distinct(F.collect_list(entry))).alias("kept"))
-        .select(
-            "submission_id",
-            "query_id",
-            "completed_at",
-            F.transform("kept", lambda s: s["image_uuid"]).alias("selected_image_ids"),
-        )
+        found.select(*key, F.transform(F.array_sort(F.array_distinct("found")), lambda s: s["image_uuid"]).alias("selected_image_ids"))
         .withColumn("valid_ids", valid)
         .withColumn("accepted", valid.between(MIN_SELECTED, MAX_SELECTED))
     )
 
 
+def _found_at_query(given: DataFrame, shown: DataFrame) -> DataFrame:
+    """submission_id, query_id, completed_at, found (position and id of the ids that are shown, in any order).
+
+    Everything of a query goes to one task, and stays there for what follows by query.
+    """
+    lists = given.withColumn("shown", F.lit(False))
+    singles = shown.select("query_id", F.array("image_uuid").alias("ids"), F.lit(True).alias("shown"))
+    met = lists.unionByName(singles, allowMissingColumns=True).repartition("query_id")
+    mentioned = met.select(
+        "submission_id", "query_id", "completed_at", "shown", F.posexplode_outer("ids").alias("position", "image_uuid")
+    )
+    any_shown = F.max("shown").over(Window.partitionBy("query_id", "image_uuid"))
+    checked = mentioned.withColumn("_found", any_shown).filter(~F.col("shown"))
+    # The first id, or the null of an empty list, stands for its submission, found or not.
+    needed = checked.filter(F.col("_found") | (F.coalesce("position", F.lit(0)) == 0))
+    return _gathered(needed, F.col("_found"))
+
+
+def _found_by_pair(given: DataFrame, shown: DataFrame) -> DataFrame:
+    """The same by a join on query and id: every id moves, but a query is spread over all tasks."""
+    mentioned = given.select(
+        "submission_id", "query_id", "completed_at", F.posexplode_outer("ids").alias("position", "image_uuid")
+    )
+    checked = mentioned.join(shown.withColumn("shown", F.lit(True)), ["query_id", "image_uuid"], "left")
+    return _gathered(checked, F.col("shown"))
+
+
+def _gathered(mentioned: DataFrame, found: Column) -> DataFrame:
+    entry = F.when(found, F.struct("position", "image_uuid"))
+    return mentioned.groupBy("submission_id", "query_id", "completed_at").agg(F.collect_list(entry).alias("found"))
+
+
 def latest(selections: DataFrame, *newest: str) -> DataFrame:
     """The newest row of each query; newest names the ordering columns, completed_at first."""
     order = Window.partitionBy("query_id").orderBy(*[F.desc(c) for c in newest])
@@ -112,21 +141,18 @@ def export_rows(queries: DataFrame, candidates: DataFrame, selections: DataFrame
 
     Answered queries without a matching candidate keep one row with null candidate columns.
     """
-    answered = selections.select("query_id", F.array_distinct("selected_image_ids").alias("ids"))
-    wanted = answered.select("query_id", F.explode("ids").alias("image_uuid"))
-    relevant = candidates.join(wanted, ["query_id", "image_uuid"], "left_semi")
-    answered_queries = (
-        queries.select(
-            "query_id",
-            "category",
-            F.col("image_uuid").alias("query_image_uuid"),
-            F.col("image_url").alias("query_image_url"),
-        )
-        .join(answered.select("query_id"), "query_id", "left_semi")
-    )
-    columns = [*answered_queries.columns, *[c for c in candidates.columns if c != "query_id"]]
-    # Hot keys are looked for among the candidates: the join above need not run for that.
-    return join_unique(answered_queries, relevant, "query_id", "left", base=candidates).select(*columns)
+    ids = selections.select("query_id", F.explode_outer("selected_image_ids").alias("id"))
+    lists = ids.groupBy("query_id").agg(F.collect_set("id").alias("ids"))
+    answered = queries.select(
+        "query_id",
+        "category",
+        F.col("image_uuid").alias("query_image_uuid"),
+        F.col("image_url").alias("query_image_url"),
+    ).join(lists, "query_id")
+    columns = [*[c for c in answered.columns if c != "ids"], *[c for c in candidates.columns if c != "query_id"]]
+    # Candidates move once, to their query's list.
+    chosen = F.array_contains("ids", F.col("image_uuid"))
+    return join_unique(answered, candidates, "query_id", "left", only=chosen).select(*columns)
 
 
 def navigation(queries: DataFrame) -> DataFrame:

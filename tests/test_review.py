@@ -233,3 +233,41 @@ def test_every_category_is_ordered(spark):
     )
     got = [r["query_id"] for r in review.navigation(more).orderBy("place").collect()]
     assert got == ["bag_00", "bag_01", "food_00", "clothes_00"]
+
+
+def _odd_submissions(spark):
+    """Repeated and empty lists, null ids, submissions without a query or an id, and a submission in two parts."""
+    rows = [(f"s{i}", "bag_00", [f"c{i % 25}", "x", f"c{i % 7}", None], NOON) for i in range(30)] + [
+        ("none", None, ["c1"], NOON), (None, "bag_00", ["c1", "c2"], NOON), ("null", "bag_00", None, NOON),
+        ("twice", "food_00", ["c1"], NOON), ("twice", "food_00", ["x", "c1"], NOON), ("bag_00", None, ["c1"], None),
+    ]
+    return spark.createDataFrame(rows, SUBMISSION)
+
+
+@pytest.mark.parametrize("hot_rows", [1, 5, 10**6])
+def test_validation_of_hot_queries(spark, hot_rows):
+    _, candidates, _ = tables(spark)
+    candidates = candidates.unionByName(candidates.withColumn("query_id", F.lit(None).cast("string"))).unionByName(candidates)
+    got = {r["submission_id"]: r for r in review.validate(_odd_submissions(spark), candidates, hot_rows).collect()}
+    assert len(got) == 30 + 5
+    for i in range(30):
+        wanted = list(dict.fromkeys(c for c in (i % 25, i % 7) if 1 <= c <= 21))
+        assert got[f"s{i}"]["selected_image_ids"] == [f"c{c}" for c in wanted]
+    assert got["none"]["valid_ids"] == got["null"]["valid_ids"] == got["bag_00"]["valid_ids"] == 0
+    assert got[None]["selected_image_ids"] == ["c1", "c2"]
+    assert got["twice"]["valid_ids"] == 2
+
+
+def test_submissions_move_once(spark):
+    _, candidates, _ = tables(spark)
+    validated = review.validate(_odd_submissions(spark), candidates)
+    plan = review.latest(validated.filter("accepted"), "completed_at", "submission_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_candidates_of_an_export_move_once(spark):
+    queries, candidates, selections = tables(spark)
+    plan = review.export_rows(queries, candidates, selections.unionByName(selections)).hint("shuffle_merge")
+    plan = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and plan.count("Join") == 2
+    assert review.export_rows(queries, candidates, selections.unionByName(selections)).count() == 2

@@ -99,3 +99,15 @@ def test_rows_numbered_as_they_are_stored(spark, tmp_path):
     assert sorted(r["position"] for r in table.collect()) == list(range(1000))
     plan = table._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("min_rows", [1, 50, 10**6])
+def test_join_unique_with_a_condition(spark, how, min_rows):
+    many = spark.createDataFrame([(1, i) for i in range(100)] + [(2, 0), (None, 5), (9, 1)], "k int, v int")
+    one = spark.createDataFrame([(1, [3, 5]), (2, [7]), (3, [0]), (None, [5])], "k int, w array<int>")
+    key = lambda df: sorted(map(repr, df.select("k", "v", "w").collect()))
+    got = join_unique(one, many, "k", how, min_rows, only=F.array_contains("w", F.col("v")))
+    plain = one.join(many, "k").filter(F.array_contains("w", F.col("v")))
+    alone = one.filter("k is null or k > 1").withColumn("v", F.lit(None).cast("int"))
+    assert key(got) == key(plain.unionByName(alone) if how == "left" else plain)
