@@ -1,5 +1,6 @@
 """Every operator as a query over one data folder."""
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -474,24 +475,20 @@ def gt_status(t):
     return review.status(derived.queries(t), derived.stored_selections(t)).withColumn("percent", F.round("percent", 6))
 
 
-def _validated(t: Tables) -> DataFrame:
-    return review.validate(derived.submissions(t), derived.candidates(t))
-
-
 @query
 def selection_validate(t):
-    return _validated(t).select(
+    return review.validate(derived.submissions(t), derived.candidates(t)).select(
         "submission_id", "query_id", listed("selected_image_ids").alias("selected"), "valid_ids", "accepted"
     )
 
 
-def _upserted(t: Tables) -> DataFrame:
-    return review.upsert(derived.stored_selections(t), _validated(t))
+def _upserted(t: Tables, candidates: DataFrame) -> DataFrame:
+    return review.upsert(derived.stored_selections(t), review.validate(derived.submissions(t), candidates))
 
 
-def _selections(t: Tables) -> DataFrame:
+def _selections(t: Tables, candidates: DataFrame) -> DataFrame:
     """The selection snapshot that the review reads."""
-    return stored(_upserted(t), "selections")
+    return stored(_upserted(t, candidates), "selections")
 
 
 def _candidates(t: Tables) -> DataFrame:
@@ -501,7 +498,7 @@ def _candidates(t: Tables) -> DataFrame:
 
 @query
 def selection_upsert(t):
-    return _upserted(t).select(
+    return _upserted(t, derived.candidates(t)).select(
         "query_id",
         listed("selected_image_ids").alias("selected"),
         text.iso_text(F.col("completed_at")).alias("completed_at"),
@@ -510,12 +507,14 @@ def selection_upsert(t):
 
 @query
 def gt_query_detail(t):
-    return review.query_detail(derived.queries(t), _candidates(t), _selections(t))
+    candidates = _candidates(t)
+    return review.query_detail(derived.queries(t), candidates, _selections(t, candidates))
 
 
 @query
 def gt_export(t):
-    return review.export_rows(derived.queries(t), _candidates(t), _selections(t))
+    candidates = _candidates(t)
+    return review.export_rows(derived.queries(t), candidates, _selections(t, candidates))
 
 
 @query
@@ -538,10 +537,12 @@ def similarity_percent(t):
 @query
 def stream_selection_upsert(t):
     base = fresh_path(t.spark, "intake")
-    tasks = t.spark.sparkContext.defaultParallelism
-    derived.submissions(t).repartition(2 * tasks).write.parquet(f"{base}/submissions")
-    shape = derived.submissions(t).schema
-    arriving = t.spark.readStream.schema(shape).option("maxFilesPerTrigger", tasks).parquet(f"{base}/submissions")
+    submissions, half = derived.submissions(t), F.pmod(F.xxhash64("submission_id"), F.lit(2))
+    for arrival in (0, 1):
+        submissions.filter(half == arrival).write.mode("append").parquet(f"{base}/submissions")
+    # Two batches, however many files there are.
+    files_of_batch = math.ceil(len(t.spark.read.parquet(f"{base}/submissions").inputFiles()) / 2)
+    arriving = t.spark.readStream.schema(submissions.schema).option("maxFilesPerTrigger", files_of_batch).parquet(f"{base}/submissions")
     intake = selection_stream.start_intake(arriving, derived.candidates(t), f"{base}/accepted", f"{base}/state")
     intake.awaitTermination()
     current = selection_stream.current_selections(t.spark, f"{base}/accepted")
