@@ -30,6 +30,7 @@ from kindred.runtime import fresh_path, stored
 from kindred.sinks import dataset as dataset_sinks
 from kindred.sinks import documents as document_sinks
 from kindred.sinks import features as feature_sinks
+from kindred.sinks import files as file_sinks
 from kindred.sinks.store import FeatureStore
 from kindred.sources import documents, features, files, images, labels
 from kindred.streaming import extraction as extraction_stream
@@ -840,26 +841,20 @@ def class_distribution(t):
     return dataset.class_distribution(labels.read_label_lines(t.spark, f"{root}/*"))
 
 
-def _supplier_files(t: Tables, path: str, rows: DataFrame) -> None:
-    """One file per row."""
-    spread = rows.repartition(t.spark.sparkContext.defaultParallelism)
-    spread.write.option("maxRecordsPerFile", 1).text(path)
-
-
 @query
 def split_file_counts(t):
     root = fresh_path(t.spark, "dataset")
     for split, of_split in (("val", F.col("s_nationkey") < 5), ("train", F.col("s_nationkey") >= 5)):
         rows = t.supplier.filter(of_split)
-        _supplier_files(t, f"{root}/images/{split}", rows.select("s_name"))
-        _supplier_files(t, f"{root}/labels/{split}", rows.filter(F.col("s_acctbal") > 0).select("s_name"))
+        file_sinks.write_each(rows.select("s_name"), f"{root}/images/{split}")
+        file_sinks.write_each(rows.filter(F.col("s_acctbal") > 0).select("s_name"), f"{root}/labels/{split}")
     return dataset.split_file_counts(labels.read_split_files(t.spark, root))
 
 
 @query
 def scan_image_files(t):
     path = fresh_path(t.spark, "files")
-    _supplier_files(t, path, t.supplier.select("s_name"))
+    file_sinks.write_each(t.supplier.select("s_name"), path)
     return images.read_image_files(t.spark, path).groupBy("ext").agg(F.count_distinct("stem").alias("files"))
 
 
@@ -871,7 +866,7 @@ def scan_labelme(t):
     document = F.struct(
         F.lit(300).alias("imageWidth"), F.col("s_nationkey").alias("imageHeight"), F.array(shape).alias("shapes")
     )
-    _supplier_files(t, path, t.supplier.select(F.to_json(document).alias("value")))
+    file_sinks.write_each(t.supplier.select(F.to_json(document).alias("value")), path)
     read = labels.read_labelme(t.spark, path)
     y1 = F.col("shapes")[0]["points"][0][1]
     return read.select(

@@ -1,7 +1,11 @@
 import json
 from pathlib import Path
 
+import pytest
+
 from kindred.operators import dataset
+from kindred.plans import checks
+from kindred.sinks import files as file_sinks
 from kindred.sources import images, labels
 
 RECT = {"shape_type": "rectangle", "points": [[30.0, 40.0], [10.0, 20.0]]}
@@ -101,3 +105,30 @@ def test_image_match_prefers_jpg(spark):
     )
     got = {r["stem"]: r["ext"] for r in dataset.label_image_match(stems, found).collect()}
     assert got == {"a": ".jpg", "b": ".png", "c": None}
+
+
+def test_a_file_for_each_row_and_nothing_beside_it(spark, tmp_path):
+    rows = [("a b", ), ("a b", ), ("가방\r", ), ("", ), (None, )]
+    file_sinks.write_each(spark.createDataFrame(rows, "value string"), f"{tmp_path}/new folder+%20")
+    found = [p for p in (tmp_path / "new folder+%20").iterdir()]
+    assert sorted(p.read_bytes().decode() for p in found) == sorted(f"{v or ''}\n" for (v,) in rows)
+    assert all(p.suffix == ".txt" and not p.name.startswith((".", "_")) for p in found)
+    file_sinks.write_each(spark.createDataFrame([], "value string"), f"{tmp_path}/none")
+    assert images.read_image_files(spark, f"{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("name", ["split_file_counts", "scan_image_files", "scan_labelme"])
+def test_file_queries_make_one_file_a_row(spark, tmp_path, monkeypatch, name):
+    rows = [(i, f"Supplier {i}", i % 25, float(i % 3)) for i in range(60)] + [(60, None, 3, None)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(
+        f"{tmp_path}/supplier.parquet"
+    )
+    monkeypatch.setattr(checks, "fresh_path", lambda spark, of: f"{tmp_path}/made/{of}")
+    found = checks.all_queries()[name](spark, str(tmp_path)).collect()
+    # No checksum file beside any of them: a file and its permissions are made once.
+    made = [p for p in (tmp_path / "made").rglob("*") if p.is_file()]
+    assert len(made) == {"split_file_counts": 61 + 40, "scan_image_files": 61, "scan_labelme": 61}[name]
+    if name == "scan_labelme":
+        assert sorted(r["y1"] for r in found) == [float(i) for i in range(61)]
+    else:
+        assert sum(r["files"] for r in found) == len(made)
