@@ -7,8 +7,8 @@ those are more; any other word is predicted as unknown and then by its share of
 a probability. Its output is factored: first a class of words, then the word within the class.
 
 The network is trained on all training documents. Their token ids are stored in `ROUNDS` rounds; in a round each task
-learns from its own shard in numpy, by back-propagation truncated to windows of `WINDOW` steps, and weights are averaged
-by tokens before the next round. In scoring the hidden state goes on from window to window, so the score of a document is
+learns from its own shard in numpy, by back-propagation truncated to windows of `WINDOW` steps, and what the shards have changed
+is averaged by tokens before the next round; on its way there a change has 16 bits. In scoring the hidden state goes on from window to window, so the score of a document is
 the log-likelihood of the whole of it.
 
 Scoring is one map. Frequent words (at most `FREQUENT`, found by a histogram of the counts) are looked up in the task; the
@@ -51,10 +51,10 @@ ROUNDS = 3
 SHARD_TOKENS = 200_000
 # Tokens a task holds at a time.
 HELD_TOKENS = 2_000_000
-# Bytes of one piece of the weights on its way to their average.
-PIECE_BYTES = 1 << 16
-PIECES = pa.schema([("part", pa.int32()), ("place", pa.int32()), ("tokens", pa.int64()), ("weights", pa.binary())])
-PIECES_SQL = "part int, place int, tokens long, weights binary"
+# Values in one piece of a round's changes on its way to their average.
+PIECE = 1 << 14
+PIECES = pa.schema([("part", pa.int32()), ("place", pa.int32()), ("tokens", pa.int64()), ("scale", pa.float64()), ("changes", pa.binary())])
+PIECES_SQL = "part int, place int, tokens long, scale double, changes binary"
 # Bound of the words that every task knows.
 FREQUENT = 200_000
 # Tokens that a task scores together; texts of one such group are stepped through side by side.
@@ -368,24 +368,38 @@ def _vocabulary(frequent: list[tuple[str, int]], counts: Counts) -> tuple[pa.Arr
     return pa.array([w for w, _ in top], pa.string()), known
 
 
-def _averaged(pieces: DataFrame) -> tuple[list[np.ndarray], int]:
-    """Arrays (float32, flat) averaged over the shards' pieces (part, place, tokens, weights), by tokens; all tokens."""
+def _pieces(arrays: list[np.ndarray], tokens: int):
+    """Pieces (PIECES) of arrays: 16 bits a value, as shares of the largest one in the piece."""
+    for part, values in enumerate(arrays):
+        flat = values.ravel()
+        for place, at in enumerate(range(0, len(flat), PIECE)):
+            piece = flat[at : at + PIECE].astype(np.float64)
+            scale = float(np.abs(piece).max()) or 1.0
+            shares = (piece / scale).astype(np.float16).tobytes()
+            row = {"part": part, "place": place, "tokens": tokens, "scale": scale, "changes": shares}
+            yield pa.RecordBatch.from_pylist([row], PIECES)
+
+
+def _averaged(pieces: DataFrame, roots: int) -> tuple[list[np.ndarray], int]:
+    """Arrays (float32, flat) averaged over the shards' pieces, by tokens; all tokens. From part `roots` on, squares are averaged."""
 
     def add(batches):
         held: dict[tuple[int, int], list] = {}
         for batch in batches:
             for row in batch.to_pylist():
                 kept = held.setdefault((row["part"], row["place"]), [0, 0.0])
+                values = np.frombuffer(row["changes"], np.float16).astype(np.float64) * row["scale"]
                 kept[0] += row["tokens"]
-                kept[1] = kept[1] + row["tokens"] * np.frombuffer(row["weights"], np.float32).astype(np.float64)
+                kept[1] = kept[1] + row["tokens"] * (values * values if row["part"] >= roots else values)
         for (part, place), (tokens, total) in held.items():
-            yield pa.RecordBatch.from_pylist(
-                [{"part": part, "place": place, "tokens": tokens, "weights": (total / tokens).astype(np.float32).tobytes()}],
-                PIECES,
+            own = pa.array([(total / tokens).astype(np.float32).tobytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([place], pa.int32()), pa.array([tokens], pa.int64()), own],
+                ["part", "place", "tokens", "mean"],
             )
 
     dealt = pieces.repartition("part", "place")
-    rows = sorted(map(tuple, in_batches(dealt, add, PIECES_SQL).collect()))
+    rows = sorted(map(tuple, in_batches(dealt, add, "part int, place int, tokens long, mean binary").collect()))
     arrays = [
         np.concatenate([np.frombuffer(raw, np.float32) for at, _, _, raw in rows if at == part])
         for part in sorted({row[0] for row in rows})
@@ -449,21 +463,17 @@ def _trained(docs: DataFrame, vocabulary: pa.Array, known: np.ndarray) -> Networ
                 step_on(1)
             if not taken:
                 return
-            for part, values in enumerate([*own.parts(), *own_squares]):
-                raw = values.tobytes()
-                for place, at in enumerate(range(0, len(raw), PIECE_BYTES)):
-                    yield pa.RecordBatch.from_pylist(
-                        [{"part": part, "place": place, "tokens": taken, "weights": raw[at : at + PIECE_BYTES]}],
-                        PIECES,
-                    )
+            # What the round has changed. Squares only grow; their roots span fewer magnitudes.
+            moved = [now - was for now, was in zip(own.parts(), start)]
+            grown = [np.sqrt(np.maximum(now - was, 0)) for now, was in zip(own_squares, squares)]
+            yield from _pieces(moved + grown, taken)
 
         # Merged without a shuffle; files that are fewer than the shards are shards themselves.
         own_turn = table.filter(F.col("turn") == turn).select("tokens").coalesce(shards)
-        found, taken = _averaged(in_batches(own_turn, learn, PIECES_SQL))
+        found, taken = _averaged(in_batches(own_turn, learn, PIECES_SQL), len(start))
         if found:
-            shapes = [p.shape for p in net.parts()]
-            arrays = [a.reshape(shape) for a, shape in zip(found, shapes + shapes)]
-            net, memory = Network(*arrays[: len(shapes)], net.learned + taken), arrays[len(shapes) :]
+            arrays = [was + change.reshape(was.shape) for was, change in zip([*start, *squares], found)]
+            net, memory = Network(*arrays[: len(start)], net.learned + taken), arrays[len(start) :]
     return net
 
 

@@ -109,6 +109,21 @@ def test_network_learns_from_every_training_token_and_its_vocabulary_grows(spark
     assert after > before
 
 
+def test_changes_travel_in_two_bytes_and_their_average_is_near(spark):
+    draw = np.random.default_rng(5)
+    moved = [draw.normal(size=(300, 72)).astype(np.float32) * size for size in (1e-9, 0.3, 4e4)]
+    moved[1][::7] *= 1e-4
+    grown = [np.abs(m) for m in moved]
+    pieces = [r for k in (1, 3) for b in language_model._pieces([k * m for m in moved + grown], 10 * k) for r in b.to_pylist()]
+    # As floats the two shards' pieces would have 4 bytes a value.
+    assert sum(len(r["changes"]) for r in pieces) == 2 * 2 * sum(m.size for m in moved + grown)
+    found, tokens = language_model._averaged(spark.createDataFrame(pieces, language_model.PIECES_SQL).repartition(3), 3)
+    assert tokens == 40
+    for got, mean in zip(found, [2.5 * m for m in moved] + [7 * m.astype(float) ** 2 for m in moved]):
+        assert np.allclose(got, mean.ravel(), rtol=2e-3, atol=1e-6 * np.abs(mean).max())
+    assert language_model._averaged(spark.createDataFrame([], language_model.PIECES_SQL), 3) == ([], 0)
+
+
 def test_model_of_an_empty_table(corpus):
     assert language_model.score(corpus.limit(0)).count() == 0
 
