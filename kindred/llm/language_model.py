@@ -57,6 +57,14 @@ PIECES = pa.schema([("part", pa.int32()), ("place", pa.int32()), ("tokens", pa.i
 PIECES_SQL = "part int, place int, tokens long, scale double, changes binary"
 # Bound of the words that every task knows.
 FREQUENT = 200_000
+# Outputs held at a time, so that they stay in a core's cache, and how large they may get before the largest is taken off.
+CACHED = 1 << 16
+SAFE = 60.0
+# Rows of one word from which on they are added up apart.
+LONG = 24
+# Documents that are scored side by side, and tokens of one of their windows.
+BESIDE = 1024
+BESIDE_TOKENS = 1 << 16
 # Tokens that a task scores together; texts of one such group are stepped through side by side.
 GROUP_TOKENS = 1_500_000
 
@@ -172,40 +180,97 @@ class Network:
         return [self.inputs, self.recurrent, self.class_weights, self.class_bias, self.word_weights, self.word_bias]
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _order(ids: np.ndarray) -> np.ndarray:
+    """Stable order of ids; those of 16 bits are sorted by digits."""
+    return np.argsort(ids.astype(np.uint16) if len(ids) and ids.max() < 1 << 16 else ids, kind="stable")
 
 
-def _chosen(hidden: np.ndarray, weights: np.ndarray, bias: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Log-probability of the chosen output of each row, in slices of bounded memory."""
-    out, rows = np.empty(len(which), np.float32), max(1, 1_000_000 // len(bias))
+def _joined(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Weights with the bias as last column, for states with a one behind them."""
+    return np.concatenate([weights, bias[..., None]], axis=-1)
+
+
+def _bounded(joined: np.ndarray) -> np.ndarray:
+    """Whether the outputs can be raised as they are: states lie between -1 and 1, so that weights bound them."""
+    return (np.abs(joined) @ np.ones(joined.shape[-1], np.float32)).max(-1) < SAFE
+
+
+def _raised(given: np.ndarray, joined: np.ndarray, bounded: bool) -> np.ndarray:
+    """Unnormalised logits of the rows; the largest is taken off where they are not bounded."""
+    outputs = given @ joined.T
+    if not bounded:
+        outputs -= outputs.max(-1, keepdims=True)
+    return outputs
+
+
+def _chosen(given: np.ndarray, joined: np.ndarray, bounded: bool, which: np.ndarray) -> np.ndarray:
+    """Log-probability of the chosen output of each row, in slices that stay in the cache."""
+    rows, ones = max(1, CACHED // len(joined)), np.ones(len(joined), np.float32)
+    out, each = np.empty(len(which), np.float32), np.arange(rows)
     for at in range(0, len(which), rows):
         part = slice(at, at + rows)
-        inner = hidden[part] @ weights.T
-        inner += bias
-        inner -= inner.max(-1, keepdims=True)
-        own = inner[np.arange(len(inner)), which[part]]
-        out[part] = own - np.log(np.exp(inner, out=inner).sum(-1))
+        outputs = _raised(given[part], joined, bounded)
+        own = outputs[each[: len(outputs)], which[part]]
+        out[part] = own - np.log(np.exp(outputs, out=outputs) @ ones)
     return out
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """Probabilities of each row, in the place of x."""
-    x -= x.max(-1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(-1, keepdims=True)
-    return x
+def _errors(given: np.ndarray, joined: np.ndarray, bounded: bool, which: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Gradient of joined weights in the loss of the chosen outputs; that of the states is written to `back`.
+
+    Products are taken of the raised outputs, and the few columns beside them are divided by their sums.
+    """
+    rows, ones = max(1, CACHED // len(joined)), np.ones(len(joined), np.float32)
+    total, each = 0, np.arange(rows)
+    for at in range(0, len(which), rows):
+        part = slice(at, at + rows)
+        outputs = _raised(given[part], joined, bounded)
+        np.exp(outputs, out=outputs)
+        sums = outputs @ ones
+        outputs[each[: len(outputs)], which[part]] -= sums
+        shares = np.reciprocal(sums, out=sums)[:, None]
+        np.multiply(outputs @ joined[:, :-1], shares, out=back[part])
+        total = total + outputs.T @ (given[part] * shares)
+    return total
+
+
+def _added(rows: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of rows[order] over the ranges that begin at `first`: long ranges one by one, all others row by row together."""
+    counts = np.diff(first, append=len(order))
+    by_count = np.argsort(-counts, kind="stable")
+    falling, at = -counts[by_count], first[by_count]
+    long = int(np.searchsorted(falling, -LONG, side="right"))
+    sums = rows.take(order[at], axis=0)
+    for i in range(long):
+        sums[i] = np.ones(-falling[i], np.float32) @ rows.take(order[at[i] : at[i] - falling[i]], axis=0)
+    for k in range(1, LONG):
+        more = int(np.searchsorted(falling, -k, side="left"))
+        sums[long:more] += rows.take(order[at[long:more] + k], axis=0)
+    out = np.empty_like(sums)
+    out[by_count] = sums
+    return out
 
 
-def step(net: Network, state: np.ndarray, before: np.ndarray):
-    """The next state from the state and the words before; a document starts from zero behind an end token."""
-    state = state * (before != END)[:, None]
-    given, kept = net.inputs[before], state @ net.recurrent
-    gates = _sigmoid(given[:, : 2 * HIDDEN] + kept[:, : 2 * HIDDEN])
-    update, reset = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    past = kept[:, 2 * HIDDEN :]
-    proposed = np.tanh(given[:, 2 * HIDDEN :] + reset * past)
-    return state + update * (proposed - state), (state, update, reset, past, proposed)
+def step(recurrent: np.ndarray, state: np.ndarray, given: np.ndarray, goes_on: np.ndarray):
+    """The next state from the state and the words before, one column each; a document starts from zero behind an end token.
+
+    `recurrent` is transposed, `given` holds the input rows of the words as columns, `goes_on` is 0 behind an end token.
+    """
+    state = state * goes_on
+    kept = recurrent @ state
+    gates = given[: 2 * HIDDEN] + kept[: 2 * HIDDEN]
+    np.exp(np.negative(gates, out=gates), out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    update, reset = gates[:HIDDEN], gates[HIDDEN:]
+    past = kept[2 * HIDDEN :]
+    proposed = reset * past
+    proposed += given[2 * HIDDEN :]
+    np.tanh(proposed, out=proposed)
+    moved = proposed - state
+    moved *= update
+    moved += state
+    return moved, (state, update, reset, past, proposed)
 
 
 def fresh_memory(net: Network) -> list[np.ndarray]:
@@ -240,112 +305,143 @@ def train(
     if steps < 1:
         return 0
     length = steps + 1
-    lanes = stream[np.arange(streams)[:, None] * steps + np.arange(length)]
+    lanes = stream[np.arange(length)[:, None] + np.arange(streams) * steps]
+    scale = np.float32(1 / streams)
+    class_joined, class_squares = _joined(net.class_weights, net.class_bias), _joined(memory[2], memory[3])
+    word_joined, word_squares = _joined(net.word_weights, net.word_bias), _joined(memory[4], memory[5])
 
-    def learn(at: int, gradient: np.ndarray, rows=slice(None)):
-        memory[at][rows] += gradient * gradient
-        parts[at][rows] -= rate * gradient / np.sqrt(memory[at][rows])
+    def learn(weights: np.ndarray, squares: np.ndarray, gradient: np.ndarray) -> None:
+        squares += gradient * gradient
+        gradient *= rate
+        gradient /= np.sqrt(squares)
+        weights -= gradient
 
     for _ in range(epochs):
-        state = np.zeros((streams, HIDDEN), np.float32)
+        state = np.zeros((HIDDEN, streams), np.float32)
         for start in range(0, length - 1, WINDOW):
             span = range(start, min(start + WINDOW, length - 1))
-            saved, states = [], []
-            for t in span:
-                state, tape = step(net, state, lanes[:, t])
+            before = lanes[span.start : span.stop]
+            goes_on = (before != END).astype(np.float32)
+            before = before.ravel()
+            given = np.ascontiguousarray(
+                net.inputs.take(before, axis=0).reshape(len(span), streams, 3 * HIDDEN).transpose(0, 2, 1)
+            )
+            recurrent = np.ascontiguousarray(net.recurrent.T)
+            saved, hidden = [], np.ones((len(span), streams, HIDDEN + 1), np.float32)
+            for i in range(len(span)):
+                state, tape = step(recurrent, state, given[i], goes_on[i])
                 saved.append(tape)
-                states.append(state)
-            hidden = np.concatenate(states)
-            target = lanes[:, span.start + 1 : span.stop + 1].T.ravel()
+                hidden[i, :, :-1] = state.T
+            hidden = hidden.reshape(-1, HIDDEN + 1)
+            target = lanes[span.start + 1 : span.stop + 1].ravel()
             group, place = np.divmod(target, per_class)
-            rows = np.arange(len(target))
-            class_error = _softmax(hidden @ net.class_weights.T + net.class_bias)
-            class_error[rows, group] -= 1
-            back = class_error @ net.class_weights
-            order = np.argsort(group, kind="stable")
+            back = np.empty((len(target), HIDDEN), np.float32)
+            class_back = _errors(hidden, class_joined, _bounded(class_joined), group, back)
+            order = _order(group)
             edges = np.searchsorted(group[order], np.arange(classes + 1))
-            weights_back = np.zeros_like(net.word_weights)
-            bias_back = np.zeros_like(net.word_bias)
+            hidden, place = hidden.take(order, axis=0), place[order]
+            word_back = np.empty_like(back)
+            bounded = _bounded(word_joined)
             for c in np.flatnonzero(np.diff(edges)):
-                own = order[edges[c] : edges[c + 1]]
-                given = hidden[own]
-                error = _softmax(given @ net.word_weights[c].T + net.word_bias[c])
-                error[np.arange(len(own)), place[own]] -= 1
-                back[own] += error @ net.word_weights[c]
-                weights_back[c] = error.T @ given
-                bias_back[c] = error.sum(0)
-            scale = np.float32(1 / streams)
+                own = slice(edges[c], edges[c + 1])
+                gradient = _errors(hidden[own], word_joined[c], bounded[c], place[own], word_back[own])
+                gradient *= scale
+                learn(word_joined[c], word_squares[c], gradient)
+            back[order] += word_back
+            back = np.ascontiguousarray(back.reshape(len(span), streams, HIDDEN).transpose(0, 2, 1))
             recurrent_back = np.zeros_like(net.recurrent)
-            ahead = np.zeros((streams, HIDDEN), np.float32)
-            inputs_back = np.empty((len(span), streams, 3 * HIDDEN), np.float32)
+            ahead = np.zeros((HIDDEN, streams), np.float32)
+            flow = given  # no longer needed: its place is taken by the gradients of the gates
             for i in reversed(range(len(span))):
                 past_state, update, reset, past, proposed = saved[i]
-                delta = back[i * streams : (i + 1) * streams] + ahead
-                raw = delta * update * (1 - proposed * proposed)
-                gates = np.concatenate(
-                    [
-                        delta * (proposed - past_state) * update * (1 - update),
-                        raw * past * reset * (1 - reset),
-                        raw * reset,
-                    ],
-                    axis=1,
-                )
-                recurrent_back += past_state.T @ gates
-                ahead = delta * (1 - update) + gates @ net.recurrent.T
-                ahead *= (lanes[:, span[i]] != END)[:, None]
-                gates[:, 2 * HIDDEN :] = raw
-                inputs_back[i] = gates
-            before = lanes[:, span.start : span.stop].T.ravel()
-            by_word = np.argsort(before, kind="stable")
-            first = np.flatnonzero(np.r_[True, np.diff(before[by_word]) != 0])
+                delta, gates = back[i], flow[i]
+                delta += ahead
+                raw = proposed * proposed
+                np.subtract(1, raw, out=raw)
+                raw *= update
+                raw *= delta
+                rest = 1 - update
+                own = np.subtract(proposed, past_state, out=gates[:HIDDEN])
+                own *= delta
+                own *= update
+                own *= rest
+                through = np.multiply(raw, reset, out=gates[2 * HIDDEN :])
+                own = np.multiply(through, past, out=gates[HIDDEN : 2 * HIDDEN])
+                own *= 1 - reset
+                recurrent_back += past_state @ gates.T
+                ahead = net.recurrent @ gates
+                rest *= delta
+                ahead += rest
+                ahead *= goes_on[i]
+                gates[2 * HIDDEN :] = raw
+            by_word = _order(before)
+            first = np.flatnonzero(np.diff(before[by_word], prepend=-1))
             seen = before[by_word[first]]
-            by_word = np.add.reduceat(inputs_back.reshape(-1, 3 * HIDDEN)[by_word], first)
-            learn(0, by_word * scale, seen)
-            learn(1, np.clip(recurrent_back * scale, -1, 1))
-            learn(2, class_error.T @ hidden * scale)
-            learn(3, class_error.sum(0) * scale)
-            used = np.flatnonzero(np.diff(edges))
-            learn(4, weights_back[used] * scale, used)
-            learn(5, bias_back[used] * scale, used)
+            gradient = _added(flow.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN), by_word, first)
+            gradient *= scale
+            rows, squares = net.inputs.take(seen, axis=0), memory[0].take(seen, axis=0)
+            learn(rows, squares, gradient)
+            net.inputs[seen], memory[0][seen] = rows, squares
+            learn(net.recurrent, memory[1], np.clip(recurrent_back * scale, -1, 1))
+            class_back *= scale
+            learn(class_joined, class_squares, class_back)
+    for at, joined in ((2, class_joined), (4, word_joined)):
+        parts[at][:], parts[at + 1][:] = joined[..., :-1], joined[..., -1]
+    for at, joined in ((2, class_squares), (4, word_squares)):
+        memory[at][:], memory[at + 1][:] = joined[..., :-1], joined[..., -1]
     return streams * steps
 
 
 def log10_likelihoods(net: Network, tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """log10 probability of each document's tokens; all documents step through their windows side by side."""
-    classes, per_class = net.word_bias.shape
+    """log10 probability of each document's tokens; documents of like length step through their windows side by side."""
+    class_joined, word_joined = _joined(net.class_weights, net.class_bias), _joined(net.word_weights, net.word_bias)
+    outputs = class_joined, _bounded(class_joined), word_joined, _bounded(word_joined)
     lengths = np.diff(offsets)
     order = np.argsort(-lengths, kind="stable")
-    lengths, starts = lengths[order], offsets[:-1][order]
+    out = np.zeros(len(lengths))
+    for at in range(0, len(order), BESIDE):
+        own = order[at : at + BESIDE]
+        out[own] = _log_likelihoods(net, outputs, tokens, offsets[own], lengths[own]) / np.log(10)
+    return out
+
+
+def _log_likelihoods(net: Network, outputs: tuple, tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Log probability of the documents' tokens, longest document first."""
+    class_joined, class_bounded, word_joined, word_bounded = outputs
+    classes, per_class = net.word_bias.shape
+    recurrent = np.ascontiguousarray(net.recurrent.T)
     total = np.zeros(len(lengths))
-    state = np.zeros((len(lengths), HIDDEN), np.float32)
+    state = np.zeros((HIDDEN, len(lengths)), np.float32)
     longest = int(lengths[0]) if len(lengths) else 0
     active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(longest), side="right")
     at = 0
     while at < longest:
         # Fewer documents go on to later windows, which may then be longer.
-        end = min(longest, at + max(WINDOW, 20_000 // max(int(active[at]), 1)))
-        states, targets, owners = [], [], []
+        end = min(longest, at + max(WINDOW, BESIDE_TOKENS // max(int(active[at]), 1)))
+        edges = np.concatenate([[0], np.cumsum(active[at:end])])
+        hidden = np.ones((edges[-1], HIDDEN + 1), np.float32)
+        target = np.empty(edges[-1], tokens.dtype)
         for t in range(at, end):
-            n = int(active[t])
+            n, own = int(active[t]), slice(edges[t - at], edges[t - at + 1])
             before = tokens[starts[:n] + t - 1] if t else np.full(n, END)
-            state = state[:n]
-            state, _ = step(net, state, before)
-            states.append(state)
-            targets.append(tokens[starts[:n] + t])
-            owners.append(np.arange(n))
-        hidden, target, owner = np.concatenate(states), np.concatenate(targets), np.concatenate(owners)
+            given = np.ascontiguousarray(net.inputs.take(before, axis=0).T)
+            state, _ = step(recurrent, state[:, :n], given, before != END)
+            hidden[own, :-1] = state.T
+            target[own] = tokens[starts[:n] + t]
+        owner = np.arange(edges[-1]) - np.repeat(edges[:-1], active[at:end])
         group, place = np.divmod(target, per_class)
-        chance = _chosen(hidden, net.class_weights, net.class_bias, group)
-        by_class = np.argsort(group, kind="stable")
+        chance = _chosen(hidden, class_joined, class_bounded, group)
+        by_class = _order(group)
         edges = np.searchsorted(group[by_class], np.arange(classes + 1))
+        hidden, place = hidden.take(by_class, axis=0), place[by_class]
+        inner = np.empty_like(chance)
         for c in np.flatnonzero(np.diff(edges)):
-            own = by_class[edges[c] : edges[c + 1]]
-            chance[own] += _chosen(hidden[own], net.word_weights[c], net.word_bias[c], place[own])
+            own = slice(edges[c], edges[c + 1])
+            inner[own] = _chosen(hidden[own], word_joined[c], word_bounded[c], place[own])
+        chance[by_class] += inner
         total[: int(active[at])] += np.bincount(owner, chance.astype(np.float64), minlength=int(active[at]))
         at = end
-    out = np.zeros(len(total))
-    out[order] = total / np.log(10)
-    return out
+    return total
 
 
 def with_ends(offsets: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

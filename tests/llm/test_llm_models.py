@@ -1,6 +1,7 @@
 import collections
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -182,6 +183,53 @@ def test_gradients_agree_with_differences():
         assert abs(abs(slope) - np.sqrt(memory[at][place])) < 0.05 * abs(slope) + 1e-3
 
 
+def test_gradients_of_outputs_equal_plain_softmax():
+    draw = np.random.default_rng(4)
+    given = np.concatenate([np.tanh(draw.normal(size=(900, 24))), np.ones((900, 1))], axis=1).astype(np.float32)
+    which = draw.integers(0, 158, 900)
+    for size in (0.5, 40.0):  # the larger outputs could not be raised as they are
+        joined = (draw.normal(size=(158, 25)) * size).astype(np.float32)
+        bounded = bool(language_model._bounded(joined))
+        assert bounded == (size < 1)
+        logits = given.astype(float) @ joined.T.astype(float)
+        chances = np.exp(logits - logits.max(1, keepdims=True))
+        chances /= chances.sum(1, keepdims=True)
+        own = logits[np.arange(900), which] - logits.max(1)
+        own -= np.log(np.exp(logits - logits.max(1, keepdims=True)).sum(1))
+        assert np.allclose(language_model._chosen(given, joined, bounded, which), own, rtol=1e-3, atol=1e-3)
+        chances[np.arange(900), which] -= 1
+        back = np.empty((900, 24), np.float32)
+        found = language_model._errors(given, joined, bounded, which, back)
+        assert np.allclose(found, chances.T @ given, rtol=1e-2, atol=1e-2)
+        assert np.allclose(back, chances @ joined[:, :-1], rtol=1e-2, atol=2e-3 * size)
+
+
+def test_rows_of_a_word_are_added_up():
+    draw = np.random.default_rng(6)
+    ids = np.concatenate([np.full(500, 3), np.full(24, 70_001), np.full(23, 9), draw.integers(0, 80_000, 2000)])
+    rows = draw.normal(size=(len(ids), 72)).astype(np.float32)
+    order = language_model._order(ids)
+    assert np.array_equal(order, np.argsort(ids, kind="stable"))
+    first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+    expected = np.add.reduceat(rows.astype(float)[order], first)
+    assert np.allclose(language_model._added(rows, order, first), expected, atol=1e-4)
+
+
+def test_outputs_of_a_window_are_never_held_whole():
+    # Passing over them in memory, step by step, took most of the time of learning.
+    counts = np.ones(158 * 158)
+    net = language_model.Network.fresh(counts)
+    memory, outputs = language_model.fresh_memory(net), language_model.STREAMS * language_model.WINDOW * 158 * 4
+    draw = np.random.default_rng(7)
+    stream = draw.integers(0, 158, 128 * language_model.STREAMS + 1).astype(np.int32)  # all of one class
+    tracemalloc.start()
+    language_model.train(net, stream, memory=memory)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 36 MB, of which weights and squares have 13 and the states and gates of a window most of the others; it was 67.
+    assert peak < 5 * outputs
+
+
 def members_of(spark, seed, shape, rows=1500):
     """Rows whose memberships lean to the domains in the given proportion; soft is how little they differ."""
     draw = np.random.default_rng(seed)
